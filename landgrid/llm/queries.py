@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+from landgrid.llm.langid import op9_language_id
+from landgrid.llm.mixing import OP2_SQL, op2_mixing
+from landgrid.llm.sharding import op3_sharding
 from landgrid.llm.simhash import op1_simhash_near_dedup
 
-QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_mixing": op2_mixing,
+    "op3_sharding": op3_sharding,
+    "op9_language_id": op9_language_id,
+}
+ORACLE: dict[str, str] = {"op2_mixing": OP2_SQL}
