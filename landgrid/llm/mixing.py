@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from landgrid.session import cut_lineage, table
 
-WORDS = r"size(split(trim(BOTH ' \t\n\u000b\f\r' FROM text), '[ \\t-\\r]+'))"
+WORDS = r"size(split(trim(BOTH ' \t\n\u000b\u000c\r' FROM text), '[ \\t-\\r]+'))"
 ROWS_PER_RANGE = 50_000
 
 
 def word_count():
     """Words of ``text``; none in a null, empty or blank one."""
-    blank = F.expr(r"trim(BOTH ' \t\n\u000b\f\r' FROM text)") == ""
+    blank = F.expr(r"trim(BOTH ' \t\n\u000b\u000c\r' FROM text)") == ""
     return F.when(F.col("text").isNull() | blank, 0).otherwise(F.expr(WORDS)).cast("long")
 
 
@@ -97,17 +97,14 @@ def mix(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = (3, 1, 2), s
 
 
 def take_mixed(docs: DataFrame, **how) -> DataFrame:
-    """The documents of ``mix(docs, **how)`` themselves, each as often as it is taken, with the columns of ``docs``."""
-    key = ["doc_id", "source", "text_hash"]
-    times = mix(docs, **how).groupBy(*key).agg(F.sort_array(F.collect_list("times"), asc=False).alias("each"))
-    times = times.select(*[F.col(c).alias(f"__{c}") for c in key], "each")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.xxhash64("text").alias("text_hash"))
-    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*key).orderBy("row")))
-    same = F.lit(True)
-    for c in key:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    taken = rows.join(times, same).select("row", F.explode(F.expr("array_repeat(1, cast(each[turn - 1] as int))")))
-    return taken.select("row.*")
+    """The documents of ``mix(docs, **how)`` themselves, each as often as it is taken, with the columns of ``docs``.
+
+    Rows alike in doc_id, source and text are taken equally often: as often as the first of them in the queue.
+    """
+    key = [F.xxhash64("doc_id", "source", "text_hash").alias("k1"), F.crc32(F.concat_ws(":", "doc_id", "source", "text_hash")).alias("k2")]
+    times = mix(docs, **how).where("times > 0").groupBy(*key).agg(F.max("times").cast("int").alias("times"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.xxhash64("text").alias("text_hash")).select("row", *key)
+    return rows.join(times, ["k1", "k2"]).select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
