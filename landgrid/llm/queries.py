@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from landgrid.llm.langid import op9_language_id
+from landgrid.llm.lmscore import op5_lm_scoring
 from landgrid.llm.mixing import OP2_SQL, op2_mixing
 from landgrid.llm.neighbours import op10_ann
 from landgrid.llm.pages import op7_html_text
 from landgrid.llm.pieces import op8_sentencepiece
+from landgrid.llm.quality import op6_quality_rules
 from landgrid.llm.sharding import op3_sharding
 from landgrid.llm.simhash import op1_simhash_near_dedup
 from landgrid.llm.tokenfile import op4_token_files
@@ -16,6 +18,8 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op4_token_files": op4_token_files,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op6_quality_rules": op6_quality_rules,
     "op7_html_text": op7_html_text,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language_id": op9_language_id,

@@ -9,7 +9,7 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landgrid.llm.components import connected_components
@@ -36,15 +36,20 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``(doc_id, fp long)`` for every row of ``docs``. A null, empty or blank text has fingerprint 0."""
+def fingerprint_column(text: str, width: int = 3) -> Column:
+    """The fingerprint of a text column. A null, empty or blank text has fingerprint 0."""
 
     @F.pandas_udf("long")
     def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
             yield pd.Series([fingerprint(t, width) for t in s], dtype="int64")
 
-    return docs.select("doc_id", simhash("text").alias("fp"))
+    return simhash(text)
+
+
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """``(doc_id, fp long)`` for every row of ``docs``."""
+    return docs.select("doc_id", fingerprint_column("text", width).alias("fp"))
 
 
 def near_links(prints: DataFrame) -> DataFrame:
@@ -66,6 +71,15 @@ def near_links(prints: DataFrame) -> DataFrame:
     )
 
 
+def fingerprint_classes(prints: DataFrame) -> DataFrame:
+    """``prints(doc_id, fp)`` -> ``(fp, root, component_id, copies)``, one row for each fingerprint."""
+    classes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
+    roots = connected_components(near_links(classes))
+    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rooted.join(least, "root").select("fp", "root", "component_id", "copies")
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, fingerprint, component_id, copies)``, one row for each row of ``docs``.
 
@@ -75,12 +89,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     Repeated rows stay repeated. Other columns of ``docs`` are not read.
     """
     prints = cut_lineage(fingerprints(docs))
-    classes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
-    roots = connected_components(near_links(classes))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id", "copies")
-    return prints.join(named, "fp").select(
+    return prints.join(fingerprint_classes(prints), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies"
     )
 
@@ -88,11 +97,16 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Keep one document of each component: the one with the smallest doc_id (of repeated rows with that id, one).
 
-    A component whose documents all have a null doc_id keeps one of them.
+    Of a component whose documents all have a null doc_id, one row stays.
     """
-    keep = simhash_components(docs).select("component_id").distinct()
-    once = docs.dropDuplicates(["doc_id"])
-    return once.join(keep, once["doc_id"].eqNullSafe(keep["component_id"]), "left_semi")
+    prints = cut_lineage(fingerprints(docs))
+    classes = cut_lineage(fingerprint_classes(prints))
+    keep = classes.select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
+    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    bare = docs.where("doc_id is null").select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    bare = bare.select("row", fingerprint_column("text").alias("fp"))
+    alone = classes.where("component_id is null").select("fp", "root")
+    return named.unionByName(bare.join(alone, "fp").dropDuplicates(["root"]).select("row.*"))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
