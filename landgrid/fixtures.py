@@ -73,5 +73,5 @@ def oracle(views: str, sql: str) -> str:
     """``sql`` for DuckDB with the named views (separated by blanks) as CTEs in front."""
     ctes = ", ".join(f"{v} AS ({_SQL[v].replace(' DIV ', ' // ').replace('RANGE64', '(SELECT unnest(range(64)) i)')})" for v in views.split())
     body = sql.strip()
-    joined = ", " + body[5:] if body.upper().startswith("WITH ") else " " + body
-    return f"WITH {ctes}{joined}" if ctes else body
+    head = "WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") else "WITH "
+    return f"{head}{ctes}, {body[len(head):]}" if body.startswith(head) else f"{head}{ctes} {body}"

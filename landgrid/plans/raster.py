@@ -1 +1,379 @@
-"""Queries."""
+"""Queries over pixels and class scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from landgrid.functions import landuse as lu
+from landgrid.operators import pixels as px
+from landgrid.plans.registry import query
+
+INT = lambda x: f"CAST({x} AS BIGINT)"
+
+
+@query("A6_cell_bundle_scan", "pixels", "SELECT cell_id, count(*) FILTER (truth > 0) AS labelled FROM pixels GROUP BY cell_id HAVING count(*) FILTER (truth > 0) >= 100")
+def a6(pixels: DataFrame) -> DataFrame:
+    return pixels.groupBy("cell_id").agg(F.count_if(F.col("truth") > 0).alias("labelled")).where("labelled >= 100")
+
+
+@query("A11_legend_statistics", "pixels", """
+WITH n AS (SELECT cell_id, truth, count(*) AS n FROM pixels GROUP BY ALL) SELECT cell_id, truth, n AS pixels, round(100.0::DOUBLE * n / CAST(sum(n) OVER (PARTITION BY cell_id) AS BIGINT), 3) AS area_pct FROM n""")
+def a11(pixels: DataFrame) -> DataFrame:
+    n = pixels.groupBy("cell_id", "truth").agg(F.count("*").alias("pixels"))
+    return n.withColumn("area_pct", F.round(100.0 * F.col("pixels") / F.sum("pixels").over(Window.partitionBy("cell_id")), 3))
+
+
+RULE = """CASE WHEN b > r AND b > g AND (r + g + b) / 3 < 120 THEN 6 WHEN g > r AND g > b AND (r + g + b) / 3 < 90 THEN 3 WHEN g >= r AND g > b THEN 4
+  WHEN (r + g + b) / 3 > 170 AND s < 60 THEN 5 WHEN r > g AND g > b AND (r + g + b) / 3 >= 110 THEN 1 WHEN r > b AND s > 40 THEN 7 ELSE 0 END"""
+
+
+@query("B24_colour_rules", "pixels", f"""
+WITH i AS (SELECT cell_id, inst_pred, avg(red) AS r, avg(grn) AS g, avg(blu) AS b, max(red) - min(red) AS s FROM pixels GROUP BY ALL) SELECT cell_id, inst_pred, {RULE} AS cls FROM i""")
+def b24(pixels: DataFrame) -> DataFrame:
+    i = pixels.groupBy("cell_id", "inst_pred").agg(F.avg("red").alias("r"), F.avg("grn").alias("g"), F.avg("blu").alias("b"), (F.max("red") - F.min("red")).alias("s"))
+    return i.select("cell_id", "inst_pred", lu.colour_rule(F.col("r"), F.col("g"), F.col("b"), F.col("s")).alias("cls"))
+
+
+@query("B25_placeholder", "tile_events", """
+SELECT event_id, CASE WHEN event_id % 4 = 0 THEN true WHEN event_id % 4 = 1 THEN sha256('tile' || event_id % 3) = sha256('tile1') ELSE false END AS placeholder FROM tile_events""")
+def b25(events: DataFrame) -> DataFrame:
+    known = events.sparkSession.sql("SELECT 'esri' AS source, 'vvv' AS tag, 5 AS size, sha2('tile1', 256) AS digest")
+    body = F.concat(F.lit("tile"), F.col("event_id") % 3)
+    rows = events.select("event_id", F.when(F.col("event_id") % 4 < 2, "esri").otherwise("google").alias("source"), F.when(F.col("event_id") % 4 == 0, "vvv").alias("etag"), body.alias("body"))
+    same = F.coalesce(F.col("etag") == F.col("tag"), F.lit(False)) | ((F.length("body") == F.col("size")) & (F.sha2(F.col("body").cast("binary"), 256) == F.col("digest")))
+    return rows.join(F.broadcast(known), "source", "left").select("event_id", F.coalesce(same, F.lit(False)).alias("placeholder"))
+
+
+@query("B26_valid_tile", "pixels", """
+WITH t AS (SELECT cell_id, r // 16 AS tr, c // 16 AS tc, stddev_pop(red) AS sr, stddev_pop(grn) AS sg, stddev_pop(blu) AS sb, avg(red + grn + blu) / 3 AS m, count(*) AS n FROM pixels GROUP BY ALL)
+SELECT cell_id, tr, tc, n = 256 AND NOT (sr < 1 AND sg < 1 AND sb < 1) AND NOT ((m < 1 OR m > 254) AND greatest(sr, sg, sb) < 0.5::DOUBLE) AS valid FROM t""")
+def b26(pixels: DataFrame) -> DataFrame:
+    sd = {f"s{b[0]}": F.stddev_pop(b) for b in ("red", "grn", "blu")}
+    t = pixels.groupBy("cell_id", F.expr("r div 16").alias("tr"), F.expr("c div 16").alias("tc")).agg(*[v.alias(k) for k, v in sd.items()], (F.avg(F.expr("red + grn + blu")) / 3).alias("m"), F.count("*").alias("n"))
+    flat = F.expr("sr < 1 AND sg < 1 AND sb < 1")
+    return t.select("cell_id", "tr", "tc", (F.expr("n = 256") & ~flat & ~F.expr("(m < 1 OR m > 254) AND greatest(sr, sg, sb) < 0.5D")).alias("valid"))
+
+
+@query("B27_brightness", "pixels", """
+SELECT cell_id, round(sum(CASE WHEN alpha > 0 THEN (red + grn + blu) // 3 ELSE 0 END) / count(*), 6) AS brightness, sum(CASE WHEN alpha > 0 THEN (red + grn + blu) // 3 ELSE 0 END) / count(*) < 20 AS blank FROM pixels GROUP BY cell_id""")
+def b27(pixels: DataFrame) -> DataFrame:
+    mean = F.sum(F.expr("IF(alpha > 0, (red + grn + blu) div 3, 0)")) / F.count("*")
+    return pixels.groupBy("cell_id").agg(F.round(mean, 6).alias("brightness"), (mean < 20).alias("blank"))
+
+
+@query("B28_spectral_indices", "pixels", """
+WITH p AS (SELECT cell_id, r, c, red / 3000 AS rd, grn / 3000 AS gn, blu / 3000 AS bl, prob_pm / 3000 AS nr FROM pixels WHERE c % 8 = 0)
+SELECT cell_id, r, c, round((nr - rd) / (nr + rd + 1e-6), 6) AS ndvi, round(1.5::DOUBLE * (nr - rd) / (nr + rd + 0.5::DOUBLE + 1e-6), 6) AS savi,
+  round(least(greatest(2.5::DOUBLE * (nr - rd) / (nr + 6 * rd - 7.5::DOUBLE * bl + 1 + 1e-6), -1.5::DOUBLE), 1.5::DOUBLE), 6) AS evi, round((nr - gn) / (nr + gn + 1e-6), 6) AS gndvi, round((gn - nr) / (gn + nr + 1e-6), 6) AS ndwi,
+  round((2 * nr + 1 - sqrt(greatest((2 * nr + 1) * (2 * nr + 1) - 8 * (nr - rd), 0.0::DOUBLE))) / 2, 6) AS msavi FROM p""")
+def b28(pixels: DataFrame) -> DataFrame:
+    band = lambda c: F.col(c) / 3000
+    indices = lu.spectral_indices(band("red"), band("grn"), band("blu"), band("prob_pm"))
+    return pixels.where("c % 8 = 0").select(*px.KEY, *[F.round(v, 6).alias(k) for k, v in indices.items()])
+
+
+@query("B29_band_standardisation", "pixels", """
+SELECT cell_id, r, c, round((red / 255 - 0.485::DOUBLE) / 0.229::DOUBLE, 6) AS zr, round((grn / 255 - 0.456::DOUBLE) / 0.224::DOUBLE, 6) AS zg, round((blu / 255 - 0.406::DOUBLE) / 0.225::DOUBLE, 6) AS zb FROM pixels WHERE c % 8 = 0""")
+def b29(pixels: DataFrame) -> DataFrame:
+    stats = {"red": ("zr", 0.485, 0.229), "grn": ("zg", 0.456, 0.224), "blu": ("zb", 0.406, 0.225)}
+    return pixels.where("c % 8 = 0").select(*px.KEY, *[F.round((F.col(b) / 255 - m) / s, 6).alias(n) for b, (n, m, s) in stats.items()])
+
+
+@query("B30_ndvi_fill", "pixels", """
+WITH v AS (SELECT *, CASE WHEN alpha = 0 THEN NULL ELSE prob_pm * 10 END AS v FROM pixels WHERE c % 4 = 0), m AS (SELECT cell_id, median(v) AS m FROM v GROUP BY cell_id)
+SELECT cell_id, r, c, round(coalesce(v, m, 5000) / 10000.0::DOUBLE, 6) AS ndvi FROM v JOIN m USING (cell_id)""")
+def b30(pixels: DataFrame) -> DataFrame:
+    rows = pixels.where("c % 4 = 0").withColumn("v", F.when(F.col("alpha") != 0, F.col("prob_pm") * 10))
+    mid = rows.groupBy("cell_id").agg(F.median("v").alias("m"))
+    return rows.join(mid, "cell_id").select(*px.KEY, F.round(F.coalesce("v", "m", F.lit(5000)) / 10000.0, 6).alias("ndvi"))
+
+
+@query("C14_truth_join", "pixels", "SELECT cell_id, count(*) AS n, count(*) FILTER (pred = truth) AS same FROM pixels WHERE pred > 0 GROUP BY cell_id")
+def c14(pixels: DataFrame) -> DataFrame:
+    pred, truth = pixels.where("pred > 0").select(*px.KEY, "pred"), pixels.select(*px.KEY, "truth")
+    return pred.join(truth, px.KEY).groupBy("cell_id").agg(F.count("*").alias("n"), F.count_if(F.expr("pred = truth")).alias("same"))
+
+
+@query("J6_pool_and_index", "pixels", """
+WITH q AS (SELECT cell_id, r // 4 AS pr, c // 4 AS pc, avg(prob_pm) AS m FROM pixels GROUP BY ALL) SELECT p.cell_id, r, c, round(m, 6) AS m FROM pixels p JOIN q ON p.cell_id = q.cell_id AND r // 4 = pr AND c // 4 = pc WHERE r < 16""")
+def j6(pixels: DataFrame) -> DataFrame:
+    return px.unpool(pixels.where("r < 16"), px.pool(pixels, 4, "prob_pm"), 4).select(*px.KEY, F.round("prob_pm", 6).alias("m"))
+
+
+@query("C15_coarse_fine", "pixels", """
+WITH q AS (SELECT cell_id, r // 8 AS pr, c // 8 AS pc, avg(prob_pm) AS m FROM pixels GROUP BY ALL) SELECT p.cell_id, count(*) FILTER (prob_pm > m) AS above FROM pixels p JOIN q ON p.cell_id = q.cell_id AND r // 8 = pr AND c // 8 = pc GROUP BY 1""")
+def c15(pixels: DataFrame) -> DataFrame:
+    coarse = px.pool(pixels, 8, "prob_pm").withColumnRenamed("prob_pm", "m")
+    both = px.unpool(pixels, coarse, 8).join(pixels.select(*px.KEY, "prob_pm"), px.KEY)
+    return both.groupBy("cell_id").agg(F.count_if(F.expr("prob_pm > m")).alias("above"))
+
+
+@query("D9_zonal_statistics", "pixels", """
+WITH s AS (SELECT cell_id, inst_pred, sum(1 + r % 3) AS w, sum((1 + r % 3) * prob_pm) AS wv, sum((1 + r % 3) * prob_pm * prob_pm) AS wvv FROM pixels GROUP BY ALL)
+SELECT cell_id, inst_pred, round(wv / (w + 1e-9), 6) AS mean, round(sqrt(greatest(wvv / (w + 1e-9) - (wv / (w + 1e-9)) * (wv / (w + 1e-9)), 0)), 6) AS std, CAST(w AS BIGINT) AS area FROM s""")
+def d9(pixels: DataFrame) -> DataFrame:
+    return px.zonal_stats(pixels, ["cell_id", "inst_pred"], "prob_pm", 1 + F.col("r") % 3)
+
+
+@query("D10_instance_majority", "pixels", """
+WITH n AS (SELECT cell_id, inst_pred, pred, count(*) AS n FROM pixels GROUP BY ALL) SELECT cell_id, inst_pred, max_by(pred, (n, -pred)) AS pred, max(n) AS n FROM n GROUP BY ALL""")
+def d10(pixels: DataFrame) -> DataFrame:
+    return px.majority(pixels, ["cell_id", "inst_pred"], "pred")
+
+
+@query("D12_crop_or_orchard", "pixels", """
+SELECT cell_id, inst_pred, CASE WHEN sum(prob_pm) FILTER (pred % 2 = 1) >= sum(prob_pm) FILTER (pred % 2 = 0) THEN 1 ELSE 2 END AS cls FROM pixels WHERE pred IN (1, 2, 3, 4) GROUP BY ALL
+HAVING sum(prob_pm) FILTER (pred % 2 = 1) IS NOT NULL AND sum(prob_pm) FILTER (pred % 2 = 0) IS NOT NULL""")
+def d12(pixels: DataFrame) -> DataFrame:
+    part = lambda k: F.sum(F.when(F.col("pred") % 2 == k, F.col("prob_pm")))
+    s = pixels.where("pred IN (1, 2, 3, 4)").groupBy("cell_id", "inst_pred").agg(part(1).alias("a"), part(0).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    return s.select("cell_id", "inst_pred", F.when(F.expr("a >= b"), 1).otherwise(2).alias("cls"))
+
+
+@query("D13_parcel_vote", "pixels", "SELECT cell_id, inst_pred, round(avg(prob_pm), 6) AS mean_pm, avg(prob_pm) >= 500 AS crop, count(*) AS area FROM pixels WHERE truth > 0 GROUP BY ALL")
+def d13(pixels: DataFrame) -> DataFrame:
+    return pixels.where("truth > 0").groupBy("cell_id", "inst_pred").agg(F.round(F.avg("prob_pm"), 6).alias("mean_pm"), (F.avg("prob_pm") >= 500).alias("crop"), F.count("*").alias("area"))
+
+
+@query("D14_confusion_matrix", "pixels", """
+WITH k AS (SELECT unnest(range(8)) AS truth), q AS (SELECT unnest(range(8)) AS pred), n AS (SELECT truth, pred, count(*) AS n FROM pixels GROUP BY ALL)
+SELECT truth, pred, coalesce(n, 0) AS n FROM (SELECT * FROM k, q) LEFT JOIN n USING (truth, pred)""")
+def d14(pixels: DataFrame) -> DataFrame:
+    return px.confusion(pixels, "truth", "pred", 8)
+
+
+@query("D15_class_weights", "pixels", """
+WITH n AS (SELECT truth, count(*) AS n FROM pixels WHERE truth > 0 GROUP BY 1), w AS (SELECT truth, 1 / sqrt(n) AS w FROM n) SELECT truth, round(w * 7 / sum(w) OVER (), 6) AS weight FROM w""")
+def d15(pixels: DataFrame) -> DataFrame:
+    w = pixels.where("truth > 0").groupBy("truth").agg((1 / F.sqrt(F.count("*"))).alias("w"))
+    total = w.agg(F.sum("w").alias("t"))
+    return w.crossJoin(F.broadcast(total)).select("truth", F.round(F.col("w") * 7 / F.col("t"), 6).alias("weight"))
+
+
+@query("D25_balance_gate", "pixels", """
+SELECT cell_id, round(count(*) FILTER (alpha > 0) / count(*), 6) AS valid, round(count(*) FILTER (truth IN (1, 2)) / count(*), 6) AS frac FROM pixels GROUP BY cell_id
+HAVING count(*) FILTER (alpha > 0) / count(*) >= 0.6::DOUBLE AND count(*) FILTER (truth IN (1, 2)) / count(*) BETWEEN 0.1::DOUBLE AND 0.9::DOUBLE""")
+def d25(pixels: DataFrame) -> DataFrame:
+    g = pixels.groupBy("cell_id").agg((F.count_if(F.expr("alpha > 0")) / F.count("*")).alias("valid"), (F.count_if(F.expr("truth IN (1, 2)")) / F.count("*")).alias("frac"))
+    return g.where("valid >= 0.6D AND frac BETWEEN 0.1D AND 0.9D").select("cell_id", F.round("valid", 6).alias("valid"), F.round("frac", 6).alias("frac"))
+
+
+@query("E6_row_normalised", "pixels", "WITH n AS (SELECT truth, pred, count(*) AS n FROM pixels GROUP BY ALL) SELECT truth, pred, round(n / sum(n) OVER (PARTITION BY truth), 6) AS share FROM n")
+def e6(pixels: DataFrame) -> DataFrame:
+    n = pixels.groupBy("truth", "pred").agg(F.count("*").alias("n"))
+    return n.select("truth", "pred", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("truth")), 6).alias("share"))
+
+
+@query("E11_mask_composition", "pixels", """
+WITH s AS (SELECT cell_id, r // 8 AS br, c // 8 AS bc, truth AS cls, max(prob_pm) AS s FROM pixels GROUP BY ALL UNION ALL SELECT cell_id, r // 8, c // 8, pred, max(prob_pm) FROM pixels GROUP BY ALL),
+m AS (SELECT cell_id, br, bc, cls, max(s) AS s FROM s GROUP BY ALL) SELECT cell_id, br, bc, max_by(cls, (s, -cls)) AS cls FROM m GROUP BY ALL""")
+def e11(pixels: DataFrame) -> DataFrame:
+    at = ["cell_id", F.expr("r div 8").alias("br"), F.expr("c div 8").alias("bc")]
+    masks = pixels.select(*at, F.explode(F.array("truth", "pred")).alias("cls"), "prob_pm")
+    best = masks.groupBy("cell_id", "br", "bc", "cls").agg(F.max("prob_pm").alias("s"))
+    return best.groupBy("cell_id", "br", "bc").agg(F.max_by("cls", F.struct("s", (-F.col("cls")).alias("k"))).alias("cls"))
+
+
+@query("E10_mask_claiming", "pixels", """
+WITH m AS (SELECT cell_id, r, c, inst_pred AS mask, inst_pred * 7 % 64 AS score FROM pixels UNION ALL SELECT cell_id, r, c, 100 + inst_gt, inst_gt * 5 % 64 FROM pixels)
+SELECT cell_id, mask, count(*) AS claimed FROM (SELECT *, row_number() OVER (PARTITION BY cell_id, r, c ORDER BY score DESC, mask) AS k FROM m) WHERE k = 1 GROUP BY ALL""")
+def e10(pixels: DataFrame) -> DataFrame:
+    m = pixels.select(*px.KEY, F.col("inst_pred").alias("mask"), F.expr("inst_pred * 7 % 64").alias("score")).union(pixels.select(*px.KEY, F.expr("100 + inst_gt"), F.expr("inst_gt * 5 % 64")))
+    first = m.groupBy(*px.KEY).agg(F.max_by("mask", F.struct("score", (-F.col("mask")).alias("k"))).alias("mask"))
+    return first.groupBy("cell_id", "mask").agg(F.count("*").alias("claimed"))
+
+
+@query("F8_preview_downsample", "pixels", "SELECT cell_id, o.i AS orow, k.i AS ocol, pred FROM pixels JOIN (SELECT unnest(range(24)) i) o ON r = o.i * 64 // 24 JOIN (SELECT unnest(range(24)) i) k ON c = k.i * 64 // 24")
+def f8(pixels: DataFrame) -> DataFrame:
+    outputs = lambda a: F.filter(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long")), lambda i: F.floor(i * 64 / 24) == F.col(a))
+    return pixels.select("cell_id", "pred", "c", F.explode(outputs("r")).alias("orow")).select("cell_id", "orow", F.explode(outputs("c")).alias("ocol"), "pred")
+
+
+@query("J1_tile_mosaic", "pixels", """
+SELECT cell_id % 4 AS tile_x, cell_id // 4 AS tile_y, CAST(sum((cell_id % 4) * 64 + c) AS BIGINT) AS sx, CAST(sum((cell_id // 4) * 64 + r) AS BIGINT) AS sy, CAST(sum(CASE WHEN cell_id % 5 = 0 THEN 0 ELSE red END) AS BIGINT) AS ink, CAST(sum(CASE WHEN cell_id % 5 = 0 THEN 0 ELSE 255 END) AS BIGINT) AS alpha FROM pixels GROUP BY 1, 2""")
+def j1(pixels: DataFrame) -> DataFrame:
+    grid = pixels.select("cell_id", "r", "c", F.expr("(cell_id % 4) * 64 + c").alias("gx"), F.expr("(cell_id div 4) * 64 + r").alias("gy"))
+    fetched = pixels.where("cell_id % 5 <> 0").select(*px.KEY, "red", F.lit(255).alias("a"))
+    mosaic = grid.join(fetched, px.KEY, "left").withColumns({"red": F.coalesce("red", F.lit(0)), "a": F.coalesce("a", F.lit(0))})
+    return mosaic.groupBy(F.expr("cell_id % 4").alias("tile_x"), F.expr("cell_id div 4").alias("tile_y")).agg(F.sum("gx").alias("sx"), F.sum("gy").alias("sy"), F.sum("red").alias("ink"), F.sum("a").alias("alpha"))
+
+
+@query("J2_cell_mosaic", "pixels", "SELECT (cell_id % 3) * 32 + c AS gx, r AS gy, min_by(red, cell_id) AS red, min_by(grn, cell_id) AS grn FROM pixels GROUP BY 1, 2")
+def j2(pixels: DataFrame) -> DataFrame:
+    return pixels.groupBy(F.expr("(cell_id % 3) * 32 + c").alias("gx"), F.col("r").alias("gy")).agg(F.min_by("red", "cell_id").alias("red"), F.min_by("grn", "cell_id").alias("grn"))
+
+
+@query("J3_window_plan", "regions", """
+SELECT region_id, count(*) AS windows, CAST(max(o) AS BIGINT) AS last FROM (SELECT region_id, unnest(list_distinct(list_concat(range(0, greatest(64 + idx - 448, 0) + 1, 224), [greatest(64 + idx - 448, 0)]))) AS o FROM regions) GROUP BY 1""")
+def j3(regions: DataFrame) -> DataFrame:
+    last = F.expr("greatest(64 + idx - 448, 0L)")
+    offsets = F.array_distinct(F.concat(F.sequence(F.lit(0).cast("long"), last, F.lit(224).cast("long")), F.array(last)))
+    return regions.select("region_id", F.size(offsets).cast("long").alias("windows"), F.array_max(offsets).alias("last"))
+
+
+BLEND = """WITH o AS (SELECT unnest([0, 16, 32]) AS o), p AS (SELECT cell_id, r, c, prob_pm + (a.o + b.o) % 7 AS v, a.o AS wr, b.o AS wc FROM pixels JOIN o a ON r >= a.o AND r < a.o + 32 JOIN o b ON c >= b.o AND c < b.o + 32 WHERE cell_id <= 4)"""
+HANN = "greatest((0.5::DOUBLE - 0.5::DOUBLE * cos(2 * 3.141592653589793::DOUBLE * (r - wr) / 31)) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * 3.141592653589793::DOUBLE * (c - wc) / 31)), 0.001::DOUBLE)"
+
+
+@query("J4_hann_blend", "pixels", f"{BLEND} SELECT cell_id, r, c, round(sum(v * {HANN}) / greatest(sum({HANN}), 0.000001::DOUBLE), 6) AS blended FROM p GROUP BY ALL")
+def j4(pixels: DataFrame) -> DataFrame:
+    return px.blend(pixels.where("cell_id <= 4"), "prob_pm", 64, 32, 16, hann=True)
+
+
+@query("J5_plain_average", "pixels", f"{BLEND} SELECT cell_id, r, c, round(avg(v), 6) AS blended FROM p GROUP BY ALL")
+def j5(pixels: DataFrame) -> DataFrame:
+    return px.blend(pixels.where("cell_id <= 4"), "prob_pm", 64, 32, 16, hann=False)
+
+
+@query("J7_banded_equals_global", "pixels", "SELECT cell_id, CAST(sum(prob_pm) AS BIGINT) AS total, CAST(0 AS BIGINT) AS difference FROM pixels GROUP BY 1")
+def j7(pixels: DataFrame) -> DataFrame:
+    bands = pixels.groupBy("cell_id", F.expr("r div 16").alias("band")).agg(F.sum("prob_pm").alias("s")).groupBy("cell_id").agg(F.sum("s").alias("banded"))
+    return pixels.groupBy("cell_id").agg(F.sum("prob_pm").alias("total")).join(bands, "cell_id").select("cell_id", "total", (F.col("banded") - F.col("total")).alias("difference"))
+
+
+
+
+def _edges(v: str) -> str:
+    near = " UNION ALL ".join(f"SELECT cell_id, r + ({a}) AS r, c + ({b}) AS c, {v} AS o FROM pixels" for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0)))
+    return f"(SELECT DISTINCT p.cell_id, p.r, p.c FROM pixels p JOIN ({near}) q USING (cell_id, r, c) WHERE p.{v} <> q.o)"
+
+
+@query("J9_boundary_mask", "pixels", f"SELECT cell_id, r, c FROM {_edges('inst_pred')}")
+def j9(pixels: DataFrame) -> DataFrame:
+    return px.boundary(pixels, "inst_pred")
+
+
+DISC2 = "(SELECT a.i AS a, b.i AS b FROM (SELECT unnest(range(-2, 3)) i) a, (SELECT unnest(range(-2, 3)) i) b WHERE a.i * a.i + b.i * b.i <= 4)"
+
+
+@query("J10_disc_dilation", "pixels", f"SELECT DISTINCT cell_id, r + a AS r, c + b AS c FROM (SELECT cell_id, r, c FROM pixels WHERE prob_pm > 990), {DISC2} o WHERE r + a BETWEEN 0 AND 63 AND c + b BETWEEN 0 AND 63")
+def j10(pixels: DataFrame) -> DataFrame:
+    return px.dilate(pixels.where("prob_pm > 990").select(*px.KEY), 2, 64)
+
+
+@query("J11_boundary_distance", "pixels", """
+WITH m AS (SELECT cell_id, r, c FROM pixels WHERE prob_pm > 985 AND cell_id <= 3), d AS (SELECT p.cell_id, p.r, p.c, min((p.r - m.r) * (p.r - m.r) + (p.c - m.c) * (p.c - m.c)) AS d FROM pixels p LEFT JOIN m ON p.cell_id = m.cell_id WHERE p.cell_id <= 3 GROUP BY ALL)
+SELECT cell_id, r, c, round(least(sqrt(coalesce(d, 900)), 30.0::DOUBLE) / 30, 6) AS distance FROM d""")
+def j11(pixels: DataFrame) -> DataFrame:
+    some = pixels.where("cell_id <= 3")
+    return px.distance_to(some.where("prob_pm > 985"), some, 30)
+
+
+@query("J12_components", "pixels", """
+WITH RECURSIVE p AS (SELECT cell_id, r, c, truth FROM pixels WHERE truth > 0 AND cell_id <= 2), e AS (SELECT a.cell_id, a.r * 1048576 + a.c AS u, b.r * 1048576 + b.c AS v FROM p a JOIN p b ON a.cell_id = b.cell_id AND a.truth = b.truth AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
+f AS (SELECT cell_id, r * 1048576 + c AS u, r * 1048576 + c AS v FROM p UNION SELECT f.cell_id, f.u, e.v FROM f JOIN e ON f.cell_id = e.cell_id AND f.v = e.u)
+SELECT p.cell_id, r, c, truth, m.region FROM p JOIN (SELECT cell_id, u, min(v) AS region FROM f GROUP BY ALL) m ON p.cell_id = m.cell_id AND p.r * 1048576 + p.c = m.u""")
+def j12(pixels: DataFrame) -> DataFrame:
+    return px.components(pixels.where("cell_id <= 2"), "truth")
+
+
+@query("J16_nearest_fill", "pixels", """
+WITH p AS (SELECT * FROM pixels WHERE cell_id <= 3), f AS (SELECT a.cell_id, a.r, a.c, arg_min(b.truth, ((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c), b.r, b.c)) AS fill FROM p a JOIN p b ON a.cell_id = b.cell_id AND a.truth = 0 AND b.truth <> 0
+  AND (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 36 GROUP BY ALL) SELECT cell_id, r, c, CASE WHEN truth = 0 THEN coalesce(fill, 0) ELSE truth END AS truth FROM p LEFT JOIN f USING (cell_id, r, c)""")
+def j16(pixels: DataFrame) -> DataFrame:
+    return px.fill_nearest(pixels.where("cell_id <= 3"), "truth", 6)
+
+
+@query("J18_rule_leftovers", "pixels", f"SELECT cell_id, r, c, CASE WHEN pred <> 0 THEN pred ELSE {RULE} END AS cls FROM (SELECT cell_id, p.r AS row_, c, pred, red AS r, grn AS g, blu AS b, 0 AS s FROM pixels p) t(cell_id, r_, c, pred, r, g, b, s)".replace("SELECT cell_id, r, c, CASE", "SELECT cell_id, r_ AS r, c, CASE"))
+def j18(pixels: DataFrame) -> DataFrame:
+    rule = lu.colour_rule(F.col("red"), F.col("grn"), F.col("blu"), F.lit(0))
+    return pixels.select(*px.KEY, F.when(F.col("pred") != 0, F.col("pred")).otherwise(rule).alias("cls"))
+
+
+@query("J19_gated_fusion", "pixels", """
+WITH p AS (SELECT *, avg(prob_pm) OVER (PARTITION BY cell_id, inst_pred) AS obj FROM pixels) SELECT cell_id, count(*) FILTER (CASE WHEN abs(prob_pm - 500) < 150 THEN obj ELSE prob_pm END >= 500) AS gated, count(*) FILTER (obj >= 500) AS snapped FROM p GROUP BY 1""")
+def j19(pixels: DataFrame) -> DataFrame:
+    obj = pixels.groupBy("cell_id", "inst_pred").agg(F.avg("prob_pm").alias("obj"))
+    p = pixels.join(obj, ["cell_id", "inst_pred"])
+    return p.groupBy("cell_id").agg(F.count_if(F.expr("IF(abs(prob_pm - 500) < 150, obj, prob_pm) >= 500")).alias("gated"), F.count_if(F.expr("obj >= 500")).alias("snapped"))
+
+
+@query("J20_chained_expert", "pixels", """
+SELECT CAST(d AS INT) AS delta, count(*) FILTER (CASE WHEN abs(prob_pm - 500) < d THEN red * 4 ELSE prob_pm END >= 500) AS positive FROM pixels, (SELECT unnest([50, 100, 150, 200]) AS d) GROUP BY 1""")
+def j20(pixels: DataFrame) -> DataFrame:
+    rows = pixels.select("prob_pm", "red", F.explode(F.array(*map(F.lit, (50, 100, 150, 200)))).alias("delta"))
+    return rows.groupBy("delta").agg(F.count_if(F.expr("IF(abs(prob_pm - 500) < delta, red * 4, prob_pm) >= 500")).alias("positive"))
+
+
+@query("J21_symmetry_average", "pixels", """
+WITH t AS (SELECT cell_id, prob_pm, unnest([[r, c], [63 - r, c], [r, 63 - c], [63 - r, 63 - c], [c, r], [63 - c, r], [c, 63 - r], [63 - c, 63 - r]]) AS t FROM pixels) SELECT cell_id, t[1] AS r, t[2] AS c, round(avg(prob_pm), 6) AS mean FROM t GROUP BY ALL""")
+def j21(pixels: DataFrame) -> DataFrame:
+    return px.symmetric_mean(pixels, "prob_pm", 64)
+
+
+@query("J22_edge_agreement", "pixels", f"""
+WITH n AS (SELECT p.cell_id, p.r, p.c, sum(q.red * (q.c - p.c) * (2 - abs(q.r - p.r))) AS gx, sum(q.red * (q.r - p.r) * (2 - abs(q.c - p.c))) AS gy FROM pixels p JOIN (SELECT cell_id, r AS r0, c AS c0, r, c, red FROM pixels) q ON p.cell_id = q.cell_id AND q.r BETWEEN p.r - 1 AND p.r + 1 AND q.c BETWEEN p.c - 1 AND p.c + 1
+  WHERE p.cell_id <= 3 AND p.r BETWEEN 1 AND 62 AND p.c BETWEEN 1 AND 62 GROUP BY ALL), m AS (SELECT cell_id, r, c, sqrt(CAST(gx * gx + gy * gy AS DOUBLE)) AS m FROM n)
+SELECT cell_id, round(avg(m) FILTER (e.r IS NOT NULL) / avg(m), 6) AS score FROM m LEFT JOIN {_edges('truth')} e USING (cell_id, r, c) GROUP BY cell_id""")
+def j22(pixels: DataFrame) -> DataFrame:
+    some = pixels.where("cell_id <= 3")
+    m = px.sobel(some, "red").join(px.boundary(some, "truth").withColumn("edge", F.lit(True)), px.KEY, "left")
+    return m.groupBy("cell_id").agg(F.round(F.avg(F.when(F.col("edge"), F.col("magnitude"))) / F.avg("magnitude"), 6).alias("score"))
+
+
+@query("J24_patch_majority", "pixels", """
+WITH n AS (SELECT cell_id, r * 5 // 64 AS pr, c * 5 // 64 AS pc, truth, count(*) AS n FROM pixels WHERE truth > 0 GROUP BY ALL) SELECT cell_id, pr, pc, max_by(truth, (n, -truth)) AS truth, max(n) AS n FROM n GROUP BY ALL""")
+def j24(pixels: DataFrame) -> DataFrame:
+    rows = pixels.where("truth > 0").withColumns({"pr": F.expr("r * 5 div 64"), "pc": F.expr("c * 5 div 64")})
+    return px.majority(rows, ["cell_id", "pr", "pc"], "truth")
+
+
+@query("J26_thin_weights", "pixels", """
+WITH p AS (SELECT cell_id, r, c, truth FROM pixels WHERE cell_id <= 2), k AS (SELECT a.cell_id, a.r, a.c, a.truth, count(*) FILTER (b.truth <> a.truth) AS other FROM p a JOIN p b ON a.cell_id = b.cell_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY ALL),
+o AS (SELECT DISTINCT a.cell_id, a.r, a.c FROM p a JOIN k b ON a.cell_id = b.cell_id AND a.truth = b.truth AND b.other = 0 AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1)
+SELECT cell_id, r, c, CASE WHEN o.cell_id IS NULL THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM p LEFT JOIN o USING (cell_id, r, c)""".replace("CASE WHEN o.cell_id IS NULL", "CASE WHEN NOT EXISTS (SELECT 1 FROM o x WHERE x.cell_id = p.cell_id AND x.r = p.r AND x.c = p.c)").replace(" FROM p LEFT JOIN o USING (cell_id, r, c)", " FROM p"))
+def j26(pixels: DataFrame) -> DataFrame:
+    return px.opened(pixels.where("cell_id <= 2"), "truth", 3)
+
+
+@query("H1_argmax_skip_zero", "scores", """
+WITH a AS (SELECT vec_id, k % 9 AS cls, v FROM scores WHERE k < 9 AND k % 9 > 0) SELECT vec_id, max_by(cls, (v, -cls)) AS cls FROM a GROUP BY 1""")
+def h1(scores: DataFrame) -> DataFrame:
+    a = scores.where("k < 9").groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("p"))
+    tail = F.slice("p", 2, 8)
+    return a.select("vec_id", F.array_position(tail, F.array_max(tail)).alias("cls"))
+
+
+@query("H2_softmax", "scores", """
+WITH m AS (SELECT vec_id, k, exp(v - max(v) OVER (PARTITION BY vec_id)) AS e, v FROM scores WHERE k < 9) SELECT vec_id, k, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS softmax, round(1 / (1 + exp(-v)), 6) AS sigmoid FROM m""")
+def h2(scores: DataFrame) -> DataFrame:
+    p = scores.where("k < 9").groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("p"))
+    p = p.withColumn("e", F.expr("transform(p, x -> exp(x.v - array_max(p.v)))")).withColumn("t", F.expr("aggregate(e, 0D, (s, x) -> s + x)"))
+    rows = p.select("vec_id", "t", F.explode(F.arrays_zip("p", "e")).alias("z"))
+    return rows.select("vec_id", F.col("z.p.k").alias("k"), F.round(F.col("z.e") / F.col("t"), 6).alias("softmax"), F.round(1 / (1 + F.exp(-F.col("z.p.v"))), 6).alias("sigmoid"))
+
+
+@query("H3_ensemble_mean", "scores", "SELECT vec_id, k % 9 AS cls, round(avg(v), 6) AS mean FROM scores GROUP BY ALL")
+def h3(scores: DataFrame) -> DataFrame:
+    return scores.groupBy("vec_id", (F.col("k") % 9).alias("cls")).agg(F.round(F.avg("v"), 6).alias("mean"))
+
+
+@query("H4_two_class_threshold", "scores", """
+WITH p AS (SELECT vec_id, exp(max(v) FILTER (k = 1)) AS p1, exp(max(v) FILTER (k = 2)) AS p2 FROM scores GROUP BY 1) SELECT vec_id, p1 > 0.55::DOUBLE * (p1 + p2) AS crop FROM p""")
+def h4(scores: DataFrame) -> DataFrame:
+    p = scores.groupBy("vec_id").agg(F.exp(F.max(F.when(F.col("k") == 1, F.col("v")))).alias("p1"), F.exp(F.max(F.when(F.col("k") == 2, F.col("v")))).alias("p2"))
+    return p.select("vec_id", F.expr("p1 > 0.55D * (p1 + p2)").alias("crop"))
+
+
+@query("D11_instance_mean_class", "scores", """
+WITH m AS (SELECT label, k % 9 AS cls, round(avg(v), 9) AS m FROM scores WHERE k % 9 > 0 GROUP BY ALL) SELECT label, CASE max_by(cls, (m, -cls)) WHEN 8 THEN 6 WHEN 2 THEN 1 ELSE max_by(cls, (m, -cls)) END AS cls FROM m GROUP BY 1""")
+def d11(scores: DataFrame) -> DataFrame:
+    m = scores.where("k % 9 > 0").groupBy("label", (F.col("k") % 9).alias("cls")).agg(F.round(F.avg("v"), 9).alias("m"))
+    best = m.groupBy("label").agg(F.max_by("cls", F.struct("m", (-F.col("cls")).alias("k"))).alias("cls"))
+    return best.select("label", lu.merged_class("cls").alias("cls"))
+
+
+@query("M9_pseudo_labels", "scores", """
+WITH a AS (SELECT vec_id, max(v) AS conf, max_by(k, (v, -k)) AS cls FROM scores WHERE k < 9 GROUP BY 1) SELECT cls, count(*) AS n, count(*) FILTER (conf > 0.2::DOUBLE AND cls > 0) AS kept FROM a GROUP BY 1""")
+def m9(scores: DataFrame) -> DataFrame:
+    a = scores.where("k < 9").groupBy("vec_id").agg(F.max("v").alias("conf"), F.max_by("k", F.struct("v", (-F.col("k")).alias("m"))).alias("cls"))
+    return a.groupBy("cls").agg(F.count("*").alias("n"), F.count_if(F.expr("conf > 0.2D AND cls > 0")).alias("kept"))
+
+
+@query("M7_random_pixels", "pixels", """
+SELECT cell_id, r, c FROM (SELECT cell_id, r, c, row_number() OVER (PARTITION BY cell_id ORDER BY md5(cell_id || ':' || r || ':' || c || ':3'), r, c) AS k FROM pixels WHERE truth > 0) WHERE k <= 300""")
+def m7(pixels: DataFrame) -> DataFrame:
+    draw = F.md5(F.concat_ws(":", *px.KEY, F.lit("3")).cast("binary"))
+    rank = F.row_number().over(Window.partitionBy("cell_id").orderBy(draw, "r", "c"))
+    return pixels.where("truth > 0").select(*px.KEY, rank.alias("k")).where("k <= 300").select(*px.KEY)
