@@ -13,54 +13,66 @@ CLASSES = ("upper", "letter", "digit", "symbol", "sign", "blank")
 COMMON = 12  # common words of a language
 LEAST_SHARE = 1000  # a language has its own reference if at least one document of so many has it
 LEAST_CHARS, LEAST_WORDS = 200, 100  # shorter texts are not compared
-MOST_CLASS, MOST_WORD = 0.25, 0.6  # Jensen-Shannon distances beyond which a text is rejected
+MOST_CLASS, MOST_WORD = 0.25, 0.3  # Jensen-Shannon distances beyond which a text is rejected
 
 
 def with_words(docs: DataFrame) -> DataFrame:
     """Add ``body`` (the text, null as empty) and ``words``."""
     body = docs.withColumn("body", F.coalesce("text", F.lit("")))
-    trimmed = F.expr(f"trim(BOTH {BLANKS} FROM body)")
-    return body.withColumn("words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t-\\r]+")))
+    return body.withColumn("words", split_words("body"))
 
 
-def class_counts() -> Column:
-    """Characters of ``body`` by class, in the order of CLASSES."""
-    size = F.length("body")
-    without = lambda chars: F.length(F.translate("body", chars, ""))
-    blank = size - F.expr(f"length(translate(body, {BLANKS}, ''))")
-    symbol, digit = size - without(SYMBOLS), size - without("0123456789")
-    upper = size - F.length(F.regexp_replace("body", r"\p{Lu}+", ""))
-    letter = size - F.length(F.regexp_replace("body", r"\p{L}+", ""))
-    sign = size - blank - symbol - digit - letter
-    return F.array(*[c.cast("long") for c in (upper, letter - upper, digit, symbol, sign, blank)])
+def split_words(text: str) -> Column:
+    trimmed = F.expr(f"trim(BOTH {BLANKS} FROM {text})")
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t-\\r]+"))
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """``(lang, chars array<double>, common array<string>, shares array<double>)`` over all of ``docs(lang, text)``.
+def with_classes(df: DataFrame) -> DataFrame:
+    """Add ``size``, ``word_chars`` and ``classes``, the characters of ``body`` by class in the order of CLASSES.
 
-    For each language that at least one document in a thousand has, and as ``lang = null`` for all documents together:
-    shares of the character classes, the most frequent words (lower case; ties by the word) and their shares, with the
-    share of all other words last. So there are at most about a thousand rows.
+    Letters are taken out first; what is left is short, and the other classes are counted there.
     """
-    full = with_words(docs.select("lang", "text"))
-    classes = full.select("lang", class_counts().alias("c")).groupBy("lang").agg(F.count("*").alias("docs"), *[F.sum(F.col("c")[i]).alias(c) for i, c in enumerate(CLASSES)])
-    counts = cut_lineage(full.select("lang", F.explode("words").alias("word")).groupBy("lang", F.lower("word").alias("word")).agg(F.count("*").alias("n")))
-    classes = cut_lineage(classes)
-    own = classes.where(F.col("lang").isNotNull()).crossJoin(F.broadcast(classes.agg(F.sum("docs").alias("all")))).where(F.col("docs") * LEAST_SHARE >= F.col("all")).drop("all")
-    every = classes.agg(F.sum("docs").alias("docs"), *[F.sum(c).alias(c) for c in CLASSES]).withColumn("lang", F.lit(None).cast("string"))
-    total = sum(F.col(c) for c in CLASSES)
-    chars = own.unionByName(every).select("lang", F.array(*[F.col(c) / F.greatest(total, F.lit(1)) for c in CLASSES]).alias("chars"))
+    df = df.withColumn("size", F.length("body").cast("long")).withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
+    df = df.withColumn("rest", F.regexp_replace("body", r"\p{L}+", "")).withColumn("upper", F.length("body") - F.length(F.regexp_replace("body", r"\p{Lu}+", "")))
+    without = lambda chars: F.length("rest") - F.length(F.translate("rest", chars, ""))
+    df = df.withColumns({"symbol": without(SYMBOLS), "digit": without("0123456789")})
+    letters = F.length("body") - F.length("rest")
+    blank = F.col("size") - F.col("word_chars")
+    sign = F.length("rest") - blank - F.col("symbol") - F.col("digit")
+    classes = F.array(*[c.cast("long") for c in (F.col("upper"), letters - F.col("upper"), F.col("digit"), F.col("symbol"), sign, blank)])
+    return df.withColumn("classes", classes).drop("rest", "upper", "symbol", "digit")
+
+
+def common_words(docs: DataFrame) -> DataFrame:
+    """``(lang, common array<string>, shares array<double>)`` over all of ``docs(lang, text)``.
+
+    For each language that at least one document in a thousand has, and as ``lang = null`` for all documents together: the
+    most frequent words (lower case; ties by the word) and their shares, with the share of all other words last. So there
+    are at most about a thousand rows.
+    """
+    words = docs.select("lang", F.lower("text").alias("low")).where("low IS NOT NULL").select("lang", F.explode(split_words("low")).alias("word"))
+    counts = cut_lineage(words.groupBy("lang", "word").agg(F.count("*").alias("n")))
+    number = cut_lineage(docs.groupBy("lang").agg(F.count("*").alias("docs")))
+    every = number.agg(F.sum("docs").alias("all"))
+    own = number.where("lang IS NOT NULL").crossJoin(F.broadcast(every)).where(F.col("docs") * LEAST_SHARE >= F.col("all")).select("lang")
     pooled = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "word", "n")
-    words = counts.join(F.broadcast(own.select("lang")), "lang", "left_semi").unionByName(pooled)
+    words = counts.join(F.broadcast(own), "lang", "left_semi").unionByName(pooled)
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     best = words.withColumn("rank", rank).where(F.col("rank") <= COMMON).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
-    same = lambda a, b: a["lang"].eqNullSafe(b["lang"])
-    best = best.join(F.broadcast(totals), same(best, totals)).select(best["lang"], "top", "total")
-    joined = chars.join(F.broadcast(best), same(chars, best), "left").select(chars["lang"], "chars", "top", "total")
-    shares = F.expr("transform(top, x -> x.n / total)")
-    rest = F.expr("1 - aggregate(top, 0L, (s, x) -> s + x.n) / total")
-    return joined.select("lang", "chars", F.coalesce(F.expr("top.word"), F.array().cast("array<string>")).alias("common"), F.coalesce(F.concat(shares, F.array(rest)), F.array(F.lit(1.0))).alias("shares"))
+    best = best.join(F.broadcast(totals), best["lang"].eqNullSafe(totals["lang"])).select(best["lang"], "top", "total")
+    shares = F.expr("concat(transform(top, x -> x.n / total), array(1 - aggregate(top, 0L, (s, x) -> s + x.n) / total))")
+    blank = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("lang"), F.array().cast("array<string>").alias("common"), F.array(F.lit(1.0)).alias("shares"))
+    found = best.select("lang", F.col("top.word").alias("common"), shares.alias("shares"))
+    return cut_lineage(found.unionByName(blank.join(found.where("lang IS NULL").select(F.lit(1).alias("has")), F.lit(True), "left_anti")))
+
+
+def class_shares(counted: DataFrame) -> DataFrame:
+    """``(ref, chars array<double>)``: shares of the character classes over all documents of each reference language, and of all (null)."""
+    sums = counted.groupBy("ref").agg(*[F.sum(F.col("classes")[i]).alias(c) for i, c in enumerate(CLASSES)])
+    every = sums.groupBy(F.lit(None).cast("string").alias("ref")).agg(*[F.sum(c).alias(c) for c in CLASSES])
+    total = sum(F.col(c) for c in CLASSES)
+    return sums.where("ref IS NOT NULL").unionByName(every).select("ref", F.array(*[F.col(c) / F.greatest(total, F.lit(1)) for c in CLASSES]).alias("chars"))
 
 
 def distance(p: str, q: str) -> Column:
@@ -83,45 +95,56 @@ def repeat_counts(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("hashes", "sorted", "twice", "placed", "again")
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs(text, lang, ...)``, its columns as struct ``row``, with the counts and the verdict ``kept``.
+def counted(docs: DataFrame) -> DataFrame:
+    """Every row of ``docs(text, lang, ...)``, its columns as struct ``row``, with its counts and its histograms.
 
-    Columns: word_chars, n_words, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept.
-    A text fails the base rules with under 50 words, or if over half of its words are repeated. Otherwise its character
-    classes, and its share of its language's common words, must not be further from those of the language than the
-    limits; texts below the least lengths are not compared (distance null). Null or rare languages are compared with all documents.
-    A null text has no words. Everything runs in the JVM.
+    ``ref`` is the language it is compared with: null, for all documents together, if its own is null or rare.
     """
-    refs = F.broadcast(references(docs))
-    own = refs.where("lang is not null").withColumnRenamed("lang", "ref_lang")
-    every = refs.where("lang is null").select(F.col("chars").alias("all_chars"), F.col("common").alias("all_common"), F.col("shares").alias("all_shares"))
+    refs = common_words(docs)
+    own = refs.where("lang IS NOT NULL").withColumnRenamed("lang", "ref")
+    every = refs.where("lang IS NULL").select(F.col("common").alias("all_common"), F.col("shares").alias("all_shares"))
     df = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang")
-    df = df.join(F.broadcast(own), F.col("lang") == F.col("ref_lang"), "left").join(F.broadcast(every), F.lit(True), "left")
-    df = df.select("row", "text", *[F.coalesce(c, f"all_{c}").alias(c) for c in ("chars", "common", "shares")])
+    df = df.join(F.broadcast(own), F.col("lang") == F.col("ref"), "left").join(F.broadcast(every), F.lit(True), "left")
+    df = df.select("row", "text", "ref", *[F.coalesce(c, f"all_{c}").alias(c) for c in ("common", "shares")])
     df = with_words(df).withColumn("n_words", F.size("words").cast("long"))
-    df = repeat_counts(df)
-    df = df.withColumn("classes", class_counts()).withColumn("size", F.length("body").cast("long"))
-    df = df.withColumn("hits", F.expr("filter(transform(words, w -> lower(w)), w -> array_contains(common, w))"))
-    df = df.withColumn("own_chars", F.expr("transform(classes, c -> c / greatest(size, 1L))"))
+    df = with_classes(repeat_counts(df))
+    df = df.withColumn("longest", F.array_max(F.transform("common", F.length)))
+    df = df.withColumn("hits", F.expr("filter(transform(filter(words, w -> length(w) <= longest), w -> lower(w)), w -> array_contains(common, w))"))
     df = df.withColumn("own_shares", F.expr("concat(transform(common, c -> size(filter(hits, w -> w = c)) / greatest(n_words, 1L)), array(1 - size(hits) / greatest(n_words, 1L)))"))
     lines = F.expr(f"filter(split(body, '\\n'), l -> trim(BOTH {BLANKS} FROM l) <> '')")
     df = df.withColumn("lines", lines)
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    class_distance = F.when(F.col("size") >= LEAST_CHARS, distance("own_chars", "chars"))
-    word_distance = F.when(F.col("n_words") >= LEAST_WORDS, distance("own_shares", "shares"))
-    df = df.select(
-        "row",
-        (F.col("size") - F.col("classes")[5]).cast("long").alias("word_chars"),
-        "n_words",
+    return df.select(
+        "row", "ref", "size", "classes", "word_chars", "n_words",
         F.col("classes")[3].cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
-        base.alias("base_failed"),
-        class_distance.alias("class_distance"),
-        word_distance.alias("word_distance"),
-    )
+        F.when(F.col("n_words") >= LEAST_WORDS, distance("own_shares", "shares")).alias("word_distance"),
+    )
+
+
+def verdict(counts: DataFrame) -> DataFrame:
+    """Add ``base_failed``, ``class_distance`` and ``kept`` to ``counted`` rows; the class references are sums over all of them."""
+    chars = class_shares(counts)
+    own = chars.where("ref IS NOT NULL")
+    every = chars.where("ref IS NULL").select(F.col("chars").alias("all_chars"))
+    df = counts.join(F.broadcast(own), "ref", "left").join(F.broadcast(every), F.lit(True), "left").withColumn("chars", F.coalesce("chars", "all_chars"))
+    df = df.withColumn("own_chars", F.expr("transform(classes, c -> c / greatest(size, 1L))"))
+    df = df.withColumn("class_distance", F.when(F.col("size") >= LEAST_CHARS, distance("own_chars", "chars")))
+    df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= MOST_CLASS) & (F.coalesce("word_distance", F.lit(0.0)) <= MOST_WORD)
-    return df.withColumn("kept", ~F.col("base_failed") & near)
+    return df.withColumn("kept", ~F.col("base_failed") & near).drop("chars", "all_chars", "own_chars", "classes", "size", "ref")
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """Every row of ``docs(text, lang, ...)``, its columns as struct ``row``, with the counts and the verdict ``kept``.
+
+    Columns: word_chars, n_words, n_symbols, n_dup_lines, n_repeat_words, word_distance, base_failed, class_distance, kept.
+    A text fails the base rules with under 50 words, or if over half of its words are repeated. Otherwise its character
+    classes, and its share of its language's common words, must not be further from those of the language than the
+    limits; texts below the least lengths are not compared (distance null). Null or rare languages are compared with all documents.
+    A null text has no words. Everything runs in the JVM.
+    """
+    return verdict(counted(docs))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -130,5 +153,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge(table(spark, sf_dir, "documents"))
-    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    docs = table(spark, sf_dir, "documents")
+    # Without its text a row is small: it is counted once, and both the references and the verdicts are read from that.
+    counts = counted(docs).withColumn("row", F.struct("row.doc_id"))
+    return verdict(cut_lineage(counts)).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
