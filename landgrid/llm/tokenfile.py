@@ -6,6 +6,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,46 +89,53 @@ def open_segment(image: bytes) -> tuple[EliasFano, np.ndarray]:
     return EliasFano(n, low_bits, low, high, samples, stride), np.frombuffer(image, f"<u{width}", total, at)
 
 
-UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-OTHER_SPACE = re.compile("[" + "".join(map(chr, (9, 11, 12, 13, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
-CACHE_CHARS = 1 << 23
+# Letters, numbers and white space of Latin-1, the classes of the tokenizer's own pattern for texts within it.
+LETTER, NUMBER, SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t\n\x0b\x0c\r \x85\xa0"
+UNIT = re.compile(f" ?[{LETTER}]+|'(?:[sdmt]|ll|ve|re)| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+CACHE_UNITS = 1 << 20
+LONGEST_KEPT = 64
 
 
-class UnitEncoder:
-    """Ids of whole texts as little-endian 32-bit integers, by the tokenizers library.
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, others from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in own else next(rest)) for b in range(256)}
 
-    The tokenizer's pattern never joins a non-space with the space after it, so a text is cut there and equal units are
-    encoded once. A text with white space other than blanks and newlines is encoded in one piece.
+
+class UnitEncoder(dict):
+    """Ids of whole texts as little-endian 32-bit integers, by the tokenizers library; keeps the ids of units seen.
+
+    A text within Latin-1 is cut into the units that the tokenizer's pattern makes, and the library's model encodes each
+    unit once. Any other text is encoded by the library in one piece.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache: dict[str, bytes] = {}
-        self.chars = 0
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, byte_letters()
 
-    def _encode(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+    def __missing__(self, unit: str) -> bytes:
+        tokens = self.tokenize(unit.encode().decode("latin-1").translate(self.letters))
+        ids = array("I", [t.id for t in tokens]).tobytes()
+        if len(unit) <= LONGEST_KEPT:
+            if len(self) >= CACHE_UNITS:
+                self.clear()
+            self[unit] = ids
+        return ids
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if OTHER_SPACE.search(text):
-            return self._encode([text])[0]
-        units = UNIT.findall(text)
         try:
-            return b"".join(map(self.cache.__getitem__, units))
-        except KeyError:
-            new = [u for u in dict.fromkeys(units) if u not in self.cache]
-            self.cache.update(zip(new, self._encode(new), strict=True))
-            out = b"".join(map(self.cache.__getitem__, units))
-            self.chars += sum(map(len, new))
-            if self.chars > CACHE_CHARS:
-                self.cache, self.chars = {}, 0
-            return out
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.__getitem__, UNIT.findall(text)))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str) -> None:
