@@ -17,7 +17,7 @@ CHUNK = 1 << 14  # characters; longer texts are split
 HALO = 64  # characters of context on either side of a chunk
 LONGEST = 16  # characters of the longest piece of the vocabulary
 UNIT = re.compile(r" *[^ ]+| +")
-CACHE_CHARS = 1 << 23
+CACHE_CHARS = 3 << 19
 NO, YES = -np.inf, 0.0  # max-plus zero and one
 
 
@@ -58,7 +58,7 @@ class PieceEncoder:
         """Ids of ``text`` without the library's prefix: a newline has no piece, so nothing merges with it."""
         found = self.plain.get(text)
         if found is None:
-            if len(self.plain) > 1 << 18:
+            if len(self.plain) > 1 << 16:
                 self.plain = {}
             found = self.plain[text] = tuple(self.model.encode("\n" + text)[2:])
         return found
@@ -96,6 +96,27 @@ def reach(encoder: PieceEncoder, text: str, first: tuple[int, int], to: int) ->
     return back
 
 
+def reach_all(encoder: PieceEncoder, text: str, firsts: list[tuple[int, int]], to: int) -> dict[tuple[int, int], int]:
+    """All tokens that chains from any of ``firsts`` come to and that start before ``to``, each with the set of those firsts as bits."""
+    masks = {state: 1 << i for i, state in enumerate(firsts)}
+    ending: dict[int, list[tuple[int, int]]] = {}
+    for state in firsts:
+        ending.setdefault(state[1], []).append(state)
+    for b in range(min(ending, default=to), to):
+        before = ending.pop(b, [])
+        for e in range(b + 1, min(len(text), b + LONGEST) + 1) if before else ():
+            token = text[b:e]
+            if encoder.is_token(token):
+                mask = 0
+                for a in before:
+                    if encoder.compatible(text[a[0] : b], token):
+                        mask |= masks[a]
+                if mask:
+                    masks[b, e] = masks.get((b, e), 0) | mask
+                    ending.setdefault(e, []).append((b, e))
+    return masks
+
+
 def resets(text: str, begin: int, end: int) -> tuple[int, int]:
     """The first and last position in [begin, end) where a run of spaces begins after another character, or (-1, -1)."""
     spots = [m.start() + 1 for m in re.finditer(r"[^ ](?= )", text[max(0, begin - 1) : end])]
@@ -114,11 +135,8 @@ def transfer(encoder: PieceEncoder, text: str, begin: int, end: int) -> tuple[li
     right = cut_states(encoder, text, end)
     first, last = resets(text, max(begin, 1), end)
     if first < 0:
-        matrix = np.full((len(left), len(right)), NO)
-        for i, state in enumerate(left):
-            chain = reach(encoder, text, state, end)
-            matrix[i] = [YES if r in chain else NO for r in right]
-        return left, right, matrix
+        reached = reach_all(encoder, text, left, end)
+        return left, right, np.array([[YES if reached.get(r, 0) >> i & 1 else NO for r in right] for i in range(len(left))])
     ins = [YES if any(b == first for _, b in reach(encoder, text, s, first)) else NO for s in left]
     chain = reach(encoder, text, (last, last), end)
     outs = [YES if r in chain else NO for r in right]
@@ -232,7 +250,8 @@ def encode_documents(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> Da
     )
     kind = "key struct<h: bigint, c: bigint, n: int>, k int"
     states = pieces.mapInPandas(matrices, f"{kind}, lefts array<bigint>, left_ends array<bigint>, starts array<bigint>, ends array<bigint>, cells array<boolean>")
-    path = states.groupBy("key").applyInPandas(combine, f"{kind}, a bigint, b bigint, c bigint, d bigint")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    path = states.repartition(parts, "key").groupBy("key").applyInPandas(combine, f"{kind}, a bigint, b bigint, c bigint, d bigint")
     parts = pieces.join(path, ["key", "k"]).mapInPandas(traced, f"{kind}, part binary")
     whole = parts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "part"))).alias("parts"))
     whole = whole.select("key", F.expr("aggregate(parts, cast('' as binary), (x, p) -> concat(x, p.part))").alias("ids"))
