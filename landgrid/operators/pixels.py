@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEY = ["cell_id", "r", "c"]
-ROW, COL = Window.partitionBy("cell_id", "r").orderBy("c"), Window.partitionBy("cell_id", "c").orderBy("r")
+
+
+def row_window() -> WindowSpec:
+    return Window.partitionBy("cell_id", "r").orderBy("c")
+
+
+def col_window() -> WindowSpec:
+    return Window.partitionBy("cell_id", "c").orderBy("r")
 
 
 def majority(pixels: DataFrame, keys: list[str], cls: str) -> DataFrame:
@@ -62,7 +69,7 @@ def blend(pixels: DataFrame, value: str, size: int, window: int, stride: int, ha
 
 def differs(value: str) -> Column:
     """Whether any of the four neighbours within the cell has another value."""
-    sides = [f(value, 1).over(w) for f in (F.lag, F.lead) for w in (ROW, COL)]
+    sides = [f(value, 1).over(w) for f in (F.lag, F.lead) for w in (row_window(), col_window())]
     return reduce(lambda a, b: a | b, [F.coalesce(s != F.col(value), F.lit(False)) for s in sides])
 
 
@@ -88,10 +95,10 @@ def distance_to(mask: DataFrame, pixels: DataFrame, most: int) -> DataFrame:
     Two passes of exact row and column minima: each row's nearest masked column first, then over the rows within reach.
     """
     marked = pixels.select(*KEY).join(mask.select(*KEY, F.lit(1).alias("m")), KEY, "left")
-    left = F.last(F.when(F.col("m") == 1, F.col("c")), True).over(ROW)
-    right = F.first(F.when(F.col("m") == 1, F.col("c")), True).over(ROW.rowsBetween(0, Window.unboundedFollowing))
+    left = F.last(F.when(F.col("m") == 1, F.col("c")), True).over(row_window())
+    right = F.first(F.when(F.col("m") == 1, F.col("c")), True).over(row_window().rowsBetween(0, Window.unboundedFollowing))
     rows = marked.withColumn("d", F.least(F.col("c") - left, right - F.col("c")))
-    reach = F.collect_list(F.struct("r", "d")).over(COL.rowsBetween(-most, most))
+    reach = F.collect_list(F.struct("r", "d")).over(col_window().rowsBetween(-most, most))
     best = F.array_min(F.transform(F.filter(reach, lambda x: x["d"].isNotNull()), lambda x: x["d"] * x["d"] + (x["r"] - F.col("r")) * (x["r"] - F.col("r"))))
     far = F.least(F.sqrt(F.coalesce(best, F.lit(most * most))), F.lit(float(most))) / most
     return rows.select(*KEY, F.round(far, 6).alias("distance"))
@@ -122,8 +129,8 @@ def opened(pixels: DataFrame, cls: str, k: int) -> DataFrame:
 
 def sobel(pixels: DataFrame, value: str) -> DataFrame:
     """Gradient magnitude at inner pixels."""
-    at = {(dr, dc): F.lag(f"row_{dc}", -dr).over(COL) for dr in (-1, 0, 1) for dc in (-1, 0, 1)}
-    rows = pixels.select(*KEY, F.lag(value, 1).over(ROW).alias("row_-1"), F.col(value).alias("row_0"), F.lead(value, 1).over(ROW).alias("row_1"))
+    at = {(dr, dc): F.lag(f"row_{dc}", -dr).over(col_window()) for dr in (-1, 0, 1) for dc in (-1, 0, 1)}
+    rows = pixels.select(*KEY, F.lag(value, 1).over(row_window()).alias("row_-1"), F.col(value).alias("row_0"), F.lead(value, 1).over(row_window()).alias("row_1"))
     gx = (at[-1, 1] + 2 * at[0, 1] + at[1, 1]) - (at[-1, -1] + 2 * at[0, -1] + at[1, -1])
     gy = (at[1, -1] + 2 * at[1, 0] + at[1, 1]) - (at[-1, -1] + 2 * at[-1, 0] + at[-1, 1])
     return rows.select(*KEY, gx.alias("gx"), gy.alias("gy")).where("gx IS NOT NULL AND gy IS NOT NULL").select(*KEY, F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("double")).alias("magnitude"))
@@ -146,8 +153,8 @@ def components(pixels: DataFrame, value: str, diagonal: bool = False) -> DataFra
     from landgrid.session import cut_lineage
 
     rows = pixels.where(F.col(value) != 0).select(*KEY, value)
-    start = F.when((F.lag("c").over(ROW) == F.col("c") - 1) & (F.lag(value).over(ROW) == F.col(value)), 0).otherwise(1)
-    runs = rows.withColumn("new", start).withColumn("run", F.sum("new").over(ROW))
+    start = F.when((F.lag("c").over(row_window()) == F.col("c") - 1) & (F.lag(value).over(row_window()) == F.col(value)), 0).otherwise(1)
+    runs = rows.withColumn("new", start).withColumn("run", F.sum("new").over(row_window()))
     spans = runs.groupBy("cell_id", "r", "run", value).agg(F.min("c").alias("a"), F.max("c").alias("b")).withColumn("id", F.col("r") * (1 << 20) + F.col("a"))
     spans = cut_lineage(spans)
     reach = 1 if diagonal else 0

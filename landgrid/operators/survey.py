@@ -83,11 +83,11 @@ def weighted_draw(rows: DataFrame, id_col: str, weight: str, draws: int, seed: i
 
     The cumulative weight is over groups of a hash of the id, so no window has all rows.
     """
-    rows = rows.select(id_col, weight).withColumn("grp", F.pmod(F.xxhash64(id_col), F.lit(64)))
-    starts = rows.groupBy("grp").agg(F.sum(weight).alias("w")).withColumn("start", F.sum("w").over(Window.orderBy("grp")) - F.col("w"))
-    upto = F.sum(weight).over(Window.partitionBy("grp").orderBy(id_col))
-    spans = rows.withColumn("upto", upto).join(F.broadcast(starts), "grp").select(id_col, "grp", (F.col("start") + F.col("upto") - F.col(weight)).alias("a"), (F.col("start") + F.col("upto")).alias("b"))
+    rows = rows.select(id_col, F.col(weight).alias("own")).withColumn("grp", F.pmod(F.xxhash64(id_col), F.lit(64)))
+    starts = rows.groupBy("grp").agg(F.sum("own").alias("w")).withColumn("start", F.sum("w").over(Window.orderBy("grp")) - F.col("w"))
+    upto = F.sum("own").over(Window.partitionBy("grp").orderBy(id_col).rowsBetween(Window.unboundedPreceding, 0))
+    spans = rows.withColumn("upto", upto).join(F.broadcast(starts), "grp").select(id_col, "grp", F.expr("start + upto - own").alias("a"), F.expr("start + upto").alias("b"))
     total = starts.agg(F.sum("w").alias("total"))
-    picks = rows.sparkSession.range(draws).crossJoin(F.broadcast(total)).select("id", F.pmod(F.xxhash64(F.lit(seed), "id"), "total").alias("at"))
-    picks = picks.join(F.broadcast(starts.select("grp", "start", "w")), (F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("w"))).select("id", "at", "grp")
-    return picks.join(spans, "grp").where("at >= a AND at < b").select("id", id_col)
+    picks = rows.sparkSession.range(draws).crossJoin(F.broadcast(total)).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), "total").alias("at"))
+    picks = picks.join(F.broadcast(starts.select("grp", "start", "w")), (F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("w"))).select("draw", "at", "grp")
+    return picks.join(spans, "grp").where("at >= a AND at < b").select("draw", id_col)

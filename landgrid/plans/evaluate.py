@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landgrid.operators import metrics as mt
@@ -12,7 +12,11 @@ from landgrid.plans.registry import query
 
 TS = list(range(150, 875, 25))
 TSQL = f"(SELECT unnest([{', '.join(map(str, TS))}]) AS t)"
-CROP = F.col("truth").isin(1, 2)
+
+
+def crop() -> Column:
+    return F.col("truth").isin(1, 2)
+
 
 
 def _prf(tp: str = "tp", fp: str = "fp", fn: str = "fn") -> str:
@@ -27,7 +31,7 @@ ROUNDED = lambda tp="tp", fp="fp", fn="fn": f"round({tp} / ({tp} + {fp} + 1e-9),
 WITH c AS (SELECT cell_id, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn
   FROM (SELECT cell_id, truth IN (1, 2) AS t, pred IN (1, 2) AS p FROM pixels WHERE truth > 0) GROUP BY 1) SELECT cell_id, tp, fp, fn, tn, {ROUNDED()}, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM c""")
 def l1(pixels: DataFrame) -> DataFrame:
-    c = pixels.where("truth > 0").groupBy("cell_id").agg(*mt.binary_counts(CROP, F.col("pred").isin(1, 2)))
+    c = pixels.where("truth > 0").groupBy("cell_id").agg(*mt.binary_counts(crop(), F.col("pred").isin(1, 2)))
     return c.select("*", *[F.round(v, 6).alias(k) for k, v in mt.precision_recall().items()], F.round(F.expr("(tp + tn) / (tp + fp + fn + tn)"), 6).alias("accuracy"))
 
 
@@ -80,7 +84,7 @@ SWEEP = f"c AS (SELECT county, t, count(*) FILTER (truth IN (1, 2) AND prob_pm >
 
 
 def _sweep(pixels: DataFrame) -> DataFrame:
-    return mt.threshold_counts(pixels.where("truth > 0"), ["county"], CROP, "prob_pm", TS)
+    return mt.threshold_counts(pixels.where("truth > 0"), ["county"], crop(), "prob_pm", TS)
 
 
 @query("L6_threshold_sweep", "pixels", f"WITH {SWEEP} SELECT county, t, tp, fp, fn, {ROUNDED()} FROM c")
@@ -92,7 +96,7 @@ def l6(pixels: DataFrame) -> DataFrame:
 WITH {SWEEP}, g AS (SELECT t, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM c GROUP BY 1), f AS (SELECT t, round({_prf()}, 9) AS f1 FROM g)
 SELECT max_by(t, (f1, -t)) AS t, max(f1) AS f1 FROM f""")
 def l7(pixels: DataFrame) -> DataFrame:
-    counts = mt.threshold_counts(pixels.where("truth > 0").withColumn("every", F.lit(1)), ["every"], CROP, "prob_pm", TS)
+    counts = mt.threshold_counts(pixels.where("truth > 0").withColumn("every", F.lit(1)), ["every"], crop(), "prob_pm", TS)
     return mt.best_threshold(counts, ["every"]).select("t", "f1")
 
 
@@ -120,7 +124,7 @@ def l9(scores: DataFrame) -> DataFrame:
 WITH c AS (SELECT cell_id, county, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn FROM (SELECT cell_id, county, truth IN (1, 2) AS t, pred IN (1, 2) AS p FROM pixels WHERE truth > 0) GROUP BY ALL)
 SELECT county, count(*) AS cells, round(avg({_prf()}), 6) AS f1 FROM c WHERE tp + fp + fn > 0 GROUP BY 1""")
 def l10(pixels: DataFrame) -> DataFrame:
-    c = pixels.where("truth > 0").groupBy("cell_id", "county").agg(*mt.binary_counts(CROP, F.col("pred").isin(1, 2))).where("tp + fp + fn > 0")
+    c = pixels.where("truth > 0").groupBy("cell_id", "county").agg(*mt.binary_counts(crop(), F.col("pred").isin(1, 2))).where("tp + fp + fn > 0")
     return c.groupBy("county").agg(F.count("*").alias("cells"), F.round(F.avg(mt.precision_recall()["f1"]), 6).alias("f1"))
 
 
@@ -193,7 +197,7 @@ SELECT CAST(t AS INT) AS t, count(*) FILTER (s > t AND truth IN (1, 2)) AS tp, c
 def l22(pixels: DataFrame) -> DataFrame:
     i = pixels.groupBy("cell_id", "inst_pred").agg(F.avg(F.col("grn") - F.col("red")).alias("s"))
     marks = F.array(*map(F.lit, (-50, 0, 25, 50)))
-    sizes = pixels.where("truth > 0").groupBy("cell_id", "inst_pred").agg(F.count_if(CROP).alias("pos"), F.count_if(~CROP).alias("neg"))
+    sizes = pixels.where("truth > 0").groupBy("cell_id", "inst_pred").agg(F.count_if(crop()).alias("pos"), F.count_if(~crop()).alias("neg"))
     rows = sizes.join(i, ["cell_id", "inst_pred"]).select("pos", "neg", "s", F.explode(marks).alias("t"))
     at = lambda c, on: F.sum(F.when(F.col("s") > F.col("t") if on else F.col("s") <= F.col("t"), F.col(c)).otherwise(0))
     return rows.groupBy("t").agg(at("pos", True).alias("tp"), at("neg", True).alias("fp"), at("pos", False).alias("fn"))
@@ -209,7 +213,7 @@ def d27(pixels: DataFrame) -> DataFrame:
 @query("M6_hard_example_weights", "pixels", """
 SELECT cell_id, round(1 + 2 * count(*) FILTER ((truth IN (1, 2)) <> (pred IN (1, 2))) / count(*), 6) AS weight FROM pixels WHERE truth > 0 GROUP BY 1""")
 def m6w(pixels: DataFrame) -> DataFrame:
-    wrong = F.count_if(CROP != F.col("pred").isin(1, 2))
+    wrong = F.count_if(crop() != F.col("pred").isin(1, 2))
     return pixels.where("truth > 0").groupBy("cell_id").agg(F.round(1 + 2 * wrong / F.count("*"), 6).alias("weight"))
 
 

@@ -1,5 +1,7 @@
 """Streams over the same rows as their batch twins."""
 
+import time
+
 import pytest
 
 from landgrid.fixtures import fixture
@@ -40,6 +42,7 @@ def test_throughput_equals_its_batch(spark, source, tmp_path):
 def test_late_tiles_are_dropped(spark, tmp_path):
     rows = spark.sql("SELECT 1L AS job_id, 1L AS x, 1L AS y, 'ok' AS status, 5L AS nbytes, timestamp'2026-01-01 10:00:00' AS ts")
     for k, minutes in enumerate((0, 60, 1)):
+        time.sleep(1.1)  # files are read in the order of their times
         rows.selectExpr("job_id", "x", "y", "status", "nbytes", f"ts + make_interval(0, 0, 0, 0, 0, {minutes}) AS ts").coalesce(1).write.parquet(str(tmp_path / f"in/k={k}"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     got = drain(ev.throughput(stream), "late", "append", tmp_path)
@@ -47,7 +50,10 @@ def test_late_tiles_are_dropped(spark, tmp_path):
 
 
 def test_exactly_once(spark, source, tmp_path):
-    batch, stream = source
+    batch, _ = source
+    path = str(tmp_path / "all")
+    batch.coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(batch.schema).parquet(path)  # one trigger, so nothing is late
     got = {tuple(r) for r in drain(ev.completed_once(stream), "once", "append", tmp_path).collect()}
     assert got == {tuple(r) for r in ev.completed_once(batch).collect()}
 
