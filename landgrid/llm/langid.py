@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from landgrid.llm.keys import document_key, keep_keys
 from landgrid.session import cut_lineage, table
 
 UNDETERMINED = "und"
@@ -165,11 +166,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` whose language is found with at least ``least`` of the weight; ``und`` goes. Columns stay as they are."""
-    sure = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), fit(docs)).where(
-        (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)
-    )
-    return sure.select("row.*")
+    """Rows of ``docs`` whose language is found with at least ``least`` of the weight; ``und`` goes. Columns stay as they are.
+
+    Decisions are made on the text alone and joined back, so that Python tasks don't carry whole rows.
+    """
+    found = predict(docs.select("text", *document_key()), fit(docs))
+    return keep_keys(docs, cut_lineage(found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("k1", "k2")))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

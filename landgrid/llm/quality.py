@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from landgrid.llm.keys import document_key, keep_keys
 from landgrid.session import cut_lineage, table
 
 BLANKS = r"' \t\n\u000b\u000c\r'"
@@ -147,11 +148,6 @@ def judge(docs: DataFrame) -> DataFrame:
     return verdict(counted(docs))
 
 
-def document_key() -> list[Column]:
-    """96 bits that tell documents apart by doc_id, lang and text."""
-    return [F.xxhash64("doc_id", "lang", "text").alias("k1"), F.crc32(F.concat_ws(":", "doc_id", "lang", "text")).alias("k2")]
-
-
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs(doc_id, text, lang, ...)`` that the rules keep, with their columns as they are.
 
@@ -160,9 +156,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     narrow = docs.select("doc_id", "text", "lang")
     counts = counted(narrow).select("*", *[F.col(f"row.{c}").alias(c) for c in narrow.columns])
     counts = cut_lineage(counts.select(*[c for c in counts.columns if c not in ("row", *narrow.columns)], *document_key()))
-    kept = verdict(counts).where("kept").select("k1", "k2").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "lang", "text").select("row", *document_key())
-    return rows.join(kept, ["k1", "k2"], "left_semi").select("row.*")
+    return keep_keys(docs, verdict(counts).where("kept"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
