@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgrid.session import table
@@ -184,20 +185,21 @@ def backtrace(encoder: PieceEncoder, text: str, begin: int, end: int, state: tup
     return head + encoder.padded(text[first:last]) + walk(reach(encoder, text, (last, last), end), goal)
 
 
-def encode_documents(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
-    """``docs(text, ...)`` with a column ``ids``: the library's ids of the whole text as little-endian 32-bit integers.
+def text_key() -> Column:
+    """What tells texts apart: 96 bits of hashes and the length."""
+    return F.struct(F.xxhash64("text").alias("h"), F.crc32(F.encode("text", "UTF-8")).alias("c"), F.length("text").alias("n"))
 
-    Texts of up to ``chunk`` characters are encoded in their rows. A longer text becomes chunks in rows of their own, one
-    for each distinct text: every chunk yields the matrix of its boundary states, the matrices of a text are combined, and
-    every chunk is then traced back by itself. Null and empty texts have no ids. An existing column ``ids`` is replaced.
-    """
-    docs = docs.drop("ids")
 
-    @F.pandas_udf("binary")
-    def short(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = PieceEncoder(model_path)
-        for s in texts:
-            yield s.map(encoder.text, na_action=None)
+def is_giant(chunk: int) -> Column:
+    return F.coalesce(F.length("text") > chunk, F.lit(False))
+
+
+def giant_ids(docs: DataFrame, model_path: str, chunk: int) -> DataFrame:
+    """``(key, ids)`` of every distinct text of ``docs(text)`` above ``chunk`` characters, by the parallel scan.
+
+    Every chunk, in a row of its own, yields the matrix of its boundary states, the matrices of a text are combined, and
+    every chunk is then traced back by itself.
+    """
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = PieceEncoder(model_path)
@@ -237,9 +239,7 @@ def encode_documents(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> Da
                 ids.append(backtrace(encoder, r.body, r.begin, r.end, (r.a + d, r.b + d), (r.c + d, r.d + d)))
             yield pd.DataFrame({"key": f.key, "k": f.k, "part": ids})
 
-    key = F.struct(F.xxhash64("text").alias("h"), F.crc32(F.encode("text", "UTF-8")).alias("c"), F.length("text").alias("n"))
-    giant = F.coalesce(F.length("text") > chunk, F.lit(False))
-    long_texts = docs.where(giant).select(key.alias("key"), F.concat(F.lit(" "), F.translate("text", SPACE, " ")).alias("body")).dropDuplicates(["key"])
+    long_texts = docs.where(is_giant(chunk)).select(text_key().alias("key"), F.concat(F.lit(" "), F.translate("text", SPACE, " ")).alias("body")).dropDuplicates(["key"])
     pieces = long_texts.select(
         "key", "body", F.explode(F.expr(f"sequence(0, cast((length(body) - 1) div {chunk} as int))")).alias("k")
     ).select(
@@ -254,10 +254,26 @@ def encode_documents(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> Da
     path = states.repartition(parts, "key").groupBy("key").applyInPandas(combine, f"{kind}, a bigint, b bigint, c bigint, d bigint")
     parts = pieces.join(path, ["key", "k"]).mapInPandas(traced, f"{kind}, part binary")
     whole = parts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "part"))).alias("parts"))
-    whole = whole.select("key", F.expr("aggregate(parts, cast('' as binary), (x, p) -> concat(x, p.part))").alias("ids"))
+    return whole.select("key", F.expr("aggregate(parts, cast('' as binary), (x, p) -> concat(x, p.part))").alias("ids"))
+
+
+def encode_documents(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
+    """``docs(text, ...)`` with a column ``ids``: the library's ids of the whole text as little-endian 32-bit integers.
+
+    Texts of up to ``chunk`` characters are encoded in their rows, longer ones by the parallel scan over their chunks.
+    Null and empty texts have no ids. An existing column ``ids`` is replaced.
+    """
+    docs = docs.drop("ids")
+
+    @F.pandas_udf("binary")
+    def short(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = PieceEncoder(model_path)
+        for s in texts:
+            yield s.map(encoder.text, na_action=None)
+
     row = F.struct(*docs.columns).alias("row")
-    few = docs.where(~giant).select(row, F.coalesce(short("text"), F.lit(b"")).alias("ids"))
-    many = docs.where(giant).select(row, key.alias("key")).join(whole, "key").select("row", "ids")
+    few = docs.where(~is_giant(chunk)).select(row, F.coalesce(short("text"), F.lit(b"")).alias("ids"))
+    many = docs.where(is_giant(chunk)).select(row, text_key().alias("key")).join(giant_ids(docs, model_path, chunk), "key").select("row", "ids")
     return few.union(many).select("row.*", "ids")
 
 
@@ -273,16 +289,33 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
     return encoded.withColumn("decoded", decode("ids"))
 
 
-def encode_digest(docs: DataFrame, model_path: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_crc32, decoded_crc32, exact)``: what encoding and decoding gives for every row."""
-    both = decode_documents(encode_documents(docs.select("doc_id", "text"), model_path), model_path)
-    return both.select(
-        "doc_id",
-        F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
-        F.crc32("ids").alias("ids_crc32"),
-        F.crc32(F.encode("decoded", "UTF-8")).alias("decoded_crc32"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"),
-    )
+def encode_digest(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
+    """``(doc_id, n_tokens, ids_crc32, decoded_crc32, exact)``: what encoding and decoding gives for every row.
+
+    The same encoding as ``encode_documents``; ids are decoded where they are made and only digests leave the task.
+    """
+    schema = "n_tokens long, ids_crc32 long, decoded_crc32 long, exact boolean"
+    columns = ["n_tokens", "ids_crc32", "decoded_crc32", "exact"]
+
+    def digest(encoder: PieceEncoder, ids: bytes, text: str | None) -> tuple:
+        decoded = encoder.model.decode(np.frombuffer(ids, "<u4").tolist())
+        return len(ids) // 4, zlib.crc32(ids), zlib.crc32(decoded.encode()), decoded == (text or "")
+
+    @F.pandas_udf(schema)
+    def of_texts(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = PieceEncoder(model_path)
+        for s in texts:
+            yield pd.DataFrame([digest(encoder, encoder.text(t), t) for t in s], columns=columns)
+
+    @F.pandas_udf(schema)
+    def of_ids(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        encoder = PieceEncoder(model_path)
+        for ids, texts in batches:
+            yield pd.DataFrame([digest(encoder, i, t) for i, t in zip(ids, texts, strict=True)], columns=columns)
+
+    few = docs.where(~is_giant(chunk)).select("doc_id", of_texts("text").alias("d"))
+    many = docs.where(is_giant(chunk)).select("doc_id", "text", text_key().alias("key")).join(giant_ids(docs, model_path, chunk), "key")
+    return few.union(many.select("doc_id", of_ids("ids", "text").alias("d"))).select("doc_id", "d.*")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
