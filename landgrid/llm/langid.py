@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log
 
 import numpy as np
 import pandas as pd
@@ -17,7 +16,7 @@ from landgrid.session import cut_lineage, table
 
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
-CACHE = 1 << 18  # words whose scores a worker remembers
+CACHE = 1 << 17  # words whose scores a worker remembers
 
 
 @dataclass(frozen=True)
@@ -30,8 +29,8 @@ class Limits:
     """
 
     sample_docs: int = 30_000
-    words: int = 20_000
-    grams: int = 5_000
+    words: int = 10_000
+    grams: int = 3_000
     longest: int = 5
 
 
@@ -46,30 +45,36 @@ class Model:
         self.langs, self.prior = langs, prior
         at = {l: i for i, l in enumerate(langs)}
         self.orders = sorted({order for order, *_ in rows if order}, reverse=True)
-        counts: dict[int, dict[str, np.ndarray]] = {}
+        self.tables: dict[int, dict[str, int]] = {}  # row of ``scores`` by order and unit; order 0 are words
+        for order, unit, _, _ in rows:
+            units = self.tables.setdefault(order, {})
+            if unit not in units:
+                units[unit] = sum(map(len, self.tables.values()))
+        counts = np.zeros((sum(map(len, self.tables.values())), len(langs)), np.float32)
         for order, unit, lang, n in rows:
-            counts.setdefault(order, {}).setdefault(unit, np.zeros(len(langs)))[at[lang]] = n
-        self.tables = {}
-        for order, units in counts.items():
+            counts[self.tables[order][unit], at[lang]] = n
+        self.scores = np.zeros_like(counts)
+        for order, units in self.tables.items():
             size = np.array([totals.get((order, l), (0, 0))[0] for l in langs]) + 0.5 * max(totals.get((order, l), (0, 1))[1] for l in langs)
-            self.tables[order] = {u: self._normal(np.log((c + 0.5) / size)) for u, c in units.items()}
+            index = np.fromiter(units.values(), np.int64, len(units))
+            self.scores[index] = self._normal(np.log((counts[index] + 0.5) / size))
 
     @staticmethod
     def _normal(scores: np.ndarray) -> np.ndarray:
-        top = scores.max()
-        return (scores - top - log(np.exp(scores - top).sum())).astype(np.float32)
+        low = scores - scores.max(axis=-1, keepdims=True)
+        return (low - np.log(np.exp(low).sum(axis=-1, keepdims=True))).astype(np.float32)
 
     def word(self, w: str) -> np.ndarray | None:
         """Scores of one lower-case word, or None if nothing of it is known."""
         known = self.tables.get(0, {}).get(w)
         if known is not None:
-            return known
+            return self.scores[known]
         padded = f" {w} "
         for order in self.orders:
             grams = self.tables[order]
-            found = [s for i in range(len(padded) - order + 1) if (s := grams.get(padded[i : i + order])) is not None]
+            found = [g for i in range(len(padded) - order + 1) if (g := grams.get(padded[i : i + order])) is not None]
             if found:
-                return self._normal(np.mean(found, axis=0))
+                return self._normal(self.scores[found].mean(axis=0))
         return None
 
 
