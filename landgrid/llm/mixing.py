@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landgrid.session import cut_lineage, table
 
 WORDS = r"size(split(trim(BOTH ' \t\n\u000b\u000c\r' FROM text), '[ \\t-\\r]+'))"
-ROWS_PER_RANGE = 50_000
 
 
 def word_count():
@@ -57,12 +58,12 @@ def mix(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = (3, 1, 2), s
     ``times`` says how often. Documents without words are never taken. Documents with equal finish times stand or fall
     together. Repeated rows queue one after another; null sources are one source; a null doc_id is hashed as such.
 
-    Running sums are taken within ranges of the shuffled order (and of the finish time) of about 50,000 rows, and carried
-    on over the sums of the ranges, so that a source with a third of all rows is dealt over many tasks.
+    Running sums are taken within ranges of the shuffled order (and of the finish time), as many as the square root of the
+    rows, and carried on over the sums of the ranges, so that a source with a third of all rows is dealt over many tasks.
     """
     sized = cut_lineage(docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("text_hash")))
     targets = cut_lineage(source_targets(sized, weights, share, most))
-    ranges = max(1, sized.count() // ROWS_PER_RANGE)
+    ranges = max(1, isqrt(sized.count()))
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     cut = F.conv(F.substring("draw", 1, 8), 16, 10).cast("long")
     queued = sized.where("size > 0").withColumn("draw", draw).withColumn("range", F.floor(cut * ranges / 2**32))
