@@ -164,3 +164,59 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Without its text a row is small: it is counted once, and both the references and the verdicts are read from that.
     counts = counted(docs).withColumn("row", F.struct("row.doc_id"))
     return verdict(cut_lineage(counts)).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP6_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS body FROM documents),
+split AS (SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words, regexp_replace(body, '\p{L}+', '', 'g') AS rest FROM docs),
+counts AS (
+  SELECT rid, doc_id, lang, words, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(body) AS BIGINT) AS size,
+         length(body) - length(regexp_replace(body, '\p{Lu}+', '', 'g')) AS upper, length(body) - length(rest) AS letters,
+         CAST(length(rest) - length(translate(rest, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, length(rest) - length(translate(rest, '0123456789', '')) AS digits, length(rest) AS others,
+         list_filter(string_split(body, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM split
+), windows AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, words[i], words[i + 1], words[i + 2]) AS n
+  FROM (SELECT rid, words, unnest(range(1, n_words - 1)) AS i FROM counts WHERE n_words >= 3)
+), covered AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n > 1) GROUP BY rid
+), known AS (
+  SELECT lang FROM counts WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) * 1000 >= (SELECT count(*) FROM counts)
+), base AS (
+  SELECT c.*, k.lang AS ref, coalesce(v.n, 0) AS n_repeat_words, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         [upper, letters - upper, digits, n_symbols, others - (size - word_chars) - n_symbols - digits, size - word_chars] AS classes
+  FROM counts c LEFT JOIN covered v USING (rid) LEFT JOIN known k ON c.lang = k.lang
+), sums AS (
+  SELECT ref, unnest(range(1, 7)) AS i, unnest(classes) AS n FROM base
+), chars AS (
+  SELECT ref, list(n / greatest(total, 1) ORDER BY i) AS chars FROM (SELECT ref, i, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY ref) AS total FROM sums WHERE ref IS NOT NULL GROUP BY ref, i) GROUP BY ref
+), all_chars AS (
+  SELECT list(n / greatest(total, 1) ORDER BY i) AS chars FROM (SELECT i, sum(n) AS n, sum(sum(n)) OVER () AS total FROM sums GROUP BY i)
+), spoken AS (
+  SELECT lang, lower(unnest(words)) AS word FROM counts
+), tally AS (
+  SELECT lang, word, count(*) AS n FROM spoken JOIN known USING (lang) GROUP BY ALL UNION ALL SELECT NULL, word, count(*) FROM spoken GROUP BY word
+), ranked AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang) AS total, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM tally
+), common AS (
+  SELECT lang, list(word ORDER BY rank) AS common, list_append(list(n / total ORDER BY rank), 1 - sum(n) / any_value(total)) AS shares FROM ranked WHERE rank <= 12 GROUP BY lang
+), paired AS (
+  SELECT b.*, coalesce(m.common, a.common, []) AS common, coalesce(m.shares, a.shares, [1.0::DOUBLE]) AS shares, coalesce(h.chars, x.chars) AS chars
+  FROM base b LEFT JOIN common m ON b.ref = m.lang LEFT JOIN (SELECT * FROM common WHERE lang IS NULL) a ON true LEFT JOIN chars h ON b.ref = h.ref, all_chars x
+), own AS (
+  SELECT *, list_transform(classes, lambda c: c / greatest(size, 1)) AS p1, list_transform(words, lambda w: lower(w)) AS low FROM paired
+), shared AS (
+  SELECT *, list_append(list_transform(common, lambda c: len(list_filter(low, lambda w: w = c)) / greatest(n_words, 1)), 1 - len(list_filter(low, lambda w: list_contains(common, w))) / greatest(n_words, 1)) AS p2 FROM own
+), far AS (
+  SELECT *,
+    CASE WHEN size >= 200 THEN sqrt(greatest((list_sum(list_transform(list_zip(p1, chars), lambda z: CASE WHEN z[1] > 0 THEN z[1] * log2(2 * z[1] / (z[1] + z[2])) ELSE 0 END))
+      + list_sum(list_transform(list_zip(p1, chars), lambda z: CASE WHEN z[2] > 0 THEN z[2] * log2(2 * z[2] / (z[1] + z[2])) ELSE 0 END))) / 2, 0)) END AS class_distance,
+    CASE WHEN n_words >= 100 THEN sqrt(greatest((list_sum(list_transform(list_zip(p2, shares), lambda z: CASE WHEN z[1] > 0 THEN z[1] * log2(2 * z[1] / (z[1] + z[2])) ELSE 0 END))
+      + list_sum(list_transform(list_zip(p2, shares), lambda z: CASE WHEN z[2] > 0 THEN z[2] * log2(2 * z[2] / (z[1] + z[2])) ELSE 0 END))) / 2, 0)) END AS word_distance,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM shared
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(class_distance, 0) <= 0.25 AND coalesce(word_distance, 0) <= 0.3 AS kept
+FROM far
+"""

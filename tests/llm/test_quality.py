@@ -2,7 +2,8 @@ import re
 from collections import Counter
 from math import log2, sqrt
 
-from landgrid.llm.quality import COMMON, judge, keep_good
+from landgrid.llm.quality import COMMON, OP6_SQL, judge, keep_good, op6_quality_rules
+from tests.compare import connect, differences
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,3 +58,7 @@ def test_only_clean_documents_stay(spark):
 def test_plan_has_no_python(docs):
     plan = judge(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_query_agrees_with_sql(spark):
+    assert differences(op6_quality_rules(spark, "/root/testdata/sf0.001"), connect("/root/testdata/sf0.001"), OP6_SQL) == ""
