@@ -20,7 +20,7 @@ from landgrid.session import cut_lineage, table
 class Plan:
     """Bounds and aims: the tree is fitted on about ``sample`` vectors, leaves aim at ``leaf_rows`` vectors and there are at
     most ``max_leaves``; ``probes`` vectors are compared with all rows to find the leaf visits that reach ``recall``;
-    ``block_rows`` vectors at most are searched in one group."""
+    ``block_rows`` vectors at most are searched in one group, by about ``chunk_queries`` queries."""
 
     sample: int = 20_000
     leaf_rows: int = 512
@@ -28,6 +28,7 @@ class Plan:
     probes: int = 128
     recall: float = 0.95
     block_rows: int = 4096
+    chunk_queries: int = 4096
     seed: int = 7
 
 
@@ -62,13 +63,17 @@ class Tree:
             todo += [(child, rows[side == i]) for i, child in enumerate(node[1]) if (side == i).any()]
         return out
 
-    def visits(self, point: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first: always the node whose centre is nearest of all seen so far."""
-        queue, found, count = [(0.0, 0, self.root)], [], 0
-        while queue and len(found) < most:
+    def visits(self, point: np.ndarray, most: int, rows: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves, best bin first: always the node whose centre is nearest of all seen so far.
+
+        With ``rows``, the rows of each leaf, it goes on until the leaves visited hold ``least`` rows, or all are visited.
+        """
+        queue, found, count, held = [(0.0, 0, self.root)], [], 0, 0
+        while queue and (len(found) < most or rows is not None and held < least):
             _, _, node = heapq.heappop(queue)
             if isinstance(node, int):
                 found.append(node)
+                held += 0 if rows is None else int(rows[node])
                 continue
             for d, child in zip(((node[0] - point) ** 2).sum(axis=1), node[1], strict=True):
                 count += 1
@@ -123,6 +128,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, plan: Plan = Plan(
     """``vectors(vec_id, embedding, ...)`` -> ``(query_id, rank, vec_id, score)``: for every row with ``is_query`` its k rows of
     the largest inner product, its own id left out, nearest first, ties to the smaller vec_id.
 
+    A query visits the calibrated number of leaves, and more until they hold k rows besides those of its own id.
     Every usable row is indexed; null, zero and non-finite vectors and null ids take no part. A query with fewer other
     rows gets what there is; an empty table gives no rows. Repeated rows are candidates each.
     """
@@ -156,15 +162,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, plan: Plan = Plan(
             block, held = block + 1, 0
         block_of[leaf], splits[leaf] = block, max(1, ceil(n / plan.block_rows))
         held += n
-    where = spark.sparkContext.broadcast((block_of, splits))
+    where = spark.sparkContext.broadcast((block_of, splits, np.array([counts.get(leaf, 0) for leaf in range(tree.leaves)])))
 
     def queries_to_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block_of, splits = where.value
+        block_of, splits, held = where.value
         for f in frames:
             out: list[tuple] = []
-            for name, vector in zip(f.vec_id, f.vector, strict=True):
+            for name, vector, own in zip(f.vec_id, f.vector, f.own, strict=True):
                 goals: dict[tuple[int, int], list[int]] = {}
-                for leaf in sent.value.visits(np.append(vector, 0.0), visits):
+                for leaf in sent.value.visits(np.append(vector, 0.0), visits, held, k + own):
                     for part in range(splits[leaf]):
                         goals.setdefault((block_of[leaf], part), []).append(leaf)
                 out += [(b, p, name, vector, leaves) for (b, p), leaves in goals.items()]
@@ -188,8 +194,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, plan: Plan = Plan(
         F.pmod(F.xxhash64("vec_id"), F.element_at(literal(splits), at)).cast("int").alias("part"),
         "vec_id", "vector", "leaf",
     )
-    asked = index.where(is_query).select("vec_id", "vector").mapInPandas(queries_to_blocks, "block int, part int, query_id long, query array<double>, leaves array<int>")
-    pieces = asked.groupBy("block", "part").cogroup(rows.groupBy("block", "part")).applyInPandas(found, "query_id long, ids array<bigint>, scores array<double>")
+    own = index.groupBy("vec_id").agg(F.count("*").alias("own"))
+    asked = index.where(is_query).select("vec_id", "vector").join(own, "vec_id")
+    asked = cut_lineage(asked.mapInPandas(queries_to_blocks, "block int, part int, query_id long, query array<double>, leaves array<int>"))
+    # The queries of a group are dealt over chunks, and its rows go to each of them.
+    chunks = asked.groupBy("block", "part").agg(F.ceil(F.count("*") / plan.chunk_queries).cast("int").alias("chunks"))
+    asked = asked.join(chunks, ["block", "part"]).withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int")).drop("chunks")
+    rows = rows.join(chunks, ["block", "part"]).withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).drop("chunks")
+    group = ["block", "part", "chunk"]
+    pieces = asked.groupBy(*group).cogroup(rows.groupBy(*group)).applyInPandas(found, "query_id long, ids array<bigint>, scores array<double>")
     pieces = pieces.select("query_id", F.expr("transform(arrays_zip(scores, ids), x -> struct(-x.scores as d, x.ids as v))").alias("near"))
     best = pieces.groupBy("query_id").agg(F.expr(f"slice(array_sort(flatten(collect_list(near))), 1, {k})").alias("near"))
     ranked = best.select("query_id", F.posexplode("near").alias("pos", "x"))

@@ -52,3 +52,12 @@ def test_few_or_no_rows(spark):
     frame = spark.createDataFrame([(20, [1.0, 0.0]), (21, [0.5, 0.5]), (40, [0.0, 2.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in search(frame, F.expr(QUERY)).orderBy("query_id", "rank").collect()] == [(20, 1, 21), (20, 2, 40), (40, 1, 21), (40, 2, 20)]
     assert search(frame.where("vec_id < 0"), F.expr(QUERY)).count() == 0
+
+
+def test_queries_in_small_leaves_get_all_their_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0, 0.0, 0.0, 0.0]) for i in range(3000)] + [(3000 + i, [0.0, *(x / np.linalg.norm(x)).tolist()]) for i, x in enumerate(rng.normal(size=(12, 3)))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for plan in (Plan(), Plan(chunk_queries=1, block_rows=200)):
+        got = search(frame, F.expr("vec_id IN (1000, 2000, 3000, 3004, 3011)"), 20, plan).groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).collect()
+        assert {r.query_id: r["n"] for r in got} == dict.fromkeys((1000, 2000, 3000, 3004, 3011), 20)
