@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from landgrid.llm.pieces import compose, decode_documents, encode_digest, encode_documents, entries
+from landgrid.llm.pieces import PieceEncoder, compose, decode_documents, encode_digest, encode_documents, entries
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 MODEL = sentencepiece.SentencePieceProcessor(model_file=PATH)
@@ -28,6 +28,35 @@ def test_chunks_without_spaces(spark):
         assert np.frombuffer(r.ids, "<u4").tolist() == MODEL.encode(r.text)
 
 
+def test_hard_texts_above_a_chunk(spark):
+    rng = random.Random(9)
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(3000)) + "。中国人民" * 3000
+    texts = [
+        cjk, "a" * 20_000, "".join(rng.choices("abcdefghij", k=20_000)), " " * 20_000, "\n" * 20_000, "\u2581 x" * 9000, "\0\U0001f600é" * 7000,
+        "x" + " " * 17_000 + "y\n" + "= " * 9000, "中国人的" * 250_000,
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    for r in encode_documents(docs, PATH).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == MODEL.encode(r.text), r.text[:20]
+    digests = {r.doc_id: r for r in encode_digest(docs.union(docs), PATH).collect()}
+    assert [digests[i].exact for i in range(len(texts))] == ["\u2581" not in t for t in texts]
+
+
+def test_decoding_equals_the_library():
+    encoder = PieceEncoder(PATH)
+    rng = random.Random(2)
+    for size in (0, 1, 5, 300):
+        for low in (0, 3, 259):
+            ids = [rng.randrange(low, 32_000 if low != 3 else 259) for _ in range(size)]
+            assert encoder.decode(np.array(ids, "<u4").tobytes()) == MODEL.decode(ids)
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "The quick brown fox, number 7,\n" * 160_000)], "doc_id long, text string")
+    row = encode_digest(docs, PATH).first()
+    assert row.exact and row.ids_crc32 == zlib.crc32(np.array(MODEL.encode(docs.first().text), "<u4").tobytes())
+
+
 def test_products_are_associative_and_found_in_parallel():
     rng = np.random.default_rng(1)
     for _ in range(20):
