@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import json
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from itertools import chain
@@ -29,16 +30,20 @@ NEVER_NAME = frozenset(
     "navigation newsletter notice notices popup promo related share sharing sidebar social sponsor sponsored subscribe toolbar".split()
 )
 CLOSES_P = BLOCK - {"body", "html", "head"}
-NAME = re.compile(r"[A-Za-z]+")
+INLINE = frozenset("p b i em strong span a u font".split())
+BODY = frozenset("html body article main".split())  # never chrome, whatever their classes
+STEP = 64  # range starts looked through at a time
 
 
 class Lines(HTMLParser):
-    """The text lines of a page, one for each block, each with its zone."""
+    """The text lines of a page, one for each block, each with its zone. Malformed markup raises nothing."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int]] = []
         self.stack: list[tuple[str, bool, bool]] = [("", False, False)]  # tag, whether chrome, whether in an article
+        self.opened: Counter[str] = Counter()
+        self.blocks: list[int] = []  # places of block elements on the stack
         self.text: list[str] = []
 
     def flush(self) -> None:
@@ -48,6 +53,17 @@ class Lines(HTMLParser):
             _, chrome, article = self.stack[-1]
             self.lines.append((line, CHROME if chrome else ARTICLE if article else OPEN))
 
+    def leave(self, at: int) -> None:
+        """Close the element at place ``at`` of the stack and all within it."""
+        self.opened.subtract(tag for tag, _, _ in self.stack[at:])
+        del self.stack[at:]
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A marked section is a bogus comment in HTML, whatever it is called."""
+        return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
             self.text.append(" ")
@@ -55,16 +71,14 @@ class Lines(HTMLParser):
             return
         if tag in BLOCK or tag in NEVER:
             self.flush()
-        if tag in CLOSES_P and self.stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "a", "u", "font"):
-            at = next((k for k in range(len(self.stack) - 1, 0, -1) if self.stack[k][0] in BLOCK), 0)
-            if self.stack[at][0] == "p":
-                del self.stack[at:]
+        if tag in CLOSES_P and self.stack[-1][0] in INLINE and self.blocks and self.stack[self.blocks[-1]][0] == "p":
+            self.leave(self.blocks[-1])
         if tag == "li" and self.stack[-1][0] == "li":
-            self.stack.pop()
+            self.leave(len(self.stack) - 1)
         _, chrome, article = self.stack[-1]
-        if not chrome:
+        if not chrome and tag not in BODY:
             of = dict(attrs)
-            names = NAME.findall(f"{of.get('class') or ''} {of.get('id') or ''}".lower())
+            names = f"{of.get('class') or ''} {of.get('id') or ''}".lower().split()
             chrome = (
                 tag in NEVER
                 or (tag == "header" and not article)
@@ -72,14 +86,16 @@ class Lines(HTMLParser):
                 or "hidden" in of
                 or not NEVER_NAME.isdisjoint(names)
             )
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.opened[tag] += 1
         self.stack.append((tag, chrome, article or tag in ("article", "main")))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK or tag in NEVER:
             self.flush()
-        at = next((k for k in range(len(self.stack) - 1, 0, -1) if self.stack[k][0] == tag), 0)
-        if at:
-            del self.stack[at:]
+        if self.opened[tag] > 0:
+            self.leave(next(k for k in range(len(self.stack) - 1, 0, -1) if self.stack[k][0] == tag))
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
@@ -151,32 +167,55 @@ def main_text(lines: list[tuple[str, int]], other: list[tuple[str, int]] | None)
     return "\n".join(t for t, zone in rest if zone == ARTICLE or not body)
 
 
+def with_ranges(keyed: DataFrame, parts: int) -> DataFrame:
+    """``keyed(host, path, page_id, ...)`` with ``bucket`` and ``halo``: ranges of the order of (host, path, page_id).
+
+    The first page of every range is also put, as ``halo``, into the range before it, and the last one into the range after
+    it, so that each page finds both of its neighbours. Only the ends of the ranges, two keys for each, reach the driver.
+    """
+    key = F.struct("host", "path", "page_id")
+    narrow = keyed.select("host", "path", "page_id").repartitionByRange(parts, "host", "path", "page_id")
+    ends = narrow.groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    ends = ends.groupBy("low").agg(F.max("high").alias("high")).orderBy("low").collect()
+    kind = "array<struct<host: string, path: string, page_id: bigint>>"
+    listed = lambda keys: F.from_json(F.lit(json.dumps([k.asDict() for k in keys])), kind)
+    lows, highs = [r["low"] for r in ends], [r["high"] for r in ends]
+    rows = keyed.withColumn("key", key).withColumn("lows", listed(lows)).withColumn("highs", listed(highs)).withColumn("tops", listed(lows[::STEP]))
+    rows = rows.withColumn("top", F.expr("greatest(size(filter(tops, b -> b <= key)) - 1, 0)"))
+    rows = rows.withColumn("bucket", F.expr(f"greatest(top * {STEP} + size(filter(slice(lows, top * {STEP} + 1, {STEP}), b -> b <= key)) - 1, 0)"))
+    also = F.expr("array_compact(array(bucket, IF(bucket > 0 AND key = get(lows, bucket), bucket - 1, null), IF(bucket < size(lows) - 1 AND key = get(highs, bucket), bucket + 1, null)))")
+    rows = rows.withColumn("also", also).withColumn("of", F.explode("also"))
+    return rows.withColumn("halo", F.col("of") != F.col("bucket")).withColumn("bucket", F.col("of")).drop("key", "lows", "highs", "tops", "top", "also", "of")
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html, ...)`` -> ``(page_id, url, text, n_chars)``, a row for each row.
 
-    Pages are sorted in ranges by host, path, page_id, so a host of any size is dealt over many tasks; the nearest page of
-    a page is the one before or after it in its host with the longer common path (at a range's edge, the one on this
-    side). A host's only page is cut by its elements alone. Null html gives an empty text; a null url is a host of its own.
+    Pages are dealt into ranges of the order of host, path, page_id, so a host of any size is dealt over many tasks; the
+    nearest page of a page is the one before or after it in its host with the longer common path (the one before, if both
+    are as near; rows alike in these three may stand in any order). A host's only page is cut by its elements alone.
+    Null html gives an empty text; a null url is a host of its own, null page_ids come first. Malformed markup is read as
+    far as it goes. Repeated rows are repeated, an empty table gives no rows, other columns of ``pages`` are not read.
     """
 
     def differenced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = here = None  # rows (page_id, url, host, path, lines)
+        before = here = None  # rows (page_id, url, host, path, bucket, halo, lines)
         done: list[tuple] = []
 
         def near(page: tuple, other: tuple | None) -> int:
-            return -1 if other is None or other[2] != page[2] else len(commonprefix([other[3], page[3]]))
+            return -1 if other is None or other[2] != page[2] or other[4] != page[4] else len(commonprefix([other[3], page[3]]))
 
         def finish(after: tuple | None) -> None:
-            if here is not None:
+            if here is not None and not here[5]:
                 other = max((before, after), key=lambda o: near(here, o))
-                text = main_text(here[4], other[4] if near(here, other) >= 0 else None)
+                text = main_text(here[6], other[6] if near(here, other) >= 0 else None)
                 done.append((here[0], here[1], text, len(text)))
 
         columns = ["page_id", "url", "text", "n_chars"]
         for f in chain(frames, [None]):
-            rows = [None] if f is None else zip(f.page_id, f.url, f.host, f.path, f.html, strict=True)
+            rows = [None] if f is None else zip(f.page_id, f.url, f.host, f.path, f.bucket, f.halo, f.html, strict=True)
             for row in rows:
-                page = None if row is None else (*row[:4], page_lines(row[4]))
+                page = None if row is None else (*row[:6], page_lines(row[6]))
                 finish(page)
                 before, here = here, page
             if done:
@@ -187,9 +226,11 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(rest, "^[^/?#]*", 0))
     path = F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
     keyed = pages.select(F.col("page_id").cast("long"), "url", host.alias("host"), path.alias("path"), "html")
-    order = ["host", "path", "page_id"]
-    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(differenced, "page_id long, url string, text string, n_chars long")
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = with_ranges(keyed, 4 * parts).repartition(parts, "bucket").sortWithinPartitions("bucket", "host", "path", "page_id")
+    return dealt.select("page_id", "url", "host", "path", "bucket", "halo", "html").mapInPandas(differenced, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of ``pages``: ``extract_pages``."""
     return extract_pages(table(spark, sf_dir, "pages"))
