@@ -9,13 +9,14 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgrid.llm.components import connected_components
 from landgrid.session import cut_lineage, table
 
 SEED = 42
+CROWD = 512  # fingerprints that may share a segment's value before it is split by the other segment's bits
 BLOCK = 1 << 15  # shingles hashed at a time, so that a very long text takes bounded memory
 
 
@@ -52,23 +53,39 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select("doc_id", fingerprint_column("text", width).alias("fp"))
 
 
-def near_links(prints: DataFrame) -> DataFrame:
-    """``prints(fp)``, distinct -> ``(src, dst)`` links whose components are those of "2 or fewer bits differ".
+def segments(fp: str) -> Column:
+    """The two 32-bit segments of a fingerprint as ``array<struct(seg int, value long, rest long)>``; ``rest`` is the other segment."""
+    low, high = f"({fp} & 4294967295L)", f"shiftrightunsigned({fp}, 32)"
+    return F.expr(f"array(struct(0 AS seg, {low} AS value, {high} AS rest), struct(1 AS seg, {high} AS value, {low} AS rest))")
 
-    A fingerprint is two segments of 32 bits. Within each segment the ball of radius one is enumerated while the other
-    segment stays as it is; with the fingerprint itself that makes 65 table keys. Two fingerprints that differ in at
-    most two bits meet under at least one key (each gives up one differing bit), and at most 65 fingerprints can share
-    a key, so no group grows with the data. Each table entry is matched with the one before it, and the complete
-    distance is verified.
+
+def near_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """``prints(fp)``, distinct -> ``(src, dst)``, all pairs of fingerprints that differ in 1 or 2 bits, each once or twice.
+
+    Multi-index hashing: the table has a row for each of a fingerprint's two 32-bit segments. Of two fingerprints at most
+    two bits apart, one segment differs in at most one bit, so each fingerprint looks up, for both segments, the ball of
+    radius one around its value; of two values one bit apart only the one with the bit unset looks up the other. Complete
+    distances of the matches are verified.
+
+    A segment value that more than ``crowd`` fingerprints share is split: there the other segment differs in at most two
+    bits, so one of its three parts (11, 11 and 10 bits) is equal, and the lookup is by segment value, part and its value.
     """
-    low, high = "transform(sequence(0, 31), i -> fp ^ shiftleft(1L, i))", "transform(sequence(32, 63), i -> fp ^ shiftleft(1L, i))"
-    entries = prints.select("fp", F.explode(F.expr(f"concat(array(fp), {low}, {high})")).alias("key"))
-    before = F.lag("fp").over(Window.partitionBy("key").orderBy("fp"))
-    return (
-        entries.select(before.alias("src"), F.col("fp").alias("dst"))
-        .where("src is not null and src <> dst and bit_count(src ^ dst) <= 2")
-        .distinct()
-    )
+    table = prints.select("fp", F.explode(segments("fp")).alias("s")).select("fp", "s.*")
+    balls = table.select("fp", "seg", "rest", F.explode(F.expr(
+        "concat(array(struct(value AS key, 0 AS flips)), transform(filter(sequence(0, 31), i -> value & shiftleft(1L, i) = 0), i -> struct(value | shiftleft(1L, i) AS key, 1 AS flips)))"
+    )).alias("ball")).select(F.col("fp").alias("src"), "seg", F.col("rest").alias("src_rest"), F.col("ball.key").alias("value"), "ball.flips")
+    crowded = cut_lineage(table.groupBy("seg", "value").count().where(F.col("count") > crowd).select("seg", "value"))
+    verified = "src <> dst AND bit_count(src ^ dst) <= 2 AND (flips = 1 OR src < dst)"
+    rows = table.select(F.col("fp").alias("dst"), "seg", "value", "rest")
+    if crowded.isEmpty():
+        return balls.join(rows, ["seg", "value"]).where(verified).select("src", "dst")
+    place = ["seg", "value"]
+    plain = balls.join(rows.join(crowded, place, "left_anti"), place).where(verified).select("src", "dst")
+    parts = lambda rest: F.expr(f"array(struct(0 AS part, {rest} & 2047 AS bits), struct(1 AS part, shiftright({rest}, 11) & 2047 AS bits), struct(2 AS part, shiftright({rest}, 22) AS bits))")
+    asked = balls.join(crowded, place, "left_semi").select("src", "flips", *place, F.explode(parts("src_rest")).alias("p"))
+    held = rows.join(crowded, place, "left_semi").select("dst", *place, F.explode(parts("rest")).alias("p"))
+    split = asked.join(held, [*place, "p"]).where(verified).select("src", "dst")
+    return plain.union(split)
 
 
 def fingerprint_classes(prints: DataFrame) -> DataFrame:
@@ -94,20 +111,6 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Keep one document of each component: the one with the smallest doc_id (of repeated rows with that id, one).
-
-    Of a component whose documents all have a null doc_id, one row stays.
-    """
-    prints = cut_lineage(fingerprints(docs))
-    classes = cut_lineage(fingerprint_classes(prints))
-    keep = classes.select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    bare = docs.where("doc_id is null").select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    bare = bare.select("row", fingerprint_column("text").alias("fp"))
-    alone = classes.where("component_id is null").select("fp", "root")
-    return named.unionByName(bare.join(alone, "fp").dropDuplicates(["root"]).select("row.*"))
-
-
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``simhash_components`` of every row of ``documents``."""
     return simhash_components(table(spark, sf_dir, "documents"))

@@ -3,7 +3,7 @@ import random
 import xxhash
 
 from landgrid.llm.components import connected_components
-from landgrid.llm.simhash import drop_near_duplicates, fingerprint, near_links, simhash_components
+from landgrid.llm.simhash import fingerprint, near_links, simhash_components
 
 
 def brute_print(text):
@@ -44,10 +44,18 @@ def test_links_and_components_match_brute_force(spark):
         for _ in range(6):
             p ^= 1 << rng.randrange(64)
             prints.add(p)
+    for _ in range(40):  # a crowd that shares a segment
+        prints.add(rng.getrandbits(64) & ~0xFFF | 0x123)
+        prints.add((0xABCD1234 << 32) | 1 << rng.randrange(32) | 1 << rng.randrange(32))
     signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
     frame = spark.createDataFrame([(p,) for p in signed], "fp long")
+    far = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    pairs = {(a, b) for a in signed for b in signed if a < b and far(a, b) <= 2}
+    for crowd in (512, 3, 0):
+        links = near_links(frame, crowd)
+        assert {(min(r), max(r)) for r in links.collect()} == pairs
     found = {r.node: r.root for r in connected_components(near_links(frame)).collect()}
-    want = groups(signed, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
+    want = groups(signed, lambda a, b: far(a, b) <= 2)
     by_found, by_want = {}, {}
     for p in signed:
         by_found.setdefault(found.get(p, p), set()).add(p)
@@ -72,10 +80,5 @@ def test_components_of_all_rows(docs):
     assert {4, 5, 6}.issuperset({c for d, f, c in got if f == "0" * 16})
 
 
-def test_one_document_of_each_group_stays(docs, empty):
-    components = {(r.component_id, None if r.component_id is not None else r.fingerprint) for r in simhash_components(docs).collect()}
-    kept = drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    assert len(ids) == len(components) and len(set(ids)) == len(ids)
-    assert drop_near_duplicates(empty).count() == 0 and simhash_components(empty).count() == 0
+def test_empty_table(empty):
+    assert simhash_components(empty).count() == 0
