@@ -60,11 +60,23 @@ class EliasFano:
         return value
 
     def values(self) -> np.ndarray:
-        upper = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        out = (upper - np.arange(self.n)).astype(np.int64) << self.low_bits
+        """All values, block by block."""
+        return np.concatenate([self.block(b) for b in range(len(self.samples))] or [np.zeros(0, np.int64)])
+
+    def block(self, b: int) -> np.ndarray:
+        """Values ``b * stride`` to ``(b + 1) * stride``, selected together: the high bits from one sample to the next are read once."""
+        first = b * self.stride
+        count = min(self.stride, self.n - first)
+        begin = int(self.samples[b])
+        stop = int(self.samples[b + 1]) if b + 1 < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(np.frombuffer(self.high, np.uint8, (stop + 7) // 8 - begin // 8, begin // 8), bitorder="little")
+        upper = np.flatnonzero(bits[begin % 8 :])[:count] + begin
+        out = (upper - np.arange(first, first + count)).astype(np.int64) << self.low_bits
         if self.low_bits:
-            lows = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            out |= (lows.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+            at = first * self.low_bits
+            end = at + count * self.low_bits
+            lows = np.unpackbits(np.frombuffer(self.low, np.uint8, (end + 7) // 8 - at // 8, at // 8), bitorder="little")[at % 8 :]
+            out |= (lows[: count * self.low_bits].reshape(count, self.low_bits).astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
         return out
 
 
@@ -107,7 +119,8 @@ class UnitEncoder(dict):
     """Ids of whole texts as little-endian 32-bit integers, by the tokenizers library; keeps the ids of units seen.
 
     A text within Latin-1 is cut into the units that the tokenizer's pattern makes, and the library's model encodes each
-    unit once. Any other text is encoded by the library in one piece.
+    unit once. Any other text, and one with the string of an added token, is encoded by the library in one piece. The ids
+    are the same either way.
     """
 
     def __init__(self, path: str):
@@ -116,7 +129,8 @@ class UnitEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) if added else "(?!)")  # encoded as their ids, which the library sees to
         self.tokenize, self.letters = self.tokenizer.model.tokenize, byte_letters()
 
     def __missing__(self, unit: str) -> bytes:
@@ -132,8 +146,10 @@ class UnitEncoder(dict):
         if not text:
             return b""
         try:
-            text.encode("latin-1")
+            plain = text.isascii() or bool(text.encode("latin-1"))
         except UnicodeEncodeError:
+            plain = False
+        if not plain or self.added.search(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, UNIT.findall(text)))
 
@@ -212,6 +228,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` written as token files and read back; an empty table gives no rows, columns but doc_id and text are not read."""
     import public_tokenizers
 
     path = shared_path(spark, "tokens")

@@ -16,6 +16,8 @@ def test_elias_fano(values):
     ef = EliasFano.build(np.array(values, np.int64), stride=64)
     assert ef.values().tolist() == values
     assert [ef.select(i) for i in range(0, len(values), 3)] == values[::3]
+    for b in range(len(ef.samples)):
+        assert ef.block(b).tolist() == values[64 * b : 64 * (b + 1)]
 
 
 def test_segment_round_trip():
@@ -27,7 +29,6 @@ def test_segment_round_trip():
 
 def test_units_equal_whole_texts():
     plain, units = Tokenizer.from_file(PATH), UnitEncoder(PATH)
-    plain.encode_special_tokens = True
     rng = random.Random(2)
     alphabet = ["a", "b", " ", "  ", "\n", "\t", "'s", "é", "9", "#", " ", "　", "don't", "<|endoftext|>", "\x85", "\xa0", "\x1c", "²", "ß", "'", "'ll", "\x00", "\xad", "¼", "µ", "\r\n"] + ["x", " ", "s"] * 3
     for _ in range(4000):
@@ -35,9 +36,15 @@ def test_units_equal_whole_texts():
         assert units(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_very_long_text():
+    text = "A very long text, <|endoftext|> and all. " * 130_000
+    assert UnitEncoder(PATH)(text) == np.array(Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert UnitEncoder(PATH)("a<|endoftext|>b") == np.array([64, 50256, 65], "<u4").tobytes()
+
+
 def test_files_hold_all_documents_in_order(spark, docs, empty, tmp_path):
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
+    docs = docs.unionByName(spark.createDataFrame([(77, "a<|endoftext|>b")], "doc_id long, text string"), allowMissingColumns=True)
     write_token_files(docs, str(tmp_path / "a"), PATH)
     got = read_token_files(spark, str(tmp_path / "a")).orderBy("start").collect()
     want = {}
