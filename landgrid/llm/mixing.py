@@ -56,15 +56,17 @@ def mix(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = (3, 1, 2), s
     document's virtual finish time is the number of the source's words up to its end, divided by the source's target.
     In the order of that time over all sources, documents are taken whole until the sum of the targets is used up;
     ``times`` says how often. Documents without words are never taken. Documents with equal finish times stand or fall
-    together. Repeated rows queue one after another; null sources are one source; a null doc_id is hashed as such.
+    together. The order is drawn by doc_id and text, so rows that share an id, or have none, are dealt over all ranges.
+    Repeated rows queue one after another; null sources are one source; an empty table gives no rows, and columns of
+    ``docs`` but doc_id, text and source are not read.
 
     Running sums are taken within ranges of the shuffled order (and of the finish time), as many as the square root of the
     rows, and carried on over the sums of the ranges, so that a source with a third of all rows is dealt over many tasks.
     """
-    sized = cut_lineage(docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("text_hash")))
+    sized = cut_lineage(docs.select("doc_id", "source", word_count().alias("size"), F.md5("text").alias("text_hash")))
     targets = cut_lineage(source_targets(sized, weights, share, most))
     ranges = max(1, isqrt(sized.count()))
-    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text_hash", F.lit("null"))))
     cut = F.conv(F.substring("draw", 1, 8), 16, 10).cast("long")
     queued = sized.where("size > 0").withColumn("draw", draw).withColumn("range", F.floor(cut * ranges / 2**32))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,18 +106,19 @@ def take_mixed(docs: DataFrame, **how) -> DataFrame:
     """
     key = [F.xxhash64("doc_id", "source", "text_hash").alias("k1"), F.crc32(F.concat_ws(":", "doc_id", "source", "text_hash")).alias("k2")]
     times = mix(docs, **how).where("times > 0").groupBy(*key).agg(F.max("times").cast("int").alias("times"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.xxhash64("text").alias("text_hash")).select("row", *key)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.md5("text").alias("text_hash")).select("row", *key)
     return rows.join(times, ["k1", "k2"]).select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mix`` of all rows of ``documents``."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP2_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT) AS size,
-         md5(concat_ws(':', '42', coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS draw
+         md5(concat_ws(':', '42', coalesce(CAST(doc_id AS VARCHAR), 'null'), coalesce(md5(text), 'null'))) AS draw
   FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
