@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,17 +30,6 @@ def slot_bytes(rows: DataFrame, slots: int = SLOTS) -> list[int]:
     return [sums.get(s, 0) for s in range(slots)]
 
 
-def plan_map(sizes: list[int], shards: int) -> list[int]:
-    """Shard of every slot: the largest slot first, each to the shard with the fewest bytes, then the fewest slots."""
-    heap = [(0, 0, shard) for shard in range(shards)]
-    out = [0] * len(sizes)
-    for slot in sorted(range(len(sizes)), key=lambda s: (-sizes[s], s)):
-        held, count, shard = heap[0]
-        out[slot] = shard
-        heapq.heapreplace(heap, (held + sizes[slot], count + 1, shard))
-    return out
-
-
 def rebalance_map(current: list[int], sizes: list[int], shards: int, tolerance: float = 0.01) -> list[int]:
     """The map edited so that every shard is within ``tolerance`` of the mean, moving slots only from the fullest shard
     to the emptiest, until no such move brings them nearer. Slots of shards that are gone are placed first."""
@@ -98,17 +85,21 @@ def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, size, text_crc32, virtual_slot, shard, slot, map_version)``.
 
-    Records are hashed to ``slots`` virtual slots; the bytes of each slot decide a slot-to-shard map under which the
-    shards' sizes are near equal. The map is stored as version 1 under ``path`` and read back; ``rebalance_map`` edits
-    it into later versions. An empty table gives no rows.
+    Records are hashed to ``slots`` virtual slots. Version 1 of the slot-to-shard map deals the slots in turn; the bytes of
+    each slot then decide which of them move, so that the shards' sizes are near equal, and the edited map is version 2.
+    Both are stored under ``path``; rows are placed by version 2 as it is read back. Null texts count as empty, repeated
+    rows are rows of their own, an empty table gives no rows; columns but doc_id and text are not read.
     """
     spark = docs.sparkSession
     rows = cut_lineage(slotted(docs, slots))
     path = path or f"{ensure_checkpoint_dir(spark)}/slot-map-{spark.sparkContext.applicationId}-{spark.sql('select uuid()').first()[0]}"
-    save_map(spark, plan_map(slot_bytes(rows, slots), shards), path, 1)
-    return place(rows, load_map(spark, path, 1))
+    first = [slot % shards for slot in range(slots)]
+    save_map(spark, first, path, 1)
+    save_map(spark, rebalance_map(first, slot_bytes(rows, slots), shards, tolerance=0.0), path, 2)
+    return place(rows, load_map(spark, path, 2))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``shard_documents`` of all rows of ``documents`` under the law ``bytes``."""
     rows = shard_documents(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")

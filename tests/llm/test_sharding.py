@@ -1,6 +1,9 @@
+import struct
 import zlib
 
-from landgrid.llm.sharding import load_map, place, plan_map, rebalance_map, save_map, shard_documents, slot_bytes, slotted
+import xxhash
+
+from landgrid.llm.sharding import load_map, rebalance_map, save_map, shard_documents, slot_bytes, slotted
 
 
 def test_sizes_checksums_and_places(docs, empty):
@@ -12,6 +15,27 @@ def test_sizes_checksums_and_places(docs, empty):
     assert shard_documents(empty, shards=4).count() == 0
 
 
+def test_places_against_brute_force(spark, docs, tmp_path):
+    rows = shard_documents(docs, shards=3, slots=16, path=str(tmp_path)).collect()
+    want, held = [], [0] * 16
+    for r in docs.select("doc_id", "text").collect():
+        body = (r.text or "").encode()
+        key = body if r.doc_id is None else struct.pack("<q", r.doc_id)
+        slot = struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(key, 42)))[0] % 16
+        held[slot] += len(body) + 16
+        want.append((slot, r.doc_id, zlib.crc32(body), len(body) + 16))
+    first, second = ([r.shard for r in load_map(spark, str(tmp_path), v).orderBy("virtual_slot").collect()] for v in (1, 2))
+    assert first == [s % 3 for s in range(16)]
+    sums = [sum(h for h, x in zip(held, second, strict=True) if x == s) for s in range(3)]
+    full, empty = sums.index(max(sums)), min(sums)
+    assert not any(x == full and 0 < h < max(sums) - empty for h, x in zip(held, second, strict=True))  # no move brings them nearer
+    placed = []
+    for shard in range(3):
+        own = sorted((w for w in want if second[w[0]] == shard), key=lambda w: (w[0], w[1] is not None, w[1] or 0, w[2], w[3]))
+        placed += [(w[1], w[3], w[2], w[0], shard, place) for place, w in enumerate(own)]
+    assert sorted(map(str, placed)) == sorted(str((r.doc_id, r.size, r.text_crc32, r.virtual_slot, r.shard, r.slot)) for r in rows)
+
+
 def test_bytes_are_near_equal(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('ab', cast(id % 97 as int)) AS text")
     sizes = [r["sum(size)"] for r in shard_documents(docs, shards=10).groupBy("shard").sum("size").collect()]
@@ -20,7 +44,7 @@ def test_bytes_are_near_equal(spark):
 
 def test_map_versions_and_rebalancing(spark, tmp_path):
     sizes = [(i * 37) % 101 for i in range(512)]
-    first = plan_map(sizes, 8)
+    first = rebalance_map([i % 8 for i in range(512)], sizes, 8, tolerance=0.0)
     second = rebalance_map(first, sizes, 9, tolerance=0.05)
     moved = [i for i in range(512) if first[i] != second[i]]
     assert all(second[i] == 8 for i in moved) and len(moved) < 512 / 6
@@ -37,4 +61,3 @@ def test_slots_are_deterministic(docs):
     rows = slotted(docs, 64)
     assert sum(slot_bytes(rows, 64)) == sum(r["size"] for r in rows.collect())
     assert sorted(map(str, rows.collect())) == sorted(map(str, slotted(docs.repartition(5), 64).collect()))
-    assert place is not None
