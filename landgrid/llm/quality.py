@@ -12,7 +12,8 @@ BLANKS = r"' \t\n\u000b\u000c\r'"
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("upper", "letter", "digit", "symbol", "sign", "blank")
 COMMON = 12  # common words of a language
-LEAST_SHARE = 1000  # a language has its own reference if at least one document of so many has it
+LEAST_OWN = 5000  # words that a language needs for a reference
+BROADCAST_ROWS = 10_000  # references are sent to every task only up to so many; beyond, the join shuffles
 LEAST_CHARS, LEAST_WORDS = 200, 100  # shorter texts are not compared
 MOST_CLASS, MOST_WORD = 0.25, 0.3  # Jensen-Shannon distances beyond which a text is rejected
 
@@ -47,25 +48,21 @@ def with_classes(df: DataFrame) -> DataFrame:
 def common_words(docs: DataFrame) -> DataFrame:
     """``(lang, common array<string>, shares array<double>)`` over all of ``docs(lang, text)``.
 
-    For each language that at least one document in a thousand has, and as ``lang = null`` for all documents together: the
-    most frequent words (lower case; ties by the word) and their shares, with the share of all other words last. So there
-    are at most about a thousand rows.
+    For each language with at least LEAST_OWN words in all its documents: the most frequent words (lower case; ties by the
+    word) and their shares, with the share of all other words last.
     """
-    words = docs.select("lang", F.lower("text").alias("low")).where("low IS NOT NULL").select("lang", F.explode(split_words("low")).alias("word"))
-    counts = cut_lineage(words.groupBy("lang", "word").agg(F.count("*").alias("n")))
-    number = cut_lineage(docs.groupBy("lang").agg(F.count("*").alias("docs")))
-    every = number.agg(F.sum("docs").alias("all"))
-    own = number.where("lang IS NOT NULL").crossJoin(F.broadcast(every)).where(F.col("docs") * LEAST_SHARE >= F.col("all")).select("lang")
-    pooled = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "word", "n")
-    words = counts.join(F.broadcast(own), "lang", "left_semi").unionByName(pooled)
-    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
+    words = docs.where("lang IS NOT NULL").select("lang", F.lower("text").alias("low")).where("low IS NOT NULL")
+    counts = cut_lineage(words.select("lang", F.explode(split_words("low")).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= LEAST_OWN)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    best = words.withColumn("rank", rank).where(F.col("rank") <= COMMON).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
-    best = best.join(F.broadcast(totals), best["lang"].eqNullSafe(totals["lang"])).select(best["lang"], "top", "total")
+    best = counts.withColumn("rank", rank).where(F.col("rank") <= COMMON).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
     shares = F.expr("concat(transform(top, x -> x.n / total), array(1 - aggregate(top, 0L, (s, x) -> s + x.n) / total))")
-    blank = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("lang"), F.array().cast("array<string>").alias("common"), F.array(F.lit(1.0)).alias("shares"))
-    found = best.select("lang", F.col("top.word").alias("common"), shares.alias("shares"))
-    return cut_lineage(found.unionByName(blank.join(found.where("lang IS NULL").select(F.lit(1).alias("has")), F.lit(True), "left_anti")))
+    return cut_lineage(best.join(totals, "lang").select("lang", F.col("top.word").alias("common"), shares.alias("shares")))
+
+
+def small(refs: DataFrame) -> DataFrame:
+    """``refs``, marked for broadcast if it has few rows."""
+    return F.broadcast(refs) if refs.count() <= BROADCAST_ROWS else refs
 
 
 def class_shares(counted: DataFrame) -> DataFrame:
@@ -99,14 +96,11 @@ def repeat_counts(df: DataFrame) -> DataFrame:
 def counted(docs: DataFrame) -> DataFrame:
     """Every row of ``docs(text, lang, ...)``, its columns as struct ``row``, with its counts and its histograms.
 
-    ``ref`` is the language it is compared with: null, for all documents together, if its own is null or rare.
+    ``ref`` is the language it is compared with, null if its own is null or has no reference.
     """
-    refs = common_words(docs)
-    own = refs.where("lang IS NOT NULL").withColumnRenamed("lang", "ref")
-    every = refs.where("lang IS NULL").select(F.col("common").alias("all_common"), F.col("shares").alias("all_shares"))
+    own = common_words(docs).withColumnRenamed("lang", "ref")
     df = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang")
-    df = df.join(F.broadcast(own), F.col("lang") == F.col("ref"), "left").join(F.broadcast(every), F.lit(True), "left")
-    df = df.select("row", "text", "ref", *[F.coalesce(c, f"all_{c}").alias(c) for c in ("common", "shares")])
+    df = df.join(small(own), F.col("lang") == F.col("ref"), "left").select("row", "text", "ref", "common", "shares")
     df = with_words(df).withColumn("n_words", F.size("words").cast("long"))
     df = with_classes(repeat_counts(df))
     df = df.withColumn("longest", F.array_max(F.transform("common", F.length)))
@@ -126,9 +120,10 @@ def counted(docs: DataFrame) -> DataFrame:
 def verdict(counts: DataFrame) -> DataFrame:
     """Add ``base_failed``, ``class_distance`` and ``kept`` to ``counted`` rows; the class references are sums over all of them."""
     chars = class_shares(counts)
+    chars = cut_lineage(chars)
     own = chars.where("ref IS NOT NULL")
     every = chars.where("ref IS NULL").select(F.col("chars").alias("all_chars"))
-    df = counts.join(F.broadcast(own), "ref", "left").join(F.broadcast(every), F.lit(True), "left").withColumn("chars", F.coalesce("chars", "all_chars"))
+    df = counts.join(small(own), "ref", "left").join(F.broadcast(every), F.lit(True), "left").withColumn("chars", F.coalesce("chars", "all_chars"))
     df = df.withColumn("own_chars", F.expr("transform(classes, c -> c / greatest(size, 1L))"))
     df = df.withColumn("class_distance", F.when(F.col("size") >= LEAST_CHARS, distance("own_chars", "chars")))
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
@@ -142,8 +137,9 @@ def judge(docs: DataFrame) -> DataFrame:
     Columns: word_chars, n_words, n_symbols, n_dup_lines, n_repeat_words, word_distance, base_failed, class_distance, kept.
     A text fails the base rules with under 50 words, or if over half of its words are repeated. Otherwise its character
     classes, and its share of its language's common words, must not be further from those of the language than the
-    limits; texts below the least lengths are not compared (distance null). Null or rare languages are compared with all documents.
-    A null text has no words. Everything runs in the JVM.
+    limits; texts below the least lengths are not compared (distance null). Where the language is null, or has too few words
+    for a reference of its own, words are not compared, and character classes with those of all such documents and languages together.
+    A null text has no words; repeated rows are judged alike; an empty table gives no rows. Everything runs in the JVM.
     """
     return verdict(counted(docs))
 
@@ -160,6 +156,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``judge`` of all rows of ``documents``."""
     docs = table(spark, sf_dir, "documents")
     # Without its text a row is small: it is counted once, and both the references and the verdicts are read from that.
     counts = counted(docs).withColumn("row", F.struct("row.doc_id"))
@@ -181,7 +178,7 @@ counts AS (
 ), covered AS (
   SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n > 1) GROUP BY rid
 ), known AS (
-  SELECT lang FROM counts WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) * 1000 >= (SELECT count(*) FROM counts)
+  SELECT lang FROM counts WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n_words) >= 5000
 ), base AS (
   SELECT c.*, k.lang AS ref, coalesce(v.n, 0) AS n_repeat_words, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
          [upper, letters - upper, digits, n_symbols, others - (size - word_chars) - n_symbols - digits, size - word_chars] AS classes
@@ -195,14 +192,14 @@ counts AS (
 ), spoken AS (
   SELECT lang, lower(unnest(words)) AS word FROM counts
 ), tally AS (
-  SELECT lang, word, count(*) AS n FROM spoken JOIN known USING (lang) GROUP BY ALL UNION ALL SELECT NULL, word, count(*) FROM spoken GROUP BY word
+  SELECT lang, word, count(*) AS n FROM spoken JOIN known USING (lang) GROUP BY ALL
 ), ranked AS (
   SELECT *, sum(n) OVER (PARTITION BY lang) AS total, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM tally
 ), common AS (
   SELECT lang, list(word ORDER BY rank) AS common, list_append(list(n / total ORDER BY rank), 1 - sum(n) / any_value(total)) AS shares FROM ranked WHERE rank <= 12 GROUP BY lang
 ), paired AS (
-  SELECT b.*, coalesce(m.common, a.common, []) AS common, coalesce(m.shares, a.shares, [1.0::DOUBLE]) AS shares, coalesce(h.chars, x.chars) AS chars
-  FROM base b LEFT JOIN common m ON b.ref = m.lang LEFT JOIN (SELECT * FROM common WHERE lang IS NULL) a ON true LEFT JOIN chars h ON b.ref = h.ref, all_chars x
+  SELECT b.*, m.common, m.shares, coalesce(h.chars, x.chars) AS chars
+  FROM base b LEFT JOIN common m ON b.ref = m.lang LEFT JOIN chars h ON b.ref = h.ref, all_chars x
 ), own AS (
   SELECT *, list_transform(classes, lambda c: c / greatest(size, 1)) AS p1, list_transform(words, lambda w: lower(w)) AS low FROM paired
 ), shared AS (
@@ -211,7 +208,7 @@ counts AS (
   SELECT *,
     CASE WHEN size >= 200 THEN sqrt(greatest((list_sum(list_transform(list_zip(p1, chars), lambda z: CASE WHEN z[1] > 0 THEN z[1] * log2(2 * z[1] / (z[1] + z[2])) ELSE 0 END))
       + list_sum(list_transform(list_zip(p1, chars), lambda z: CASE WHEN z[2] > 0 THEN z[2] * log2(2 * z[2] / (z[1] + z[2])) ELSE 0 END))) / 2, 0)) END AS class_distance,
-    CASE WHEN n_words >= 100 THEN sqrt(greatest((list_sum(list_transform(list_zip(p2, shares), lambda z: CASE WHEN z[1] > 0 THEN z[1] * log2(2 * z[1] / (z[1] + z[2])) ELSE 0 END))
+    CASE WHEN n_words >= 100 AND shares IS NOT NULL THEN sqrt(greatest((list_sum(list_transform(list_zip(p2, shares), lambda z: CASE WHEN z[1] > 0 THEN z[1] * log2(2 * z[1] / (z[1] + z[2])) ELSE 0 END))
       + list_sum(list_transform(list_zip(p2, shares), lambda z: CASE WHEN z[2] > 0 THEN z[2] * log2(2 * z[2] / (z[1] + z[2])) ELSE 0 END))) / 2, 0)) END AS word_distance,
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
   FROM shared
