@@ -6,7 +6,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landgrid.operators.pixels import majority
@@ -19,8 +19,8 @@ def classify_objects(pixels: DataFrame, trees: int = 400, seed: int = 0) -> Data
     truth = majority(pixels.where("truth > 0"), ["cell_id", "inst_pred"], "truth").select("cell_id", "inst_pred", F.when(F.col("truth").isin(1, 2), 1.0).otherwise(0.0).alias("label"))
     rows = VectorAssembler(inputCols=[f"{k}_{b}" for k in "ms" for b in bands], outputCol="features").transform(stats.join(truth, ["cell_id", "inst_pred"]))
     train = rows.where("cell_id % 2 = 0")
-    share = F.count("*").over(Window.partitionBy("label"))
-    train = train.withColumn("weight", 1.0 / share)
+    shares = train.groupBy("label").agg(F.count("*").alias("of_label"))  # two rows
+    train = train.join(F.broadcast(shares), "label").withColumn("weight", 1.0 / F.col("of_label"))
     model = RandomForestClassifier(numTrees=trees, seed=seed, weightCol="weight", labelCol="label").fit(train)
     prob = vector_to_array("probability")[1]
     return model.transform(rows).select("cell_id", "inst_pred", prob.alias("prob"), (prob > 0.5).alias("crop"))

@@ -28,15 +28,16 @@ def threshold_counts(scored: DataFrame, keys: list[str], truth: Column, score: s
     Rows are counted once by score bin; a threshold's counts are sums over the bins from it on, so the data is not
     multiplied by the thresholds.
     """
-    marks = F.array(*map(F.lit, thresholds))
-    bins = scored.withColumn("bin", F.size(F.filter(marks, lambda t: t <= F.col(score)))).groupBy(*keys, "bin")
-    bins = bins.agg(F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
-    total = bins.groupBy(*keys).agg(F.sum("pos").alias("all_pos"))
-    spread = bins.where("bin > 0").select(*keys, F.explode(F.slice(marks, F.lit(1), F.col("bin"))).alias("t"), "pos", "neg")
-    at = spread.groupBy(*keys, "t").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
-    grid = total.withColumn("t", F.explode(marks))
-    out = grid.join(at, [*keys, "t"], "left").fillna(0, ["tp", "fp"])
-    return out.select(*keys, "t", "tp", "fp", (F.col("all_pos") - F.col("tp")).alias("fn"))
+    step = thresholds[1] - thresholds[0] if len(thresholds) > 1 else 1
+    if thresholds == list(range(thresholds[0], thresholds[0] + step * len(thresholds), step)):
+        of = F.least(F.greatest(F.floor((F.col(score) - thresholds[0]) / step) + 1, F.lit(0)), F.lit(len(thresholds)))
+    else:
+        of = F.size(F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col(score)))
+    bins = scored.groupBy(*keys, of.cast("int").alias("bin")).agg(F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
+    lists = bins.groupBy(*keys).agg(F.collect_list(F.struct("bin", "pos", "neg")).alias("bins"))
+    grid = lists.select(*keys, "bins", F.posexplode(F.array(*map(F.lit, thresholds))).alias("i", "t"))
+    total = lambda what, which: F.expr(f"aggregate(filter(bins, b -> {which}), 0L, (s, b) -> s + b.{what})")
+    return grid.select(*keys, "t", total("pos", "b.bin > i").alias("tp"), total("neg", "b.bin > i").alias("fp"), total("pos", "b.bin <= i").alias("fn"))
 
 
 def best_threshold(counts: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from landgrid.session import cut_lineage
+
 KEY = ["cell_id", "r", "c"]
 
 
@@ -104,27 +106,79 @@ def distance_to(mask: DataFrame, pixels: DataFrame, most: int) -> DataFrame:
     return rows.select(*KEY, F.round(far, 6).alias("distance"))
 
 
-def fill_nearest(pixels: DataFrame, value: str, radius: int) -> DataFrame:
-    """Empty pixels (value 0) take the value of the nearest labelled pixel within ``radius``, ties to the lower row, then column."""
-    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(a * a + b * b).alias("d")) for a, b in disc(radius)])
-    empty = pixels.where(F.col(value) == 0).select(*KEY)
-    around = empty.select("cell_id", F.col("r").alias("r0"), F.col("c").alias("c0"), F.explode(offsets).alias("o"))
-    around = around.select("cell_id", "r0", "c0", (F.col("r0") + F.col("o.a")).alias("r"), (F.col("c0") + F.col("o.b")).alias("c"), F.col("o.d").alias("d"))
-    found = around.join(pixels.where(F.col(value) != 0).select(*KEY, value), KEY).groupBy("cell_id", "r0", "c0").agg(F.min_by(value, F.struct("d", "r", "c")).alias("fill"))
-    found = found.select("cell_id", F.col("r0").alias("r"), F.col("c0").alias("c"), "fill")
-    return pixels.join(found, KEY, "left").select(*KEY, F.when(F.col(value) == 0, F.coalesce("fill", F.col(value))).otherwise(F.col(value)).alias(value))
+def fill_nearest(pixels: DataFrame, value: str, radius: int = 8) -> DataFrame:
+    """Empty pixels (value 0) take the value of the nearest labelled pixel of their cell, ties to the lower row, then column.
+
+    The search starts within ``radius`` and doubles it for the pixels that found nothing there, until none is left that a
+    label of its cell can reach; pixels of cells without a label stay 0.
+    """
+    labelled = pixels.where(F.col(value) != 0).select(*KEY, value)
+    span = pixels.groupBy("cell_id").agg((F.max("r") - F.min("r")).alias("h"), (F.max("c") - F.min("c")).alias("w"))
+    widest = span.agg(F.max(F.expr("h * h + w * w"))).first()[0] or 0
+    empty = cut_lineage(pixels.where(F.col(value) == 0).select(*KEY).join(labelled.select("cell_id").distinct(), "cell_id", "left_semi"))
+    parts = []
+    while not empty.isEmpty():
+        offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(a * a + b * b).alias("d")) for a, b in disc(radius)])
+        around = empty.select("cell_id", F.col("r").alias("r0"), F.col("c").alias("c0"), F.explode(offsets).alias("o"))
+        around = around.select("cell_id", "r0", "c0", (F.col("r0") + F.col("o.a")).alias("r"), (F.col("c0") + F.col("o.b")).alias("c"), F.col("o.d").alias("d"))
+        found = around.join(labelled, KEY).groupBy("cell_id", "r0", "c0").agg(F.min_by(value, F.struct("d", "r", "c")).alias("fill"))
+        found = cut_lineage(found.select("cell_id", F.col("r0").alias("r"), F.col("c0").alias("c"), "fill"))
+        parts.append(found)
+        if radius * radius >= widest:
+            break
+        empty, radius = cut_lineage(empty.join(found, KEY, "left_anti")), 2 * radius
+    if not parts:
+        return pixels.select(*KEY, value)
+    filled = reduce(DataFrame.union, parts)
+    return pixels.join(filled, KEY, "left").select(*KEY, F.when(F.col(value) == 0, F.coalesce("fill", F.col(value))).otherwise(F.col(value)).alias(value))
+
+
+def square(rows: DataFrame, name: str, values: Column, k: int) -> DataFrame:
+    """Add the array ``name`` of the distinct elements of the arrays ``values`` in the k by k pixels around each one, within the cell."""
+    half = k // 2
+    rows = rows.withColumn(name, F.array_distinct(F.flatten(F.collect_list(values).over(row_window().rowsBetween(-half, half)))))
+    return rows.withColumn(name, F.array_distinct(F.flatten(F.collect_list(name).over(col_window().rowsBetween(-half, half)))))
 
 
 def opened(pixels: DataFrame, cls: str, k: int) -> DataFrame:
-    """Weight 2 where the k by k opening of a pixel's class removes the pixel, else 1: minima then maxima along rows and columns, per class."""
+    """Weight 2 where the k by k opening of a pixel's class removes the pixel, else 1.
+
+    A pixel is in the eroded mask of its class if all pixels around it are of that class (minimum equals maximum); the
+    opening has those with such a pixel of their class around. So the classes need no planes of their own.
+    """
     half = k // 2
     frame = lambda w: w.rowsBetween(-half, half)
-    classes = pixels.select(cls).distinct().withColumnRenamed(cls, "k")
-    planes = pixels.select(*KEY, cls).join(F.broadcast(classes)).withColumn("m", (F.col(cls) == F.col("k")).cast("int"))
-    row, col = Window.partitionBy("cell_id", "k", "r").orderBy("c"), Window.partitionBy("cell_id", "k", "c").orderBy("r")
-    for f, w in ((F.min, row), (F.min, col), (F.max, row), (F.max, col)):
-        planes = planes.withColumn("m", f("m").over(frame(w)))
-    return planes.where(F.col(cls) == F.col("k")).select(*KEY, F.when(F.col("m") == 0, 2.0).otherwise(1.0).alias("weight"))
+    rows = pixels.select(*KEY, cls, F.min(cls).over(frame(row_window())).alias("low"), F.max(cls).over(frame(row_window())).alias("high"))
+    rows = rows.withColumns({"low": F.min("low").over(frame(col_window())), "high": F.max("high").over(frame(col_window()))})
+    core = F.when(F.col("low") == F.col("high"), F.array(cls)).otherwise(F.array().cast("array<bigint>"))
+    rows = square(rows.withColumn("core", core), "cores", F.col("core"), k)
+    return rows.select(*KEY, F.when(F.array_contains("cores", F.col(cls)), 1.0).otherwise(2.0).alias("weight"))
+
+
+def closed(pixels: DataFrame, cls: str, k: int = 3) -> DataFrame:
+    """``(cell_id, r, c, cls)`` where a pixel without a class (0) takes the lowest class whose k by k closing holds it.
+
+    The closing of a class has the pixels all of whose surroundings, within the cell, have the class around them.
+    """
+    half = k // 2
+    own = F.when(F.col(cls) != 0, F.array(F.col(cls).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    rows = square(pixels.select(*KEY, cls), "near", own, k)
+    shared = lambda name: F.expr(f"aggregate({name}, get({name}, 0), (s, x) -> array_intersect(s, x))")
+    rows = rows.withColumn("near", F.collect_list("near").over(row_window().rowsBetween(-half, half))).withColumn("near", shared("near"))
+    rows = rows.withColumn("near", F.collect_list("near").over(col_window().rowsBetween(-half, half))).withColumn("near", shared("near"))
+    return rows.select(*KEY, F.when(F.col(cls) == 0, F.coalesce(F.array_min("near"), F.lit(0))).otherwise(F.col(cls)).cast("long").alias(cls))
+
+
+def small_holes(pixels: DataFrame, cls: str, most: int) -> DataFrame:
+    """``(cell_id, region, size, fill)`` of every connected region without a class of at most ``most`` pixels: its commonest neighbouring class, ties to the lowest."""
+    zero = pixels.withColumn("z", F.when(F.col(cls) == 0, 1).otherwise(0))
+    holes = cut_lineage(components(zero, "z").select(*KEY, "region"))
+    sizes = holes.groupBy("cell_id", "region").agg(F.count("*").alias("size"))
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0))]))
+    around = holes.select("cell_id", "region", "r", "c", steps.alias("s")).select("cell_id", "region", (F.col("r") + F.col("s.a")).alias("r"), (F.col("c") + F.col("s.b")).alias("c"))
+    rim = around.join(pixels.where(F.col(cls) != 0).select(*KEY, cls), KEY)
+    fill = majority(rim, ["cell_id", "region"], cls).select("cell_id", "region", F.col(cls).alias("fill"))
+    return sizes.where(F.col("size") <= most).join(fill, ["cell_id", "region"])
 
 
 def sobel(pixels: DataFrame, value: str) -> DataFrame:
@@ -150,8 +204,6 @@ def components(pixels: DataFrame, value: str, diagonal: bool = False) -> DataFra
     Runs along rows are nodes (a gaps-and-islands window), so links are between touching runs of neighbouring rows; then
     labels spread over the links with pointer jumps until nothing changes, cut with a checkpoint each round.
     """
-    from landgrid.session import cut_lineage
-
     rows = pixels.where(F.col(value) != 0).select(*KEY, value)
     start = F.when((F.lag("c").over(row_window()) == F.col("c") - 1) & (F.lag(value).over(row_window()) == F.col(value)), 0).otherwise(1)
     runs = rows.withColumn("new", start).withColumn("run", F.sum("new").over(row_window()))

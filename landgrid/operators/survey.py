@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landgrid.operators.tiling import top_per_key
+from landgrid.session import cut_lineage
 
 AREA = "(x1 - x0) * (y1 - y0)"
 
@@ -52,17 +55,18 @@ def cluster_1d(values: DataFrame, key: str, value: str, tolerance: int) -> DataF
 
 
 def global_ids(rows: DataFrame, *order: str) -> DataFrame:
-    """Ids 1..n in the given order without a single-partition window: rows are cut into value ranges of the first order
-    column, numbered within a range, and shifted by the counts of the ranges before."""
-    first = order[0]
-    ends = rows.approxQuantile(first, [i / 32 for i in range(1, 32)], 0.01)
-    marks = sorted(set(ends))
-    part = F.size(F.filter(F.array(*map(F.lit, marks)) if marks else F.array().cast("array<double>"), lambda m: m < F.col(first)))
-    parts = rows.withColumn("__part", part)
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over at most 32 ranges
-    starts = parts.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    inner = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return parts.withColumn("__inner", inner).join(F.broadcast(starts), "__part").withColumn("gid", F.col("__start") + F.col("__inner")).drop("__part", "__n", "__start", "__inner")
+    """Ids 1..n in the given order without a single-partition window: rows are dealt into ranges of the whole order, as many
+    as there are shuffle partitions, numbered as they lie there, and shifted by the counts of the ranges before.
+
+    The numbered rows are written once, so that ids and counts come from the same ranges."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt = cut_lineage(dealt.withColumn("__place", F.monotonically_increasing_id()))  # range number above bit 33, place below
+    numbered = dealt.withColumn("__part", F.shiftright("__place", 33))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+    starts = numbered.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    gid = F.col("__start") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return numbered.join(F.broadcast(starts), "__part").withColumn("gid", gid).drop("__part", "__start", "__place")
 
 
 def best_balanced(cells: DataFrame, k: int) -> DataFrame:
@@ -79,15 +83,30 @@ def keep_top_fraction(rows: DataFrame, key: str, score: str, fraction: float, id
 
 
 def weighted_draw(rows: DataFrame, id_col: str, weight: str, draws: int, seed: int) -> DataFrame:
-    """``draws`` rows drawn with replacement by integer weight: hash draws over the cumulative weight, found by a range join.
+    """``draws`` rows drawn with replacement by integer weight: hash draws over the cumulative weight.
 
-    The cumulative weight is over groups of a hash of the id, so no window has all rows.
+    The cumulative weight is in two levels, groups by a hash of the id, as many as the square root of the rows, and rows
+    within. Draws and group starts, then draws and row starts, are merged in the order of their positions: a draw takes the
+    last start before it. Rows without weight are never drawn.
     """
-    rows = rows.select(id_col, F.col(weight).alias("own")).withColumn("grp", F.pmod(F.xxhash64(id_col), F.lit(64)))
+    rows = cut_lineage(rows.select(id_col, F.col(weight).cast("long").alias("own")).where("own > 0"))
+    groups = max(1, isqrt(rows.count()))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64(id_col), F.lit(groups)))
     starts = rows.groupBy("grp").agg(F.sum("own").alias("w")).withColumn("start", F.sum("w").over(Window.orderBy("grp")) - F.col("w"))
+    starts = cut_lineage(starts)
+    total = starts.agg(F.sum("w")).first()[0]
+    if not total:
+        return rows.select(F.lit(0).cast("long").alias("draw"), id_col)
+    salts = max(1, draws // 100_000)
+    picks = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)).alias("at"))
+    picks = picks.withColumn("salt", F.pmod("draw", F.lit(salts)))
+    marks = starts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    line = marks.select("salt", F.col("start").alias("at"), F.lit(None).cast("long").alias("draw"), "grp", "start")
+    line = line.unionByName(picks.select("salt", "at", "draw", F.lit(None).cast("long").alias("grp"), F.lit(None).cast("long").alias("start")))
+    last = Window.partitionBy("salt").orderBy("at", F.col("draw").isNotNull())
+    found = line.select("draw", "at", F.last("grp", True).over(last).alias("grp"), F.last("start", True).over(last).alias("start")).where("draw IS NOT NULL")
     upto = F.sum("own").over(Window.partitionBy("grp").orderBy(id_col).rowsBetween(Window.unboundedPreceding, 0))
-    spans = rows.withColumn("upto", upto).join(F.broadcast(starts), "grp").select(id_col, "grp", F.expr("start + upto - own").alias("a"), F.expr("start + upto").alias("b"))
-    total = starts.agg(F.sum("w").alias("total"))
-    picks = rows.sparkSession.range(draws).crossJoin(F.broadcast(total)).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), "total").alias("at"))
-    picks = picks.join(F.broadcast(starts.select("grp", "start", "w")), (F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("w"))).select("draw", "at", "grp")
-    return picks.join(spans, "grp").where("at >= a AND at < b").select("draw", id_col)
+    spans = rows.select("grp", (upto - F.col("own")).alias("at"), F.lit(None).cast("long").alias("draw"), id_col)
+    line = spans.unionByName(found.select("grp", (F.col("at") - F.col("start")).alias("at"), "draw", F.lit(None).cast(rows.schema[id_col].dataType).alias(id_col)))
+    last = Window.partitionBy("grp").orderBy("at", F.col("draw").isNotNull())
+    return line.select("draw", F.last(id_col, True).over(last).alias(id_col)).where("draw IS NOT NULL")

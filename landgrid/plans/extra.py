@@ -8,30 +8,31 @@ from pyspark.sql import functions as F
 from landgrid.operators import neighbourhood as nb
 from landgrid.operators import pixels as px
 from landgrid.operators.metrics import instance_pairs
+from landgrid.plans.raster import offsets_sql, region_sql
 from landgrid.plans.registry import query
 from landgrid.sources import files
 
 
-@query("E12_median_filter", "pixels", """
-WITH p AS (SELECT * FROM pixels WHERE cell_id <= 2) SELECT a.cell_id, a.r, a.c, CAST(quantile_disc(b.truth, 0.5) AS BIGINT) AS truth FROM p a JOIN p b ON a.cell_id = b.cell_id AND abs(a.r - b.r) <= 2 AND abs(a.c - b.c) <= 2 GROUP BY ALL""")
+@query("E12_median_filter", "pixels", f"""
+WITH n AS (SELECT cell_id, r - dr AS r, c - dc AS c, truth AS o FROM pixels, {offsets_sql(2)}) SELECT p.cell_id, p.r, p.c, CAST(quantile_disc(o, 0.5) AS BIGINT) AS truth FROM pixels p JOIN n USING (cell_id, r, c) GROUP BY ALL""")
 def e12(pixels: DataFrame) -> DataFrame:
-    return nb.median_filter(pixels.where("cell_id <= 2"), "truth")
+    return nb.median_filter(pixels, "truth")
 
 
-@query("J23_sharpen", "pixels", """
-WITH p AS (SELECT * FROM pixels WHERE cell_id <= 2), b AS (SELECT a.cell_id, a.r, a.c, any_value(a.red) AS red, avg(b.red) AS blur FROM p a JOIN p b ON a.cell_id = b.cell_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY ALL)
+@query("J23_sharpen", "pixels", f"""
+WITH n AS (SELECT cell_id, r - dr AS r, c - dc AS c, red AS o FROM pixels, {offsets_sql(1)}), b AS (SELECT p.cell_id, p.r, p.c, any_value(red) AS red, avg(o) AS blur FROM pixels p JOIN n USING (cell_id, r, c) GROUP BY ALL)
 SELECT cell_id, r, c, round(least(greatest(1.5::DOUBLE * red - 0.5::DOUBLE * blur, 0.0::DOUBLE), 255.0::DOUBLE), 6) AS red FROM b""")
 def j23(pixels: DataFrame) -> DataFrame:
-    return nb.sharpen(pixels.where("cell_id <= 2"), "red")
+    return nb.sharpen(pixels, "red")
 
 
 @query("J25_bilinear", "pixels", """
-WITH p AS (SELECT cell_id, r, c, prob_pm FROM pixels WHERE cell_id <= 2 AND r < 16 AND c < 16), f AS (SELECT DISTINCT cell_id, a.i AS r, b.i AS c FROM p, (SELECT unnest(range(64)) i) a, (SELECT unnest(range(64)) i) b),
+WITH p AS (SELECT cell_id, r // 4 AS r, c // 4 AS c, avg(prob_pm) AS prob_pm FROM pixels GROUP BY ALL), f AS (SELECT DISTINCT cell_id, a.i AS r, b.i AS c FROM p, (SELECT unnest(range(64)) i) a, (SELECT unnest(range(64)) i) b),
 k AS (SELECT *, (r + 0.5::DOUBLE) / 4 - 0.5::DOUBLE AS y, (c + 0.5::DOUBLE) / 4 - 0.5::DOUBLE AS x FROM f), w AS (SELECT k.cell_id, k.r, k.c, least(greatest(CAST(floor(y) AS BIGINT) + a, 0), 15) AS pr, least(greatest(CAST(floor(x) AS BIGINT) + b, 0), 15) AS pc,
   (CASE WHEN a = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN b = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM k, (SELECT unnest([0, 1]) a), (SELECT unnest([0, 1]) b))
 SELECT w.cell_id, w.r, w.c, round(sum(p.prob_pm * w.w), 6) AS prob_pm FROM w JOIN p ON p.cell_id = w.cell_id AND p.r = pr AND p.c = pc GROUP BY ALL""")
 def j25(pixels: DataFrame) -> DataFrame:
-    return nb.bilinear(pixels.where("cell_id <= 2 AND r < 16 AND c < 16").select(*px.KEY, "prob_pm"), "prob_pm", 16, 4)
+    return nb.bilinear(px.pool(pixels, 4, "prob_pm").select("cell_id", F.col("pr").alias("r"), F.col("pc").alias("c"), "prob_pm"), "prob_pm", 16, 4)
 
 
 @query("J8_rasterise", "parcels", """
@@ -56,23 +57,21 @@ def c24(regions: DataFrame, completed: DataFrame) -> DataFrame:
     return regions.join(f, "region_id", "left").groupBy("county").agg(F.sum(F.coalesce("feat", F.lit(0))).alias("total"), F.count("feat").alias("present"))
 
 
-@query("J17_hole_fill", "pixels", """
-WITH RECURSIVE p AS (SELECT cell_id, r, c, truth FROM pixels WHERE cell_id <= 2), z AS (SELECT * FROM p WHERE truth = 0), e AS (SELECT a.cell_id, a.r * 1048576 + a.c AS u, b.r * 1048576 + b.c AS v FROM z a JOIN z b ON a.cell_id = b.cell_id AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
-f AS (SELECT cell_id, r * 1048576 + c AS u, r * 1048576 + c AS v FROM z UNION SELECT f.cell_id, f.u, e.v FROM f JOIN e ON f.cell_id = e.cell_id AND f.v = e.u),
-m AS (SELECT cell_id, u, min(v) AS region FROM f GROUP BY ALL), s AS (SELECT cell_id, region, count(*) AS size FROM m GROUP BY ALL),
-n AS (SELECT m.cell_id, m.region, q.truth, count(*) AS n FROM m JOIN p a ON a.cell_id = m.cell_id AND a.r * 1048576 + a.c = m.u JOIN p q ON q.cell_id = a.cell_id AND abs(a.r - q.r) + abs(a.c - q.c) = 1 AND q.truth <> 0 GROUP BY ALL),
-t AS (SELECT cell_id, region, max_by(truth, (n, -truth)) AS fill FROM n GROUP BY ALL)
-SELECT cell_id, region, size, fill FROM s JOIN t USING (cell_id, region) WHERE size <= 64""")
+@query("J17_hole_fill", "pixels", f"""
+WITH RECURSIVE near AS (SELECT DISTINCT cell_id, r - dr AS r, c - dc AS c, truth AS k FROM (SELECT * FROM pixels WHERE truth > 0), {offsets_sql(1)}),
+wide AS (SELECT p.cell_id, p.r, p.c, k FROM pixels p JOIN near USING (cell_id, r, c)),
+around AS (SELECT cell_id, r - dr AS r, c - dc AS c, k FROM wide, {offsets_sql(1)}),
+full_ AS (SELECT cell_id, r, c, (1 + (r > 0)::INT + (r < 63)::INT) * (1 + (c > 0)::INT + (c < 63)::INT) AS n FROM pixels WHERE truth = 0),
+closed AS (SELECT cell_id, r, c, min(k) AS k FROM (SELECT cell_id, r, c, k, n FROM around JOIN full_ USING (cell_id, r, c) GROUP BY ALL HAVING count(*) = n) GROUP BY ALL),
+labels AS (SELECT p.cell_id, p.r, p.c, CASE WHEN truth = 0 THEN coalesce(k, 0) ELSE truth END AS truth FROM pixels p LEFT JOIN closed USING (cell_id, r, c)),
+{region_sql('truth', 'truth = 0').replace('FROM pixels', 'FROM labels')},
+holes AS (SELECT cell_id, r, unnest(range(a, b + 1)) AS c, region FROM spans JOIN regions USING (cell_id, u)),
+sizes AS (SELECT cell_id, region, count(*) AS size FROM holes GROUP BY ALL),
+rim AS (SELECT h.cell_id, region, q.truth, count(*) AS n FROM (SELECT cell_id, region, r + dr AS r, c + dc AS c FROM holes, {offsets_sql(1)} WHERE abs(dr) + abs(dc) = 1) h JOIN labels q USING (cell_id, r, c) WHERE q.truth <> 0 GROUP BY ALL),
+fills AS (SELECT cell_id, region, max_by(truth, (n, -truth)) AS fill FROM rim GROUP BY ALL)
+SELECT cell_id, region, size, fill FROM sizes JOIN fills USING (cell_id, region) WHERE size <= 400""")
 def j17(pixels: DataFrame) -> DataFrame:
-    some = pixels.where("cell_id <= 2")
-    zero = some.withColumn("z", F.when(F.col("truth") == 0, 1).otherwise(0))
-    holes = px.components(zero, "z").select(*px.KEY, "region")
-    sizes = holes.groupBy("cell_id", "region").agg(F.count("*").alias("size"))
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0))]))
-    around = holes.select("cell_id", "region", "r", "c", steps.alias("s")).select("cell_id", "region", (F.col("r") + F.col("s.a")).alias("r"), (F.col("c") + F.col("s.b")).alias("c"))
-    rim = around.join(some.where("truth <> 0").select(*px.KEY, "truth"), px.KEY)
-    fill = px.majority(rim, ["cell_id", "region"], "truth").select("cell_id", "region", F.col("truth").alias("fill"))
-    return sizes.join(fill, ["cell_id", "region"]).where("size <= 64")
+    return px.small_holes(px.closed(pixels, "truth"), "truth", 400)
 
 
 @query("E9_greedy_suppression", "pixels")
@@ -86,30 +85,29 @@ def e9(pixels: DataFrame) -> DataFrame:
 
 @query("J13_seeded_growth", "pixels")
 def j13(pixels: DataFrame) -> DataFrame:
-    seeds = pixels.where("cell_id <= 2").withColumn("seed", F.expr("IF(r % 16 = 8 AND c % 16 = 8, (r div 16) * 4 + c div 16 + 1, 0)"))
-    return nb.relabel(nb.grow_from_seeds(seeds, "seed", "prob_pm", 900, 6), "label")
+    return nb.peak_instances(pixels, "inst_pred", apart=3, least=0.05, area=12)
 
 
 @query("J14_boundary_seeds", "pixels")
 def j14(pixels: DataFrame) -> DataFrame:
-    some = pixels.where("cell_id <= 2").withColumn("weak", F.when(F.col("prob_pm") >= 220, 1).otherwise(0))
-    return nb.hysteresis(px.components(some, "weak").select(*px.KEY, "region"), some.where("prob_pm >= 980"))
+    weak = pixels.withColumn("weak", F.when(F.col("prob_pm") >= 220, 1).otherwise(0))
+    return nb.hysteresis(px.components(px.closed(weak, "weak"), "weak").select(*px.KEY, "region"), pixels.where("prob_pm >= 980"))
 
 
 @query("J15_full_coverage", "pixels")
 def j15(pixels: DataFrame) -> DataFrame:
-    some = pixels.where("cell_id <= 2").select(*px.KEY, "truth", "inst_pred")
+    some = pixels.select(*px.KEY, "truth", "inst_pred")
     own = some.where("truth IN (1, 2)").select(*px.KEY, F.col("inst_pred").alias("inst"))
     rest = px.components(some.where("truth NOT IN (0, 1, 2)"), "truth").select(*px.KEY, (F.col("region") + 1000).alias("inst"))
     named = some.select(*px.KEY).join(own.unionByName(rest), px.KEY, "left").select(*px.KEY, F.coalesce("inst", F.lit(0)).alias("inst"))
-    return nb.relabel(px.fill_nearest(named, "inst", 6), "inst")
+    return nb.relabel(px.fill_nearest(named, "inst"), "inst")
 
 
 @query("K5_simplify_rings", "pixels")
 def k5(pixels: DataFrame) -> DataFrame:
     from landgrid.operators.outlines import outlines
 
-    return nb.simplify_rings(outlines(pixels.where("cell_id <= 3"), "inst_gt"), 1.0).select("cell_id", "inst_gt", "ring", F.size("xs").alias("vertices"))
+    return nb.simplify_rings(outlines(pixels, "inst_gt"), 1.0).select("cell_id", "inst_gt", "ring", F.size("xs").alias("vertices"))
 
 
 @query("A13_annotation_export", "parcels")
@@ -126,7 +124,7 @@ def a14(parcels: DataFrame) -> DataFrame:
 def n6(pixels: DataFrame) -> DataFrame:
     from landgrid.operators.learners import classify_objects
 
-    return classify_objects(pixels, trees=20)
+    return classify_objects(pixels)
 
 
 @query("N7_feature_clusters", "scores")
@@ -134,4 +132,4 @@ def n7(scores: DataFrame) -> DataFrame:
     from landgrid.operators.learners import cluster_features
 
     vectors = scores.groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("features"))
-    return cluster_features(vectors, 8, 7)
+    return cluster_features(vectors, 80, 7)

@@ -9,6 +9,24 @@ from landgrid.functions import landuse as lu
 from landgrid.operators import pixels as px
 from landgrid.plans.registry import query
 
+
+
+def offsets_sql(n: int) -> str:
+    """Offsets ``dr, dc`` from -n to n."""
+    return f"(SELECT a.i AS dr, b.i AS dc FROM (SELECT unnest(range(-{n}, {n} + 1)) i) a, (SELECT unnest(range(-{n}, {n} + 1)) i) b) offsets"
+
+
+def region_sql(value: str, where: str) -> str:
+    """CTEs ``spans(cell_id, r, a, b, value, u)``, the runs of equal value along rows, and ``regions(cell_id, u, region)``, the least run each one reaches."""
+    return f"""marks AS (SELECT cell_id, r, c, {value}, CASE WHEN lag(c) OVER w = c - 1 AND lag({value}) OVER w = {value} THEN 0 ELSE 1 END AS fresh FROM pixels WHERE {where} WINDOW w AS (PARTITION BY cell_id, r ORDER BY c)),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY cell_id, r ORDER BY c ROWS UNBOUNDED PRECEDING) AS run FROM marks),
+spans AS (SELECT cell_id, r, {value}, min(c) AS a, max(c) AS b, r * 1048576 + min(c) AS u FROM runs GROUP BY cell_id, r, {value}, run),
+touching AS (SELECT x.cell_id, x.u, y.u AS v FROM spans x JOIN spans y ON x.cell_id = y.cell_id AND x.{value} = y.{value} AND x.r = y.r + 1 AND x.a <= y.b AND x.b >= y.a),
+links AS (SELECT * FROM touching UNION SELECT cell_id, v, u FROM touching),
+reached AS (SELECT cell_id, u, u AS v FROM spans UNION SELECT f.cell_id, f.u, e.v FROM reached f JOIN links e ON f.cell_id = e.cell_id AND f.v = e.u),
+regions AS (SELECT cell_id, u, min(v) AS region FROM reached GROUP BY ALL)"""
+
+
 INT = lambda x: f"CAST({x} AS BIGINT)"
 
 
@@ -63,28 +81,28 @@ def b27(pixels: DataFrame) -> DataFrame:
 
 
 @query("B28_spectral_indices", "pixels", """
-WITH p AS (SELECT cell_id, r, c, red / 3000 AS rd, grn / 3000 AS gn, blu / 3000 AS bl, prob_pm / 3000 AS nr FROM pixels WHERE c % 8 = 0)
+WITH p AS (SELECT cell_id, r, c, red / 3000 AS rd, grn / 3000 AS gn, blu / 3000 AS bl, prob_pm / 3000 AS nr FROM pixels)
 SELECT cell_id, r, c, round((nr - rd) / (nr + rd + 1e-6), 6) AS ndvi, round(1.5::DOUBLE * (nr - rd) / (nr + rd + 0.5::DOUBLE + 1e-6), 6) AS savi,
   round(least(greatest(2.5::DOUBLE * (nr - rd) / (nr + 6 * rd - 7.5::DOUBLE * bl + 1 + 1e-6), -1.5::DOUBLE), 1.5::DOUBLE), 6) AS evi, round((nr - gn) / (nr + gn + 1e-6), 6) AS gndvi, round((gn - nr) / (gn + nr + 1e-6), 6) AS ndwi,
   round((2 * nr + 1 - sqrt(greatest((2 * nr + 1) * (2 * nr + 1) - 8 * (nr - rd), 0.0::DOUBLE))) / 2, 6) AS msavi FROM p""")
 def b28(pixels: DataFrame) -> DataFrame:
     band = lambda c: F.col(c) / 3000
     indices = lu.spectral_indices(band("red"), band("grn"), band("blu"), band("prob_pm"))
-    return pixels.where("c % 8 = 0").select(*px.KEY, *[F.round(v, 6).alias(k) for k, v in indices.items()])
+    return pixels.select(*px.KEY, *[F.round(v, 6).alias(k) for k, v in indices.items()])
 
 
 @query("B29_band_standardisation", "pixels", """
-SELECT cell_id, r, c, round((red / 255 - 0.485::DOUBLE) / 0.229::DOUBLE, 6) AS zr, round((grn / 255 - 0.456::DOUBLE) / 0.224::DOUBLE, 6) AS zg, round((blu / 255 - 0.406::DOUBLE) / 0.225::DOUBLE, 6) AS zb FROM pixels WHERE c % 8 = 0""")
+SELECT cell_id, r, c, round((red / 255 - 0.485::DOUBLE) / 0.229::DOUBLE, 6) AS zr, round((grn / 255 - 0.456::DOUBLE) / 0.224::DOUBLE, 6) AS zg, round((blu / 255 - 0.406::DOUBLE) / 0.225::DOUBLE, 6) AS zb FROM pixels""")
 def b29(pixels: DataFrame) -> DataFrame:
     stats = {"red": ("zr", 0.485, 0.229), "grn": ("zg", 0.456, 0.224), "blu": ("zb", 0.406, 0.225)}
-    return pixels.where("c % 8 = 0").select(*px.KEY, *[F.round((F.col(b) / 255 - m) / s, 6).alias(n) for b, (n, m, s) in stats.items()])
+    return pixels.select(*px.KEY, *[F.round((F.col(b) / 255 - m) / s, 6).alias(n) for b, (n, m, s) in stats.items()])
 
 
 @query("B30_ndvi_fill", "pixels", """
-WITH v AS (SELECT *, CASE WHEN alpha = 0 THEN NULL ELSE prob_pm * 10 END AS v FROM pixels WHERE c % 4 = 0), m AS (SELECT cell_id, median(v) AS m FROM v GROUP BY cell_id)
+WITH v AS (SELECT *, CASE WHEN alpha = 0 THEN NULL ELSE prob_pm * 10 END AS v FROM pixels), m AS (SELECT cell_id, median(v) AS m FROM v GROUP BY cell_id)
 SELECT cell_id, r, c, round(coalesce(v, m, 5000) / 10000.0::DOUBLE, 6) AS ndvi FROM v JOIN m USING (cell_id)""")
 def b30(pixels: DataFrame) -> DataFrame:
-    rows = pixels.where("c % 4 = 0").withColumn("v", F.when(F.col("alpha") != 0, F.col("prob_pm") * 10))
+    rows = pixels.withColumn("v", F.when(F.col("alpha") != 0, F.col("prob_pm") * 10))
     mid = rows.groupBy("cell_id").agg(F.median("v").alias("m"))
     return rows.join(mid, "cell_id").select(*px.KEY, F.round(F.coalesce("v", "m", F.lit(5000)) / 10000.0, 6).alias("ndvi"))
 
@@ -96,9 +114,9 @@ def c14(pixels: DataFrame) -> DataFrame:
 
 
 @query("J6_pool_and_index", "pixels", """
-WITH q AS (SELECT cell_id, r // 4 AS pr, c // 4 AS pc, avg(prob_pm) AS m FROM pixels GROUP BY ALL) SELECT p.cell_id, r, c, round(m, 6) AS m FROM pixels p JOIN q ON p.cell_id = q.cell_id AND r // 4 = pr AND c // 4 = pc WHERE r < 16""")
+WITH q AS (SELECT cell_id, r // 4 AS pr, c // 4 AS pc, avg(prob_pm) AS m FROM pixels GROUP BY ALL) SELECT p.cell_id, r, c, round(m, 6) AS m FROM pixels p JOIN q ON p.cell_id = q.cell_id AND r // 4 = pr AND c // 4 = pc""")
 def j6(pixels: DataFrame) -> DataFrame:
-    return px.unpool(pixels.where("r < 16"), px.pool(pixels, 4, "prob_pm"), 4).select(*px.KEY, F.round("prob_pm", 6).alias("m"))
+    return px.unpool(pixels, px.pool(pixels, 4, "prob_pm"), 4).select(*px.KEY, F.round("prob_pm", 6).alias("m"))
 
 
 @query("C15_coarse_fine", "pixels", """
@@ -212,18 +230,18 @@ def j3(regions: DataFrame) -> DataFrame:
     return regions.select("region_id", F.size(offsets).cast("long").alias("windows"), F.array_max(offsets).alias("last"))
 
 
-BLEND = """WITH o AS (SELECT unnest([0, 16, 32]) AS o), p AS (SELECT cell_id, r, c, prob_pm + (a.o + b.o) % 7 AS v, a.o AS wr, b.o AS wc FROM pixels JOIN o a ON r >= a.o AND r < a.o + 32 JOIN o b ON c >= b.o AND c < b.o + 32 WHERE cell_id <= 4)"""
+BLEND = """WITH o AS (SELECT unnest([0, 16, 32]) AS o), p AS (SELECT cell_id, r, c, prob_pm + (a.o + b.o) % 7 AS v, a.o AS wr, b.o AS wc FROM pixels JOIN o a ON r >= a.o AND r < a.o + 32 JOIN o b ON c >= b.o AND c < b.o + 32)"""
 HANN = "greatest((0.5::DOUBLE - 0.5::DOUBLE * cos(2 * 3.141592653589793::DOUBLE * (r - wr) / 31)) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * 3.141592653589793::DOUBLE * (c - wc) / 31)), 0.001::DOUBLE)"
 
 
 @query("J4_hann_blend", "pixels", f"{BLEND} SELECT cell_id, r, c, round(sum(v * {HANN}) / greatest(sum({HANN}), 0.000001::DOUBLE), 6) AS blended FROM p GROUP BY ALL")
 def j4(pixels: DataFrame) -> DataFrame:
-    return px.blend(pixels.where("cell_id <= 4"), "prob_pm", 64, 32, 16, hann=True)
+    return px.blend(pixels, "prob_pm", 64, 32, 16, hann=True)
 
 
 @query("J5_plain_average", "pixels", f"{BLEND} SELECT cell_id, r, c, round(avg(v), 6) AS blended FROM p GROUP BY ALL")
 def j5(pixels: DataFrame) -> DataFrame:
-    return px.blend(pixels.where("cell_id <= 4"), "prob_pm", 64, 32, 16, hann=False)
+    return px.blend(pixels, "prob_pm", 64, 32, 16, hann=False)
 
 
 @query("J7_banded_equals_global", "pixels", "SELECT cell_id, CAST(sum(prob_pm) AS BIGINT) AS total, CAST(0 AS BIGINT) AS difference FROM pixels GROUP BY 1")
@@ -253,26 +271,23 @@ def j10(pixels: DataFrame) -> DataFrame:
 
 
 @query("J11_boundary_distance", "pixels", """
-WITH m AS (SELECT cell_id, r, c FROM pixels WHERE prob_pm > 985 AND cell_id <= 3), d AS (SELECT p.cell_id, p.r, p.c, min((p.r - m.r) * (p.r - m.r) + (p.c - m.c) * (p.c - m.c)) AS d FROM pixels p LEFT JOIN m ON p.cell_id = m.cell_id WHERE p.cell_id <= 3 GROUP BY ALL)
+WITH m AS (SELECT cell_id, r, c FROM pixels WHERE prob_pm > 985), d AS (SELECT p.cell_id, p.r, p.c, min((p.r - m.r) * (p.r - m.r) + (p.c - m.c) * (p.c - m.c)) AS d FROM pixels p LEFT JOIN m ON p.cell_id = m.cell_id GROUP BY ALL)
 SELECT cell_id, r, c, round(least(sqrt(coalesce(d, 900)), 30.0::DOUBLE) / 30, 6) AS distance FROM d""")
 def j11(pixels: DataFrame) -> DataFrame:
-    some = pixels.where("cell_id <= 3")
-    return px.distance_to(some.where("prob_pm > 985"), some, 30)
+    return px.distance_to(pixels.where("prob_pm > 985"), pixels, 30)
 
 
-@query("J12_components", "pixels", """
-WITH RECURSIVE p AS (SELECT cell_id, r, c, truth FROM pixels WHERE truth > 0 AND cell_id <= 2), e AS (SELECT a.cell_id, a.r * 1048576 + a.c AS u, b.r * 1048576 + b.c AS v FROM p a JOIN p b ON a.cell_id = b.cell_id AND a.truth = b.truth AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
-f AS (SELECT cell_id, r * 1048576 + c AS u, r * 1048576 + c AS v FROM p UNION SELECT f.cell_id, f.u, e.v FROM f JOIN e ON f.cell_id = e.cell_id AND f.v = e.u)
-SELECT p.cell_id, r, c, truth, m.region FROM p JOIN (SELECT cell_id, u, min(v) AS region FROM f GROUP BY ALL) m ON p.cell_id = m.cell_id AND p.r * 1048576 + p.c = m.u""")
+@query("J12_components", "pixels", f"WITH RECURSIVE {region_sql('truth', 'truth > 0')} SELECT cell_id, r, unnest(range(a, b + 1)) AS c, truth, region FROM spans JOIN regions USING (cell_id, u)")
 def j12(pixels: DataFrame) -> DataFrame:
-    return px.components(pixels.where("cell_id <= 2"), "truth")
+    return px.components(pixels, "truth")
 
 
-@query("J16_nearest_fill", "pixels", """
-WITH p AS (SELECT * FROM pixels WHERE cell_id <= 3), f AS (SELECT a.cell_id, a.r, a.c, arg_min(b.truth, ((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c), b.r, b.c)) AS fill FROM p a JOIN p b ON a.cell_id = b.cell_id AND a.truth = 0 AND b.truth <> 0
-  AND (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 36 GROUP BY ALL) SELECT cell_id, r, c, CASE WHEN truth = 0 THEN coalesce(fill, 0) ELSE truth END AS truth FROM p LEFT JOIN f USING (cell_id, r, c)""")
+@query("J16_nearest_fill", "pixels", f"""
+WITH near AS (SELECT cell_id, r - dr AS r, c - dc AS c, truth AS o, dr * dr + dc * dc AS d, r AS qr, c AS qc FROM pixels, {offsets_sql(8)} WHERE truth <> 0 AND dr * dr + dc * dc <= 64),
+f AS (SELECT p.cell_id, p.r, p.c, arg_min(o, (d, qr, qc)) AS fill FROM (SELECT * FROM pixels WHERE truth = 0) p JOIN near USING (cell_id, r, c) GROUP BY ALL)
+SELECT cell_id, r, c, CASE WHEN truth = 0 THEN coalesce(fill, 0) ELSE truth END AS truth FROM pixels LEFT JOIN f USING (cell_id, r, c)""")
 def j16(pixels: DataFrame) -> DataFrame:
-    return px.fill_nearest(pixels.where("cell_id <= 3"), "truth", 6)
+    return px.fill_nearest(pixels, "truth")
 
 
 @query("J18_rule_leftovers", "pixels", f"SELECT cell_id, r, c, CASE WHEN pred <> 0 THEN pred ELSE {RULE} END AS cls FROM (SELECT cell_id, p.r AS row_, c, pred, red AS r, grn AS g, blu AS b, 0 AS s FROM pixels p) t(cell_id, r_, c, pred, r, g, b, s)".replace("SELECT cell_id, r, c, CASE", "SELECT cell_id, r_ AS r, c, CASE"))
@@ -303,12 +318,11 @@ def j21(pixels: DataFrame) -> DataFrame:
 
 
 @query("J22_edge_agreement", "pixels", f"""
-WITH n AS (SELECT p.cell_id, p.r, p.c, sum(q.red * (q.c - p.c) * (2 - abs(q.r - p.r))) AS gx, sum(q.red * (q.r - p.r) * (2 - abs(q.c - p.c))) AS gy FROM pixels p JOIN (SELECT cell_id, r AS r0, c AS c0, r, c, red FROM pixels) q ON p.cell_id = q.cell_id AND q.r BETWEEN p.r - 1 AND p.r + 1 AND q.c BETWEEN p.c - 1 AND p.c + 1
-  WHERE p.cell_id <= 3 AND p.r BETWEEN 1 AND 62 AND p.c BETWEEN 1 AND 62 GROUP BY ALL), m AS (SELECT cell_id, r, c, sqrt(CAST(gx * gx + gy * gy AS DOUBLE)) AS m FROM n)
+WITH n AS (SELECT cell_id, r - dr AS r, c - dc AS c, sum(red * dc * (2 - abs(dr))) AS gx, sum(red * dr * (2 - abs(dc))) AS gy FROM pixels, {offsets_sql(1)} WHERE r - dr BETWEEN 1 AND 62 AND c - dc BETWEEN 1 AND 62 GROUP BY ALL),
+m AS (SELECT cell_id, r, c, sqrt(CAST(gx * gx + gy * gy AS DOUBLE)) AS m FROM n)
 SELECT cell_id, round(avg(m) FILTER (e.r IS NOT NULL) / avg(m), 6) AS score FROM m LEFT JOIN {_edges('truth')} e USING (cell_id, r, c) GROUP BY cell_id""")
 def j22(pixels: DataFrame) -> DataFrame:
-    some = pixels.where("cell_id <= 3")
-    m = px.sobel(some, "red").join(px.boundary(some, "truth").withColumn("edge", F.lit(True)), px.KEY, "left")
+    m = px.sobel(pixels, "red").join(px.boundary(pixels, "truth").withColumn("edge", F.lit(True)), px.KEY, "left")
     return m.groupBy("cell_id").agg(F.round(F.avg(F.when(F.col("edge"), F.col("magnitude"))) / F.avg("magnitude"), 6).alias("score"))
 
 
@@ -319,12 +333,12 @@ def j24(pixels: DataFrame) -> DataFrame:
     return px.majority(rows, ["cell_id", "pr", "pc"], "truth")
 
 
-@query("J26_thin_weights", "pixels", """
-WITH p AS (SELECT cell_id, r, c, truth FROM pixels WHERE cell_id <= 2), k AS (SELECT a.cell_id, a.r, a.c, a.truth, count(*) FILTER (b.truth <> a.truth) AS other FROM p a JOIN p b ON a.cell_id = b.cell_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY ALL),
-o AS (SELECT DISTINCT a.cell_id, a.r, a.c FROM p a JOIN k b ON a.cell_id = b.cell_id AND a.truth = b.truth AND b.other = 0 AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1)
-SELECT cell_id, r, c, CASE WHEN o.cell_id IS NULL THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM p LEFT JOIN o USING (cell_id, r, c)""".replace("CASE WHEN o.cell_id IS NULL", "CASE WHEN NOT EXISTS (SELECT 1 FROM o x WHERE x.cell_id = p.cell_id AND x.r = p.r AND x.c = p.c)").replace(" FROM p LEFT JOIN o USING (cell_id, r, c)", " FROM p"))
+@query("J26_thin_weights", "pixels", f"""
+WITH near AS (SELECT cell_id, r - dr AS r, c - dc AS c, truth AS o FROM pixels, {offsets_sql(1)}), cores AS (SELECT p.cell_id, p.r, p.c, any_value(truth) AS truth FROM pixels p JOIN near USING (cell_id, r, c) GROUP BY p.cell_id, p.r, p.c HAVING min(o) = max(o)),
+kept AS (SELECT DISTINCT cell_id, r - dr AS r, c - dc AS c, truth FROM cores, {offsets_sql(1)})
+SELECT cell_id, r, c, CASE WHEN k.r IS NULL THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM pixels LEFT JOIN kept k USING (cell_id, r, c, truth)""".replace("k.r IS NULL", "k.cell_id IS NULL").replace("FROM pixels LEFT JOIN kept k USING (cell_id, r, c, truth)", "FROM pixels p LEFT JOIN (SELECT cell_id AS kid, r AS kr, c AS kc, truth AS kt FROM kept) k ON p.cell_id = kid AND p.r = kr AND p.c = kc AND p.truth = kt").replace("k.cell_id IS NULL", "kid IS NULL"))
 def j26(pixels: DataFrame) -> DataFrame:
-    return px.opened(pixels.where("cell_id <= 2"), "truth", 3)
+    return px.opened(pixels, "truth", 3)
 
 
 @query("H1_argmax_skip_zero", "scores", """

@@ -9,6 +9,8 @@ from landgrid.functions import landuse as lu
 from landgrid.operators import survey as sv
 from landgrid.operators.tiling import top_per_key
 from landgrid.plans.registry import query
+from landgrid.session import shared_path
+from landgrid.sources import files
 
 MAJOR = "CAST(substr(dlbm, 1, 2) AS INT)"
 FIVE = f"CASE WHEN {MAJOR} BETWEEN 1 AND 4 THEN {MAJOR} WHEN {MAJOR} BETWEEN 5 AND 12 THEN 5 END"
@@ -62,9 +64,9 @@ def b37(parcels: DataFrame) -> DataFrame:
     return parcels.select("parcel_id", (10.0 * F.when(area < 100, 0.5).when(area < 500, 1.0).otherwise(1.5)).alias("buffer"))
 
 
-@query("B40_hex_colour", "pixels", "SELECT cell_id, r, c, '#' || lower(printf('%02x%02x%02x', red, grn, blu)) AS rgb FROM pixels WHERE r < 4")
+@query("B40_hex_colour", "pixels", "SELECT cell_id, r, c, '#' || lower(printf('%02x%02x%02x', red, grn, blu)) AS rgb FROM pixels")
 def b40(pixels: DataFrame) -> DataFrame:
-    return pixels.where("r < 4").select("cell_id", "r", "c", lu.hex_colour("red", "grn", "blu").alias("rgb"))
+    return pixels.select("cell_id", "r", "c", lu.hex_colour("red", "grn", "blu").alias("rgb"))
 
 
 @query("D5_cell_richness", "parcels", f"""
@@ -228,13 +230,12 @@ def f4(parcels: DataFrame) -> DataFrame:
     return s.where("share > 0.1").orderBy(F.desc("share"), "county").limit(35).select("county", F.round("share", 6).alias("share"))
 
 
-@query("G1_concatenate_products", "parcels", "SELECT block_id, count(*) AS n FROM parcels WHERE block_id < 8 GROUP BY block_id")
+@query("G1_concatenate_products", "parcels", "SELECT block_id, count(*) AS n FROM parcels GROUP BY block_id")
 def g1(parcels: DataFrame) -> DataFrame:
-    parts = [parcels.where(F.col("block_id") == b) for b in range(8)]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole.groupBy("block_id").agg(F.count("*").alias("n"))
+    """The parts of a product, a folder for each block, read as one table."""
+    path = shared_path(parcels.sparkSession, "blocks")
+    parcels.write.partitionBy("block_id").parquet(path)
+    return files.read_parts(parcels.sparkSession, path).groupBy(F.col("block_id").cast("long").alias("block_id")).agg(F.count("*").alias("n"))
 
 
 @query("C16_schema_lookup", "parcels", f"""

@@ -114,6 +114,11 @@ def write_product(parcels: DataFrame, path: str) -> None:
     parcels.repartition("county").sortWithinPartitions("county", "gid").write.mode("overwrite").partitionBy("county").parquet(path)
 
 
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The parts of a product under ``path`` as one table; parts that can't be read are skipped."""
+    return spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(path)
+
+
 def latest_artifact(catalog: DataFrame) -> DataFrame:
     """The newest raster of each zoom and source in a file catalog ``(path, modificationTime)``; landform rasters don't count."""
     part = lambda i: F.regexp_extract("path", r"z(\d+)_([a-z]+)[^/]*\.tiff?$", i)
