@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from landgrid.session import cut_lineage
 
 
+def release(df: DataFrame) -> None:
+    """Let the driver collect the plans of past rounds, whose shuffles and broadcasts Spark then cleans up."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``links(src long, dst long)`` -> ``(node long, root long)`` for every node that has a link.
 
     Each round points every node at the neighbour (or itself) that comes first in a fresh random order, follows that
     pointer once more, and replaces the links by links between the nodes pointed at. A round removes a constant share
     of the nodes in expectation, so the rounds grow with the logarithm of the largest component. Links, pointers and
-    labels stay distributed; each round is cut with a reliable checkpoint, and joins merge, since tables built for broadcasts
-    would pile up in the driver over the rounds. Null ends and self links are ignored.
+    labels stay distributed; each round is cut with a reliable checkpoint. Null ends and self links are ignored.
     """
     links = cut_lineage(
         links.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
@@ -31,18 +35,19 @@ def connected_components(links: DataFrame) -> DataFrame:
         )
         first = cut_lineage(first)
         jump = first.select(F.col("node").alias("mid"), F.col("next").alias("far"))
-        step = cut_lineage(first.join(jump.hint("merge"), first.next == jump.mid).select("node", F.col("far").alias("up")))
+        step = cut_lineage(first.join(jump, first.next == jump.mid).select("node", F.col("far").alias("up")))
         a = step.select(F.col("node").alias("src"), F.col("up").alias("a"))
         b = step.select(F.col("node").alias("dst"), F.col("up").alias("b"))
         links = cut_lineage(
-            links.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where("a <> b")
+            links.join(a, "src").join(b, "dst").where("a <> b")
             .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
         )
         if labels is None:
             labels = step.select("node", F.col("up").alias("root"))
         else:
             up = step.select(F.col("node").alias("root"), "up")
-            labels = labels.join(up.hint("merge"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+            labels = labels.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
         labels = cut_lineage(labels)
         turn += 1
+        release(labels)
     return labels if labels is not None else links.select(F.col("src").alias("node"), F.col("dst").alias("root"))
