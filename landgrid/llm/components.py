@@ -33,7 +33,6 @@ def connected_components(links: DataFrame) -> DataFrame:
             .agg(F.min(order("dst")).alias("best"))
             .select("node", F.least("best", order("node"))["v"].alias("next"))
         )
-        first = cut_lineage(first)
         jump = first.select(F.col("node").alias("mid"), F.col("next").alias("far"))
         step = cut_lineage(first.join(jump, first.next == jump.mid).select("node", F.col("far").alias("up")))
         a = step.select(F.col("node").alias("src"), F.col("up").alias("a"))
