@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Class names and colours of the parcel product.
@@ -88,3 +88,11 @@ def colour_rule(r: Column, g: Column, b: Column, spread: Column) -> Column:
         .when((r > b) & (spread > 40), 7)
         .otherwise(0)
     )
+
+
+def rule_table(rules: DataFrame) -> Column:
+    """Class by the rules ``(rank, condition, cls)`` of a table, SQL conditions in order of rank; the first that holds counts, 0 if none does."""
+    chain = F.lit(0)
+    for r in rules.orderBy(F.desc("rank")).collect():
+        chain = F.when(F.expr(r["condition"]), r["cls"]).otherwise(chain)
+    return chain

@@ -110,8 +110,8 @@ def stored_tiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_product(parcels: DataFrame, path: str) -> None:
-    """A product partitioned by county, sorted inside files so that row-group statistics prune."""
-    parcels.repartition("county").sortWithinPartitions("county", "gid").write.mode("overwrite").partitionBy("county").parquet(path)
+    """A product partitioned by county, sorted inside files so that row-group statistics prune; a large county has several files."""
+    parcels.repartitionByRange("county", "gid").sortWithinPartitions("county", "gid").write.mode("overwrite").partitionBy("county").parquet(path)
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:

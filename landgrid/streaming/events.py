@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -121,6 +121,29 @@ def upsert_stream(events: DataFrame, path: str, checkpoint: str, trigger: dict |
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def status_stream(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """A status row for each job, brought up to date every five seconds: finished and failed tiles, bytes, last event.
+
+    Each micro-batch writes ``path/batch=N`` with the totals of all jobs so far, from its own events and the batch before,
+    so a batch that is run again gives the same rows.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        now = batch.groupBy("job_id").agg(_n("ok").alias("completed"), _n("failed").alias("failed"), F.sum("nbytes").alias("bytes"), F.max("ts").alias("at"))
+        if number:
+            sums = [F.sum(c).alias(c) for c in ("completed", "failed", "bytes")]
+            now = now.unionByName(batch.sparkSession.read.parquet(f"{path}/batch={number - 1}")).groupBy("job_id").agg(*sums, F.max("at").alias("at"))
+        now.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+
+
+def status_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The newest status row of each job."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy("job_id").agg(F.max_by(F.struct("completed", "failed", "bytes", "at"), "batch").alias("s")).select("job_id", "s.*")
+
+
 def failure_runs(events: DataFrame, least: int = 30) -> DataFrame:
     """Runs of at least ``least`` failures in a row of a job: gaps and islands of its events."""
     order = ["ts", "event_id"]
