@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, sqrt
 
 import numpy as np
@@ -111,13 +112,11 @@ def top(query: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rough: np.ndarr
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``(vec_id, vector array<double>)`` without nulls, zero vectors and non-finite components, of the commonest length."""
+    """``(vec_id, vector array<double>)`` without nulls, zero vectors and non-finite components."""
     v = F.col("embedding").cast("array<double>")
     odd = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = vectors.select("vec_id", v.alias("vector")).where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
-    good = good.where(~odd & F.exists("vector", lambda x: x != 0))
-    size = good.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return good.where(F.size("vector") == (size["n"] if size else 0))
+    return good.where(~odd & F.exists("vector", lambda x: x != 0))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -129,11 +128,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, plan: Plan = Plan(
     the largest inner product, its own id left out, nearest first, ties to the smaller vec_id.
 
     A query visits the calibrated number of leaves, and more until they hold k rows besides those of its own id.
-    Every usable row is indexed; null, zero and non-finite vectors and null ids take no part. A query with fewer other
-    rows gets what there is; an empty table gives no rows. Repeated rows are candidates each.
+    Every usable row is indexed; null, zero and non-finite vectors and null ids take no part. Inner products are of vectors
+    of one length, so each length is searched by itself; the lengths of a table are few. A query with fewer other rows
+    gets what there is; an empty table gives no rows. Repeated rows are candidates each.
     """
-    spark = vectors.sparkSession
     good = usable(vectors)
+    lengths = [r["n"] for r in good.groupBy(F.size("vector").alias("n")).count().orderBy("n").collect()]
+    found = [search_length(good.where(F.size("vector") == n), is_query, k, plan) for n in lengths]
+    return reduce(DataFrame.union, found or [search_length(good, is_query, k, plan)])
+
+
+def search_length(good: DataFrame, is_query: Column, k: int, plan: Plan) -> DataFrame:
+    """``search`` among usable vectors ``(vec_id, vector)`` of one length."""
+    spark = good.sparkSession
     size = good.agg(F.count("*").alias("n"), F.max(F.expr("sqrt(aggregate(vector, 0D, (s, x) -> s + x * x))")).alias("most")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not size["n"]:

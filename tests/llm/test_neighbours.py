@@ -39,13 +39,13 @@ def test_recall_and_exact_scores(spark):
 def test_ties_copies_and_odd_vectors(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [1.0, 2.0, 0.5]) for i in range(300)] + [(i, rng.normal(size=3).tolist()) for i in range(300, 340)]
-    odd = [(1000, None), (1001, [0.0, 0.0, 0.0]), (1002, [1.0, None, 2.0]), (1003, [math.nan, 1.0, 1.0]), (1004, [math.inf, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (1020, [1.0])]
+    odd = [(1000, None), (1001, [0.0, 0.0, 0.0]), (1002, [1.0, None, 2.0]), (1003, [math.nan, 1.0, 1.0]), (1004, [math.inf, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (1020, [1.0, 2.0]), (1040, [3.0]), (1041, [-2.0])]
     frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("leaf", F.lit("x")).withColumn("vector", F.lit(1))
     plan = Plan(recall=1.0, block_rows=50)
     got = {}
     for r in search(frame, F.expr(QUERY), 20, plan).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
-    assert got == brute(rows, 20)
+    assert got == brute(rows, 20) | {1040: [1041]}  # each length by itself
 
 
 def test_few_or_no_rows(spark):
