@@ -221,7 +221,7 @@ def fit(docs: DataFrame, limits: Limits = Limits()) -> Model:
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
     eligible = labelled.count()
     share = min(1.0, limits.sample_docs / max(eligible, 1))
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000))
+    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1_000_000))
     sample = labelled.where(draw < int(share * 1_000_000))
     words = cut_lineage(
         sample.select("lang", F.explode(F.expr("regexp_extract_all(lower(text), '\\\\p{L}+', 0)")).alias("unit"))

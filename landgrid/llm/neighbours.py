@@ -130,7 +130,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, plan: Plan = Plan(
     A query visits the calibrated number of leaves, and more until they hold k rows besides those of its own id.
     Every usable row is indexed; null, zero and non-finite vectors and null ids take no part. Inner products are of vectors
     of one length, so each length is searched by itself; the lengths of a table are few. A query with fewer other rows
-    gets what there is; an empty table gives no rows. Repeated rows are candidates each.
+    gets what there is; an empty table gives no rows. Repeated rows are candidates each, and each repeated query row gets an
+    answer of its own (equal ones are searched once); rows of one id with other vectors are queries of their own.
+    Columns of ``vectors`` but vec_id and embedding are not read.
     """
     good = usable(vectors)
     lengths = [r["n"] for r in good.groupBy(F.size("vector").alias("n")).count().orderBy("n").collect()]
@@ -175,24 +177,24 @@ def search_length(good: DataFrame, is_query: Column, k: int, plan: Plan) -> Data
         block_of, splits, held = where.value
         for f in frames:
             out: list[tuple] = []
-            for name, vector, own in zip(f.vec_id, f.vector, f.own, strict=True):
+            for no, name, copies, vector, own in zip(f.query_no, f.vec_id, f.copies, f.vector, f.own, strict=True):
                 goals: dict[tuple[int, int], list[int]] = {}
                 for leaf in sent.value.visits(np.append(vector, 0.0), visits, held, k + own):
                     for part in range(splits[leaf]):
                         goals.setdefault((block_of[leaf], part), []).append(leaf)
-                out += [(b, p, name, vector, leaves) for (b, p), leaves in goals.items()]
-            yield pd.DataFrame(out, columns=["block", "part", "query_id", "query", "leaves"])
+                out += [(b, p, no, name, copies, vector, leaves) for (b, p), leaves in goals.items()]
+            yield pd.DataFrame(out, columns=["block", "part", "query_no", "query_id", "copies", "query", "leaves"])
 
     def found(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(queries) and len(rows):
             ids, matrix, leaf = rows.vec_id.to_numpy(), np.stack(rows.vector.to_numpy()), rows.leaf.to_numpy()
-            for name, vector, leaves in zip(queries.query_id, queries["query"], queries.leaves, strict=True):
+            for no, name, copies, vector, leaves in zip(queries.query_no, queries.query_id, queries.copies, queries["query"], queries.leaves, strict=True):
                 keep = np.flatnonzero(np.isin(leaf, leaves) & (ids != name))
                 if len(keep):
                     best, scores = top(vector, matrix[keep], ids[keep], matrix[keep] @ vector, k)
-                    out.append((name, best.tolist(), scores.tolist()))
-        return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
+                    out.append((no, name, copies, best.tolist(), scores.tolist()))
+        return pd.DataFrame(out, columns=["query_no", "query_id", "copies", "ids", "scores"])
 
     literal = lambda d: F.from_json(F.lit("[" + ",".join(str(d[x]) for x in range(tree.leaves)) + "]"), "array<int>")
     at = F.col("leaf") + 1
@@ -202,17 +204,18 @@ def search_length(good: DataFrame, is_query: Column, k: int, plan: Plan) -> Data
         "vec_id", "vector", "leaf",
     )
     own = index.groupBy("vec_id").agg(F.count("*").alias("own"))
-    asked = index.where(is_query).select("vec_id", "vector").join(own, "vec_id")
-    asked = cut_lineage(asked.mapInPandas(queries_to_blocks, "block int, part int, query_id long, query array<double>, leaves array<int>"))
+    asked = index.where(is_query).groupBy("vec_id", "vector").agg(F.count("*").alias("copies")).join(own, "vec_id").withColumn("query_no", F.monotonically_increasing_id())
+    asked = cut_lineage(asked.mapInPandas(queries_to_blocks, "block int, part int, query_no long, query_id long, copies long, query array<double>, leaves array<int>"))
     # The queries of a group are dealt over chunks, and its rows go to each of them.
     chunks = asked.groupBy("block", "part").agg(F.ceil(F.count("*") / plan.chunk_queries).cast("int").alias("chunks"))
-    asked = asked.join(chunks, ["block", "part"]).withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int")).drop("chunks")
+    asked = asked.join(chunks, ["block", "part"]).withColumn("chunk", F.pmod(F.xxhash64("query_no"), F.col("chunks")).cast("int")).drop("chunks")
     rows = rows.join(chunks, ["block", "part"]).withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).drop("chunks")
     group = ["block", "part", "chunk"]
-    pieces = asked.groupBy(*group).cogroup(rows.groupBy(*group)).applyInPandas(found, "query_id long, ids array<bigint>, scores array<double>")
-    pieces = pieces.select("query_id", F.expr("transform(arrays_zip(scores, ids), x -> struct(-x.scores as d, x.ids as v))").alias("near"))
-    best = pieces.groupBy("query_id").agg(F.expr(f"slice(array_sort(flatten(collect_list(near))), 1, {k})").alias("near"))
-    ranked = best.select("query_id", F.posexplode("near").alias("pos", "x"))
+    pieces = asked.groupBy(*group).cogroup(rows.groupBy(*group)).applyInPandas(found, "query_no long, query_id long, copies long, ids array<bigint>, scores array<double>")
+    pieces = pieces.select("query_no", "query_id", "copies", F.expr("transform(arrays_zip(scores, ids), x -> struct(-x.scores as d, x.ids as v))").alias("near"))
+    best = pieces.groupBy("query_no", "query_id", "copies").agg(F.expr(f"slice(array_sort(flatten(collect_list(near))), 1, {k})").alias("near"))
+    each = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    ranked = each.select("query_id", F.posexplode("near").alias("pos", "x"))
     return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.v").alias("vec_id"), (-F.col("x.d")).alias("score"))
 
 
@@ -220,7 +223,7 @@ def calibrate(index: DataFrame, tree: Tree, most: float, k: int, plan: Plan, n:
     """Leaf visits that find the share ``plan.recall`` of the k nearest of some probes, which are compared with every row."""
     spark = index.sparkSession
     drawn = F.pmod(F.xxhash64(F.lit(plan.seed + 1), "vec_id"), F.lit(1 << 30))
-    probes = index.where(drawn < int(min(1, plan.probes / n) * (1 << 30)) + 1).select("vec_id", "vector").collect()
+    probes = index.where(drawn < int(min(1, plan.probes / n) * (1 << 30)) + 1).select("vec_id", "vector").dropDuplicates(["vec_id"]).collect()
     if not probes:
         return tree.leaves
     sent = spark.sparkContext.broadcast((np.array([p["vec_id"] for p in probes]), np.array([p["vector"] for p in probes])))

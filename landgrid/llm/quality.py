@@ -140,8 +140,9 @@ def judge(docs: DataFrame) -> DataFrame:
     limits; texts below the least lengths are not compared (distance null). Where the language is null, or has too few words
     for a reference of its own, words are not compared, and character classes with those of all such documents and languages together.
     A null text has no words; repeated rows are judged alike; an empty table gives no rows. Everything runs in the JVM.
+    Counts are written before the verdict, so that filters on it don't work them out anew.
     """
-    return verdict(counted(docs))
+    return verdict(cut_lineage(counted(docs)))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

@@ -9,24 +9,32 @@ from landgrid.session import cut_lineage, ensure_checkpoint_dir, table
 
 SLOTS = 4096
 OVERHEAD = 16  # bytes of a record besides its text
+PORTION = 256  # equal rows that share a virtual slot
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``(doc_id, size, text_crc32, virtual_slot)`` of every row. A null text has no bytes and the crc32 of none; rows
-    with a null doc_id are dealt to slots by their text, so that they don't share one slot."""
+    """``(doc_id, size, text_crc32, part, copies, virtual_slot)``: equal rows of ``docs`` (by doc_id and text) in portions of
+    up to PORTION, with the number of rows of each.
+
+    Rows are counted before they are dealt, and each portion is hashed by doc_id, text and its own number, so that neither a
+    repeated id nor a repeated row fills one slot. A null text has no bytes and the crc32 of none.
+    """
     body = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    return docs.select(
+    rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
-        F.pmod(key, F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.xxhash64("doc_id", "text").alias("key"),
     )
+    equal = rows.groupBy("doc_id", "size", "text_crc32", "key").agg(F.count("*").alias("n"))
+    parts = equal.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PORTION).cast("int"))))
+    copies = F.least(F.lit(PORTION), F.col("n") - F.col("part") * PORTION).cast("long")
+    return parts.select("doc_id", "size", "text_crc32", "part", copies.alias("copies"), F.pmod(F.xxhash64("key", "part"), F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
 def slot_bytes(rows: DataFrame, slots: int = SLOTS) -> list[int]:
     """Bytes of every slot; ``slots`` numbers, however many rows there are."""
-    sums = {r["virtual_slot"]: r["size"] for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("size")).collect()}
+    sums = {r["virtual_slot"]: r["size"] for r in rows.groupBy("virtual_slot").agg(F.sum(F.col("size") * F.col("copies")).alias("size")).collect()}
     return [sums.get(s, 0) for s in range(slots)]
 
 
@@ -72,23 +80,26 @@ def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Give every row its shard by the map and its place in it, ``slot``, from 0 without gaps.
 
     Places are counted within (shard, virtual slot) and carried on over the counts of the virtual slots, so that no task
-    gets a whole shard. Within a virtual slot rows go by doc_id (null first), crc32 and size; repeated rows are
-    interchangeable. The map has a fixed number of rows and is broadcast.
+    gets a whole shard. Within a virtual slot rows go by doc_id (null first), crc32, size and portion; a portion takes as many
+    places as it has rows. The map has a fixed number of rows and is broadcast.
     """
     dealt = rows.join(F.broadcast(slot_map), "virtual_slot")
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("shard", "virtual_slot").agg(F.count("*").alias("n")).select("virtual_slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inner = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
-    return dealt.withColumn("inner", inner).join(F.broadcast(starts), "virtual_slot").withColumn("slot", (F.col("start") + F.col("inner")).cast("long")).drop("start", "inner")
+    starts = dealt.groupBy("shard", "virtual_slot").agg(F.sum("copies").alias("n")).select("virtual_slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    earlier = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "part").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.withColumn("inner", F.coalesce(F.sum("copies").over(earlier), F.lit(0))).join(F.broadcast(starts), "virtual_slot")
+    each = dealt.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return each.withColumn("slot", (F.col("start") + F.col("inner") + F.col("copy")).cast("long")).drop("start", "inner", "part", "copies", "copy")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, size, text_crc32, virtual_slot, shard, slot, map_version)``.
 
-    Records are hashed to ``slots`` virtual slots. Version 1 of the slot-to-shard map deals the slots in turn; the bytes of
+    Records are hashed to ``slots`` virtual slots by doc_id and text, equal ones in portions. Version 1 of the slot-to-shard map deals the slots in turn; the bytes of
     each slot then decide which of them move, so that the shards' sizes are near equal, and the edited map is version 2.
     Both are stored under ``path``; rows are placed by version 2 as it is read back. Null texts count as empty, repeated
-    rows are rows of their own, an empty table gives no rows; columns but doc_id and text are not read.
+    rows are rows of their own, an empty table gives no rows; columns but doc_id and text are not read. Equal texts may go
+    to different shards: a text that a third of all rows share could not stay together with sizes near equal.
     """
     spark = docs.sparkSession
     rows = cut_lineage(slotted(docs, slots))

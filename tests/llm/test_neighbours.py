@@ -61,3 +61,18 @@ def test_queries_in_small_leaves_get_all_their_rows(spark):
     for plan in (Plan(), Plan(chunk_queries=1, block_rows=200)):
         got = search(frame, F.expr("vec_id IN (1000, 2000, 3000, 3004, 3011)"), 20, plan).groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).collect()
         assert {r.query_id: r["n"] for r in got} == dict.fromkeys((1000, 2000, 3000, 3004, 3011), 20)
+
+
+def test_repeated_query_rows_get_an_answer_each(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(100)]
+    again, other = rows[20], (40, rng.normal(size=4).tolist())
+    frame = spark.createDataFrame([*rows, again, again, other], "vec_id long, embedding array<double>")
+    got = search(frame, F.expr(QUERY), 20, Plan(recall=1.0)).collect()
+
+    def near(vector, name):
+        pairs = sorted((-float((np.array(v) * np.array(vector)).sum()), i) for i, v in [*rows, again, again, other] if i != name)[:20]
+        return [(rank, i) for rank, (_, i) in enumerate(pairs, 1)]
+
+    want = [(q, *x) for q, v in [*[r for r in rows if r[0] % 20 == 0], again, again, other] for x in near(v, q)]
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted(want)

@@ -29,6 +29,11 @@ def test_counts_match_brute_force(docs, empty):
     assert judge(empty).count() == 0 and keep_good(empty).count() == 0
 
 
+def test_filter_on_the_verdict(docs):
+    every = judge(docs).select("row.doc_id", "kept").collect()
+    assert sorted(str(r.doc_id) for r in judge(docs).where("kept").select("row.doc_id").collect()) == sorted(str(r.doc_id) for r in every if r.kept)
+
+
 def test_word_distance_matches_brute_force(docs):
     counts = Counter()
     for r in docs.where("lang = 'en'").select("text").collect():

@@ -1,5 +1,6 @@
 import struct
 import zlib
+from collections import Counter
 
 import xxhash
 
@@ -15,15 +16,27 @@ def test_sizes_checksums_and_places(docs, empty):
     assert shard_documents(empty, shards=4).count() == 0
 
 
+def xxh64(parts):
+    """XXH64 over several values, each seeded by the hash before it; nulls (None) are passed over. Signed."""
+    seed = 42
+    for p in parts:
+        seed = seed if p is None else xxhash.xxh64_intdigest(p, seed)
+    return struct.unpack("<q", struct.pack("<Q", seed))[0]
+
+
 def test_places_against_brute_force(spark, docs, tmp_path):
-    rows = shard_documents(docs, shards=3, slots=16, path=str(tmp_path)).collect()
-    want, held = [], [0] * 16
-    for r in docs.select("doc_id", "text").collect():
+    repeated = docs.union(docs.where("doc_id = 8").crossJoin(spark.range(300)).drop("id"))
+    rows = shard_documents(repeated, shards=3, slots=16, path=str(tmp_path)).collect()
+    want, held, seen = [], [0] * 16, Counter()
+    for r in repeated.select("doc_id", "text").collect():
         body = (r.text or "").encode()
-        key = body if r.doc_id is None else struct.pack("<q", r.doc_id)
-        slot = struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(key, 42)))[0] % 16
+        key = xxh64([r.doc_id and struct.pack("<q", r.doc_id), None if r.text is None else body])
+        part = seen[r.doc_id, body, r.text is None] // 256
+        seen[r.doc_id, body, r.text is None] += 1
+        slot = xxh64([struct.pack("<q", key), struct.pack("<i", part)]) % 16
         held[slot] += len(body) + 16
         want.append((slot, r.doc_id, zlib.crc32(body), len(body) + 16))
+    assert max(seen.values()) > 512
     first, second = ([r.shard for r in load_map(spark, str(tmp_path), v).orderBy("virtual_slot").collect()] for v in (1, 2))
     assert first == [s % 3 for s in range(16)]
     sums = [sum(h for h, x in zip(held, second, strict=True) if x == s) for s in range(3)]
@@ -36,6 +49,14 @@ def test_places_against_brute_force(spark, docs, tmp_path):
     assert sorted(map(str, placed)) == sorted(str((r.doc_id, r.size, r.text_crc32, r.virtual_slot, r.shard, r.slot)) for r in rows)
 
 
+def test_one_id_and_one_row_repeated_by_thousands(spark):
+    one_id = spark.range(20_000).selectExpr("IF(id < 15000, 5, id) AS doc_id", "repeat('ab', cast(id % 97 as int)) AS text")
+    one_row = spark.range(20_000).selectExpr("IF(id < 10000, 5, id) AS doc_id", "IF(id < 10000, 'the same text', repeat('ab', cast(id % 97 as int))) AS text")
+    for docs in (one_id, one_row):
+        sizes = [r["sum(size)"] for r in shard_documents(docs).groupBy("shard").sum("size").collect()]
+        assert len(sizes) == 40 and max(sizes) <= 1.05 * min(sizes)
+
+
 def test_bytes_are_near_equal(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('ab', cast(id % 97 as int)) AS text")
     sizes = [r["sum(size)"] for r in shard_documents(docs, shards=10).groupBy("shard").sum("size").collect()]
@@ -59,5 +80,5 @@ def test_map_versions_and_rebalancing(spark, tmp_path):
 
 def test_slots_are_deterministic(docs):
     rows = slotted(docs, 64)
-    assert sum(slot_bytes(rows, 64)) == sum(r["size"] for r in rows.collect())
+    assert sum(slot_bytes(rows, 64)) == sum(r["size"] * r["copies"] for r in rows.collect())
     assert sorted(map(str, rows.collect())) == sorted(map(str, slotted(docs.repartition(5), 64).collect()))
