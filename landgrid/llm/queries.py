@@ -9,6 +9,7 @@ from landgrid.llm.neighbours import op10_ann
 from landgrid.llm.pages import op7_html_text
 from landgrid.llm.pieces import op8_sentencepiece
 from landgrid.llm.quality import OP6_SQL, op6_quality_rules
+from landgrid.llm.runs import op13_periodic_runs
 from landgrid.llm.sharding import op3_sharding
 from landgrid.llm.simhash import op1_simhash_near_dedup
 from landgrid.llm.tokenfile import op4_token_files
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language_id": op9_language_id,
     "op10_ann": op10_ann,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE: dict[str, str] = {"op2_mixing": OP2_SQL, "op6_quality_rules": OP6_SQL}
