@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from landgrid.llm.langid import op9_language_id
+from landgrid.llm.lexical import OP12_SQL, op12_lexical_search
 from landgrid.llm.lmscore import op5_lm_scoring
 from landgrid.llm.mixing import OP2_SQL, op2_mixing
 from landgrid.llm.neighbours import op10_ann
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language_id": op9_language_id,
     "op10_ann": op10_ann,
+    "op12_lexical_search": op12_lexical_search,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE: dict[str, str] = {"op2_mixing": OP2_SQL, "op6_quality_rules": OP6_SQL}
+ORACLE: dict[str, str] = {"op2_mixing": OP2_SQL, "op6_quality_rules": OP6_SQL, "op12_lexical_search": OP12_SQL}
