@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from landgrid.llm.classifier import op11_quality_classifier
 from landgrid.llm.langid import op9_language_id
 from landgrid.llm.lexical import OP12_SQL, op12_lexical_search
 from landgrid.llm.lmscore import op5_lm_scoring
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language_id": op9_language_id,
     "op10_ann": op10_ann,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_lexical_search": op12_lexical_search,
     "op13_periodic_runs": op13_periodic_runs,
 }
