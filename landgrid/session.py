@@ -34,3 +34,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there afterwards."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again. Unlike a checkpoint this gives the plan the true size of
+    its input; in a loop of joins, sizes estimated from estimates would grow beyond all bounds."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
