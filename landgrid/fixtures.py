@@ -1,6 +1,6 @@
 """Domain tables derived from the generic star schema, as DataFrames and as the same SQL for an oracle.
 
-The eight views feed every query of ``landgrid.plans``. Arithmetic is on integers, so both engines agree exactly.
+The views feed every query of ``landgrid.plans``. Arithmetic is on integers, so both engines agree exactly.
 """
 
 from __future__ import annotations
@@ -51,9 +51,14 @@ _SQL = {
             ELSE '{"type":"' || CASE event_type WHEN 'purchase' THEN 'done' WHEN 'signup' THEN 'progress' ELSE 'stage' END
                  || '","n":' || CAST(event_id AS VARCHAR(20)) || '}' END AS line FROM events""",
 }
+#: Rings that aren't boxes: box, angle (concave), box with a hole, diamond and triangle, with sides of 4, 8 or 12. Planes of
+#: 2,600 units, each for 480,000 ids, keep the density the same at every scale.
+_SQL["shapes"] = f"""SELECT parcel_id, county, block_id, pred_class, kind, x0, y0, w, CASE WHEN kind >= 3 THEN w ELSE h END AS h FROM (
+       SELECT parcel_id, county, block_id, pred_class, parcel_id % 5 AS kind, 2 * (x0 DIV 16) AS x0, 2 * (y0 DIV 16) + 2600 * (parcel_id DIV 480000) AS y0,
+         4 * (1 + (x1 - x0) % 3) AS w, 4 * (1 + (y1 - y0) % 3) AS h FROM ({_SQL["parcels"]}) p) s"""
 _TABLES = {
     "points": ["customer"], "regions": ["orders"], "completed": ["lineitem"], "tile_events": ["events"],
-    "parcels": ["lineitem"], "pixels": ["supplier"], "scores": ["embeddings"], "log_lines": ["events"],
+    "parcels": ["lineitem"], "shapes": ["lineitem"], "pixels": ["supplier"], "scores": ["embeddings"], "log_lines": ["events"],
 }
 
 

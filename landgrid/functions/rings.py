@@ -47,3 +47,19 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
     """Crossing-number test; a point on the lower or left side counts as inside."""
     crossing = lambda p: ((p["a"]["y"] > y) != (p["b"]["y"] > y)) & (x < (p["b"]["x"] - p["a"]["x"]) * (y - p["a"]["y"]) / (p["b"]["y"] - p["a"]["y"]) + p["a"]["x"])
     return F.size(F.filter(_pairs(ring), crossing)) % 2 == 1
+
+
+KINDS = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon", "GeometryCollection")
+_POSITION = r"\[\s*(-?[0-9][0-9.eE+-]*)\s*,\s*(-?[0-9][0-9.eE+-]*)"
+
+
+def geometry_extent(geojson: Column) -> Column:
+    """``struct(w, s, e, n)`` of a GeoJSON geometry of any of the seven KINDS, collections within collections included.
+
+    Positions are the innermost arrays, at whatever depth; further numbers in them, such as heights, don't count. Null
+    for null, for another kind and for a geometry without positions, such as an empty collection.
+    """
+    pairs = F.regexp_extract_all(geojson, F.lit(_POSITION), F.lit(0))
+    axis = lambda i: F.transform(pairs, lambda p: F.regexp_extract(p, _POSITION, i).cast("double"))
+    box = F.struct(F.array_min(axis(1)).alias("w"), F.array_min(axis(2)).alias("s"), F.array_max(axis(1)).alias("e"), F.array_max(axis(2)).alias("n"))
+    return F.when(F.get_json_object(geojson, "$.type").isin(*KINDS) & (F.size(pairs) > 0), box)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -106,31 +108,51 @@ def distance_to(mask: DataFrame, pixels: DataFrame, most: int) -> DataFrame:
     return rows.select(*KEY, F.round(far, 6).alias("distance"))
 
 
-def fill_nearest(pixels: DataFrame, value: str, radius: int = 8) -> DataFrame:
-    """Empty pixels (value 0) take the value of the nearest labelled pixel of their cell, ties to the lower row, then column.
-
-    The search starts within ``radius`` and doubles it for the pixels that found nothing there, until none is left that a
-    label of its cell can reach; pixels of cells without a label stay 0.
+def nearest_rows(rows: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """For each of the sorted ``rows`` the place of the one with the least ``cost`` plus squared distance, ties to the lower row; -1
+    if every cost is negative, which means none. The lower envelope of the parabolas, in whole numbers."""
+    hull: list[tuple[int, int]] = []  # place, and the first row from which it is best
+    for q in np.flatnonzero(cost >= 0).tolist():
+        begin = -(1 << 62)
+        while hull:
+            p, since = hull[-1]
+            begin = (int(cost[q]) + int(rows[q]) ** 2 - int(cost[p]) - int(rows[p]) ** 2) // (2 * int(rows[q] - rows[p])) + 1
+            if begin > since:
+                break
+            hull.pop()
+            begin = -(1 << 62)
+        hull.append((q, begin))
+    if not hull:
+        return np.full(len(rows), -1)
+    return np.array([h[0] for h in hull])[np.searchsorted([h[1] for h in hull], rows, side="right") - 1]
+
+
+def fill_nearest(pixels: DataFrame, value: str) -> DataFrame:
+    """Empty pixels (value 0) take the value of the nearest labelled pixel of their cell, ties to the lower row, then column; pixels
+    of cells without a label stay 0.
+
+    Two exact passes, linear in the pixels at any distance: each row finds its nearest labelled column, ties to the lower;
+    then each column of a cell takes the lower envelope over its rows.
     """
-    labelled = pixels.where(F.col(value) != 0).select(*KEY, value)
-    span = pixels.groupBy("cell_id").agg((F.max("r") - F.min("r")).alias("h"), (F.max("c") - F.min("c")).alias("w"))
-    widest = span.agg(F.max(F.expr("h * h + w * w"))).first()[0] or 0
-    empty = cut_lineage(pixels.where(F.col(value) == 0).select(*KEY).join(labelled.select("cell_id").distinct(), "cell_id", "left_semi"))
-    parts = []
-    while not empty.isEmpty():
-        offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(a * a + b * b).alias("d")) for a, b in disc(radius)])
-        around = empty.select("cell_id", F.col("r").alias("r0"), F.col("c").alias("c0"), F.explode(offsets).alias("o"))
-        around = around.select("cell_id", "r0", "c0", (F.col("r0") + F.col("o.a")).alias("r"), (F.col("c0") + F.col("o.b")).alias("c"), F.col("o.d").alias("d"))
-        found = around.join(labelled, KEY).groupBy("cell_id", "r0", "c0").agg(F.min_by(value, F.struct("d", "r", "c")).alias("fill"))
-        found = cut_lineage(found.select("cell_id", F.col("r0").alias("r"), F.col("c0").alias("c"), "fill"))
-        parts.append(found)
-        if radius * radius >= widest:
-            break
-        empty, radius = cut_lineage(empty.join(found, KEY, "left_anti")), 2 * radius
-    if not parts:
-        return pixels.select(*KEY, value)
-    filled = reduce(DataFrame.union, parts)
-    return pixels.join(filled, KEY, "left").select(*KEY, F.when(F.col(value) == 0, F.coalesce("fill", F.col(value))).otherwise(F.col(value)).alias(value))
+    label = F.when(F.col(value) != 0, F.struct(F.col("c").alias("c"), F.col(value).alias("v")))
+    rows = pixels.select(*KEY, value, F.last(label, True).over(row_window()).alias("a"), F.first(label, True).over(row_window().rowsBetween(0, Window.unboundedFollowing)).alias("b"))
+    side = F.when(F.expr("b IS NULL OR c - a.c <= b.c - c"), F.col("a")).otherwise(F.col("b"))
+    rows = rows.withColumn("n", side).select(*KEY, F.col(value).cast("long").alias(value), F.coalesce(F.expr("(n.c - c) * (n.c - c)"), F.lit(-1)).cast("long").alias("cost"), F.coalesce("n.v", F.lit(0)).cast("long").alias("v"))
+
+    def columns(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["c", "r"], ignore_index=True)
+        r, cost, v, found = frame.r.to_numpy(), frame.cost.to_numpy(), frame.v.to_numpy(), np.zeros(len(frame), np.int64)
+        cuts = np.flatnonzero(np.diff(frame.c.to_numpy(), prepend=frame.c[0] - 1, append=frame.c.iloc[-1] + 1))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            at = nearest_rows(r[a:b], cost[a:b])
+            found[a:b] = np.where(at >= 0, v[a:b][at], 0)
+        frame[value] = np.where(frame[value] == 0, found, frame[value])
+        return frame[[*KEY, value]]
+
+    kinds = dict(pixels.dtypes)
+    bands = rows.select("cell_id", "c", F.col("r").cast("long").alias("r"), value, "cost", "v").groupBy("cell_id", F.expr("c DIV 16"))
+    out = bands.applyInPandas(columns, f"cell_id {kinds['cell_id']}, r long, c {kinds['c']}, {value} long")
+    return out.select("cell_id", F.col("r").cast(kinds["r"]), "c", F.col(value).cast(kinds[value]))
 
 
 def square(rows: DataFrame, name: str, values: Column, k: int) -> DataFrame:

@@ -282,10 +282,13 @@ def j12(pixels: DataFrame) -> DataFrame:
     return px.components(pixels, "truth")
 
 
-@query("J16_nearest_fill", "pixels", f"""
-WITH near AS (SELECT cell_id, r - dr AS r, c - dc AS c, truth AS o, dr * dr + dc * dc AS d, r AS qr, c AS qc FROM pixels, {offsets_sql(8)} WHERE truth <> 0 AND dr * dr + dc * dc <= 64),
-f AS (SELECT p.cell_id, p.r, p.c, arg_min(o, (d, qr, qc)) AS fill FROM (SELECT * FROM pixels WHERE truth = 0) p JOIN near USING (cell_id, r, c) GROUP BY ALL)
-SELECT cell_id, r, c, CASE WHEN truth = 0 THEN coalesce(fill, 0) ELSE truth END AS truth FROM pixels LEFT JOIN f USING (cell_id, r, c)""")
+@query("J16_nearest_fill", "pixels", """
+WITH line AS (SELECT cell_id, r, c, truth, last_value(CASE WHEN truth <> 0 THEN c END IGNORE NULLS) OVER w AS lc, first_value(CASE WHEN truth <> 0 THEN c END IGNORE NULLS) OVER v AS rc FROM pixels
+  WINDOW w AS (PARTITION BY cell_id, r ORDER BY c ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY cell_id, r ORDER BY c ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+side AS (SELECT cell_id, r, c, truth, CASE WHEN rc IS NULL OR c - lc <= rc - c THEN lc ELSE rc END AS nc FROM line),
+near AS (SELECT e.cell_id, e.r, e.c, arg_min(struct_pack(r := s.r, c := s.nc), ((s.r - e.r) * (s.r - e.r) + (s.nc - e.c) * (s.nc - e.c), s.r, s.nc)) AS n
+  FROM side e JOIN side s ON s.cell_id = e.cell_id AND s.c = e.c AND s.nc IS NOT NULL WHERE e.truth = 0 GROUP BY ALL)
+SELECT p.cell_id, p.r, p.c, coalesce(q.truth, p.truth) AS truth FROM pixels p LEFT JOIN near n USING (cell_id, r, c) LEFT JOIN pixels q ON q.cell_id = p.cell_id AND q.r = n.n.r AND q.c = n.n.c""")
 def j16(pixels: DataFrame) -> DataFrame:
     return px.fill_nearest(pixels, "truth")
 
@@ -333,10 +336,11 @@ def j24(pixels: DataFrame) -> DataFrame:
     return px.majority(rows, ["cell_id", "pr", "pc"], "truth")
 
 
-@query("J26_thin_weights", "pixels", f"""
-WITH near AS (SELECT cell_id, r - dr AS r, c - dc AS c, truth AS o FROM pixels, {offsets_sql(1)}), cores AS (SELECT p.cell_id, p.r, p.c, any_value(truth) AS truth FROM pixels p JOIN near USING (cell_id, r, c) GROUP BY p.cell_id, p.r, p.c HAVING min(o) = max(o)),
-kept AS (SELECT DISTINCT cell_id, r - dr AS r, c - dc AS c, truth FROM cores, {offsets_sql(1)})
-SELECT cell_id, r, c, CASE WHEN k.r IS NULL THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM pixels LEFT JOIN kept k USING (cell_id, r, c, truth)""".replace("k.r IS NULL", "k.cell_id IS NULL").replace("FROM pixels LEFT JOIN kept k USING (cell_id, r, c, truth)", "FROM pixels p LEFT JOIN (SELECT cell_id AS kid, r AS kr, c AS kc, truth AS kt FROM kept) k ON p.cell_id = kid AND p.r = kr AND p.c = kc AND p.truth = kt").replace("k.cell_id IS NULL", "kid IS NULL"))
+@query("J26_thin_weights", "pixels", """
+WITH a AS (SELECT cell_id, r, c, min(truth) OVER w AS lo, max(truth) OVER w AS hi FROM pixels WINDOW w AS (PARTITION BY cell_id, r ORDER BY c ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+b AS (SELECT cell_id, r, c, min(lo) OVER w = max(hi) OVER w AS core FROM a WINDOW w AS (PARTITION BY cell_id, c ORDER BY r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+d AS (SELECT cell_id, r, c, bool_or(core) OVER (PARTITION BY cell_id, r ORDER BY c ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS kept FROM b)
+SELECT cell_id, r, c, CASE WHEN bool_or(kept) OVER (PARTITION BY cell_id, c ORDER BY r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight FROM d""")
 def j26(pixels: DataFrame) -> DataFrame:
     return px.opened(pixels, "truth", 3)
 

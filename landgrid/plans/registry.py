@@ -26,6 +26,6 @@ def query(name: str, views: str, sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from landgrid.plans import evaluate, extra, raster, stores, survey, tiles, vector  # noqa: F401
+    from landgrid.plans import evaluate, extra, partitions, raster, stores, survey, tiles, vector  # noqa: F401
 
 

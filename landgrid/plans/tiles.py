@@ -331,6 +331,16 @@ def i8(events: DataFrame) -> DataFrame:
     return ev.failed(events)
 
 
+@query("I9_late_tiles", "tile_events", """
+WITH o AS (SELECT *, count(*) FILTER (status = 'ok') OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done,
+    ts - lag(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) > INTERVAL 9 HOUR AS gap FROM tile_events),
+  g AS (SELECT *, count(*) FILTER (gap) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS gaps FROM o),
+  r AS (SELECT job_id, event_id, CASE WHEN done >= 250 THEN 'done' WHEN gaps > 0 THEN 'idle' END AS reason FROM g)
+SELECT job_id, event_id, reason IS NOT NULL AS late, reason FROM r""")
+def i9(events: DataFrame) -> DataFrame:
+    return ev.late_tiles(events, total=250, idle_minutes=9 * 60)
+
+
 @query("I10_cancel_recount", "completed", "SELECT region_id, count(*) AS completed FROM completed WHERE has_blob = 1 GROUP BY region_id")
 def i10(completed: DataFrame) -> DataFrame:
     return completed.where("has_blob = 1").groupBy("region_id").agg(F.count("*").alias("completed"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,12 +46,34 @@ def history(old: DataFrame, new: DataFrame, keys: list[str], seq: str, cap: int)
     return latest_per_key(old.unionByName(new), keys, seq).orderBy(F.desc(seq)).limit(cap)
 
 
+def in_order(events: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """``events`` with, for each event, the sums over its job's earlier events by (ts, event_id), ``previous``, the time of the one
+    before, and ``first`` and ``total``, its job's first time and number of events.
+
+    Sums are taken within an hour of a job and carried on over the hours, so that no task sorts a whole job.
+    """
+    rows = events.withColumns({"slot": F.floor(F.unix_micros("ts") / 3_600_000_000), **{f"own_{k}": v for k, v in sums.items()}})
+    hours = rows.groupBy("job_id", "slot").agg(F.max("ts").alias("last"), F.min("ts").alias("start"), F.count("*").alias("n"), *[F.sum(f"own_{k}").alias(f"hour_{k}") for k in sums])
+    job = Window.partitionBy("job_id")
+    before = job.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = hours.select(
+        F.col("job_id").alias("of"), F.col("slot").alias("at"), F.max("last").over(before).alias("last"), F.min("start").over(job).alias("first"), F.sum("n").over(job).alias("total"),
+        *[F.coalesce(F.sum(f"hour_{k}").over(before), F.lit(0)).alias(f"hour_{k}") for k in sums],
+    )
+    both = rows.join(carried, F.col("job_id").eqNullSafe(F.col("of")) & (F.col("slot") == F.col("at")))
+    hour = Window.partitionBy("job_id", "slot").orderBy("ts", "event_id")
+    earlier = hour.rowsBetween(Window.unboundedPreceding, -1)
+    return both.select(
+        *events.columns, "first", "total", F.coalesce(F.lag("ts").over(hour), "last").alias("previous"),
+        *[(F.col(f"hour_{k}") + F.coalesce(F.sum(f"own_{k}").over(earlier), F.lit(0))).alias(k) for k in sums],
+    )
+
+
 def progress_batch(events: DataFrame) -> DataFrame:
     """Batch twin of ``progress_stream``: completed, speed and remaining seconds after each event."""
-    w = Window.partitionBy("job_id")
-    run = w.orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    elapsed = (F.unix_micros("ts") - F.unix_micros(F.min("ts").over(w))) / 1000000.0
-    t = events.select("job_id", "event_id", F.count("*").over(run).alias("completed"), F.count("*").over(w).alias("total"), F.sum("nbytes").over(run).alias("bytes"), elapsed.alias("elapsed"))
+    t = in_order(events.select("job_id", "event_id", "ts", "nbytes"), {"before": F.lit(1), "sent": F.col("nbytes")})
+    elapsed = (F.unix_micros("ts") - F.unix_micros("first")) / 1000000.0
+    t = t.select("job_id", "event_id", (F.col("before") + 1).alias("completed"), "total", (F.col("sent") + F.col("nbytes")).alias("bytes"), elapsed.alias("elapsed"))
     eta = F.when(F.col("completed") == F.col("total"), 0.0).otherwise(F.col("elapsed") * F.expr("total - completed") / F.greatest("completed", F.lit(1)))
     return t.select("job_id", "event_id", "completed", "total", F.round(F.col("bytes") / 1000000.0 / F.greatest("elapsed", F.lit(0.01)), 6).alias("mb_per_s"), F.round(eta, 3).alias("eta_s"))
 
@@ -107,52 +129,105 @@ def lifecycle(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max_by(state, F.struct("ts", "event_id")).alias("state"))
 
 
-def upsert_stream(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep the latest state of every job as snapshots ``path/batch=N``: each micro-batch is merged into the newest one."""
+def change_log(events: DataFrame, path: str, checkpoint: str, changes: Callable, merge: Callable, trigger: dict | None = None, every: int = 20) -> StreamingQuery:
+    """Keep a table by key as a log of changes: each micro-batch writes the rows of the keys that it touches, ``log/batch=N``, and
+    only every ``every`` batches all keys, ``snapshot/upto=N``, merged from the snapshot before and the log since.
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        now = batch.select("job_id", F.struct("ts", "event_id").alias("seq"), "status").groupBy("job_id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
-        if number:
-            before = spark.read.parquet(f"{path}/batch={number - 1}")
-            now = before.unionByName(now).groupBy("job_id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
-        now.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    ``changes(batch)`` gives a row a key, ``merge(rows)`` makes one of several. A batch that is run again writes the same rows.
+    """
 
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    def write(batch: DataFrame, number: int) -> None:
+        changes(batch).write.mode("overwrite").parquet(f"{path}/log/batch={number}")
+        if number % every == 0:
+            logged(batch.sparkSession, path, merge, number).write.mode("overwrite").parquet(f"{path}/snapshot/upto={number}")
 
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
-def status_stream(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """A status row for each job, brought up to date every five seconds: finished and failed tiles, bytes, last event.
 
-    Each micro-batch writes ``path/batch=N`` with the totals of all jobs so far, from its own events and the batch before,
-    so a batch that is run again gives the same rows.
-    """
+def logged(spark: SparkSession, path: str, merge: Callable, upto: int | None = None) -> DataFrame:
+    """The table that ``change_log`` keeps: its newest snapshot and the log since (the state before and with batch ``upto``)."""
+    log = spark.read.parquet(f"{path}/log")
+    if upto == 0:
+        return log.where("batch = 0").drop("batch")
+    kept = spark.read.parquet(f"{path}/snapshot")
+    if upto is not None:
+        kept, log = kept.where(F.col("upto") < upto), log.where(F.col("batch") <= upto)
+    newest = kept.agg(F.max("upto")).first()[0]
+    return merge(kept.where(F.col("upto") == newest).drop("upto").unionByName(log.where(F.col("batch") > newest).drop("batch")))
+
+
+def latest_states(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("job_id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
+
 
-    def merge(batch: DataFrame, number: int) -> None:
-        now = batch.groupBy("job_id").agg(_n("ok").alias("completed"), _n("failed").alias("failed"), F.sum("nbytes").alias("bytes"), F.max("ts").alias("at"))
-        if number:
-            sums = [F.sum(c).alias(c) for c in ("completed", "failed", "bytes")]
-            now = now.unionByName(batch.sparkSession.read.parquet(f"{path}/batch={number - 1}")).groupBy("job_id").agg(*sums, F.max("at").alias("at"))
-        now.write.mode("overwrite").parquet(f"{path}/batch={number}")
+def upsert_stream(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, every: int = 20) -> StreamingQuery:
+    """Keep the latest state of every job as a ``change_log``; ``logged(spark, path, latest_states)`` reads it."""
+    return change_log(events, path, checkpoint, lambda batch: latest_states(batch.select("job_id", F.struct("ts", "event_id").alias("seq"), "status")), latest_states, trigger, every)
 
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+
+def summed_states(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("job_id").agg(*[F.sum(c).alias(c) for c in ("completed", "failed", "bytes")], F.max("at").alias("at"))
+
+
+def status_stream(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, every: int = 20) -> StreamingQuery:
+    """A status row for each job, brought up to date every five seconds: finished and failed tiles, bytes, last event. Kept as
+    a ``change_log``, so a trigger's work follows its events, not the number of jobs."""
+
+    def changes(batch: DataFrame) -> DataFrame:
+        return batch.groupBy("job_id").agg(_n("ok").alias("completed"), _n("failed").alias("failed"), F.sum("nbytes").alias("bytes"), F.max("ts").alias("at"))
+
+    return change_log(events, path, checkpoint, changes, summed_states, trigger or {"processingTime": "5 seconds"}, every)
 
 
 def status_rows(spark: SparkSession, path: str) -> DataFrame:
     """The newest status row of each job."""
-    rows = spark.read.parquet(path)
-    return rows.groupBy("job_id").agg(F.max_by(F.struct("completed", "failed", "bytes", "at"), "batch").alias("s")).select("job_id", "s.*")
+    return logged(spark, path, summed_states)
 
 
 def failure_runs(events: DataFrame, least: int = 30) -> DataFrame:
-    """Runs of at least ``least`` failures in a row of a job: gaps and islands of its events."""
-    order = ["ts", "event_id"]
+    """Runs of at least ``least`` failures in a row of a job: failures with as many other events before them."""
     bad = F.col("status") == "failed"
-    island = F.row_number().over(Window.partitionBy("job_id").orderBy(*order)) - F.row_number().over(Window.partitionBy("job_id", bad).orderBy(*order))
-    runs = events.withColumn("island", island).where(bad).groupBy("job_id", "island").agg(F.min("event_id").alias("first_event"), F.count("*").alias("run"))
+    some = in_order(events.select("job_id", "event_id", "ts", "status"), {"island": F.when(bad, 0).otherwise(1)}).where(bad)
+    runs = some.groupBy("job_id", "island").agg(F.min("event_id").alias("first_event"), F.count("*").alias("run"))
     return runs.where(F.col("run") >= least).select("job_id", "first_event", "run")
 
 
+def late_tiles(events: DataFrame, total: int, idle_minutes: int) -> DataFrame:
+    """``(job_id, event_id, late, reason)`` for every event: a job is over once it has ``total`` finished tiles (``done``) or heard
+    nothing for ``idle_minutes`` (``idle``); what comes later is late and set aside, not lost. Batch twin of ``late_stream``."""
+    known = in_order(events.select("job_id", "event_id", "ts", "status"), {"done": F.when(F.col("status") == "ok", 1).otherwise(0)})
+    gap = F.coalesce(F.unix_micros("ts") - F.unix_micros("previous") > idle_minutes * 60_000_000, F.lit(False))
+    known = in_order(known.select("job_id", "event_id", "ts", "done", gap.alias("gap")), {"gaps": F.col("gap").cast("int")})
+    reason = F.when(F.col("done") >= total, "done").when((F.col("gaps") > 0) | F.col("gap"), "idle")
+    return known.select("job_id", "event_id", reason.isNotNull().alias("late"), reason.alias("reason"))
+
+
+def late_stream(events: DataFrame, total: int, idle_minutes: int) -> DataFrame:
+    """Marks late events of a stream that arrives in order: a job's state is its finished tiles, its last time and whether it is
+    over. A timer on event time closes a job that has gone quiet; its state stays, so that what comes later is known as late."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done, last, idle = state.get if state.exists else (0, None, False)
+        if state.hasTimedOut:
+            state.update((done, last, True))
+            return
+        f = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        micros = f.ts.astype("int64") // (1000 if "ns" in str(f.ts.dtype) else 1)
+        out = []
+        for event, status, at in zip(f.event_id, f.status, micros, strict=True):
+            idle = idle or last is not None and at - last > idle_minutes * 60_000_000
+            reason = "done" if done >= total else "idle" if idle else None
+            out.append((key[0], event, reason is not None, reason))
+            done, last = done + (status == "ok"), int(at)
+        state.update((int(done), last, bool(idle)))
+        if not idle:
+            state.setTimeoutTimestamp(max(last // 1000 + idle_minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["job_id", "event_id", "late", "reason"])
+
+    keyed = events.select("job_id", "event_id", "ts", "status").withWatermark("ts", "0 seconds").groupBy("job_id")
+    return keyed.applyInPandasWithState(step, "job_id long, event_id long, late boolean, reason string", "done long, last long, idle boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def failed(events: DataFrame) -> DataFrame:
     return events.where("status = 'failed'").select("event_id", "job_id", "x", "y")
 

@@ -1,6 +1,7 @@
 """Streams over the same rows as their batch twins."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from landgrid.fixtures import fixture
 from landgrid.streaming import events as ev
@@ -60,8 +61,45 @@ def test_exactly_once(spark, source, tmp_path):
 def test_upserts_keep_the_latest_state(spark, source, tmp_path):
     batch, stream = source
     ev.upsert_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    newest = spark.read.parquet(f"{tmp_path}/out/batch=2")
+    newest = ev.logged(spark, f"{tmp_path}/out", ev.latest_states)
     want = batch.selectExpr("job_id", "struct(ts, event_id) AS seq", "status").groupBy("job_id").agg({"seq": "max"})
     assert newest.count() == want.count()
     assert {(r.job_id, r.seq) for r in newest.collect()} == {(r.job_id, r["max(seq)"]) for r in want.collect()}
     assert ev.failed(stream).isStreaming
+
+
+def test_change_log_with_snapshots(spark, source, tmp_path):
+    batch, stream = source
+    got = {}
+    for every in (1, 2, 20):
+        ev.status_stream(stream, str(tmp_path / f"out{every}"), str(tmp_path / f"cp{every}"), {"availableNow": True}, every).awaitTermination(120)
+        got[every] = sorted(map(tuple, ev.status_rows(spark, f"{tmp_path}/out{every}").collect()))
+    want = batch.groupBy("job_id").agg(F.count_if(F.col("status") == "ok"), F.count_if(F.col("status") == "failed"), F.sum("nbytes"), F.max("ts"))
+    assert got[1] == got[2] == got[20] == sorted(map(tuple, want.collect()))
+    assert {r.upto for r in spark.read.parquet(f"{tmp_path}/out2/snapshot").select("upto").distinct().collect()} == {0, 2}
+
+
+def test_late_tiles_are_set_aside(spark, tmp_path):
+    batch = fixture(spark, SF, "tile_events")
+    path = str(tmp_path / "ordered")
+    for k, (lo, hi) in enumerate(((0, 0.3), (0.3, 0.6), (0.6, 2))):  # three arrivals in order of time
+        a, b = batch.selectExpr(f"percentile_approx(unix_micros(ts), {lo}, 10000)", f"percentile_approx(unix_micros(ts), {min(hi, 1)}, 10000)").first()
+        part = batch.where((F.unix_micros("ts") > (a if k else -1)) & (F.unix_micros("ts") <= b))
+        part.coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(batch.schema).parquet(path)
+        rows = ev.late_stream(stream, 20, 24 * 60).writeStream.format("parquet").option("path", str(tmp_path / "late")).option("checkpointLocation", str(tmp_path / "state"))
+        rows.outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "late")).collect()
+    want = ev.late_tiles(batch, 20, 24 * 60).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert {r.reason for r in want} == {None, "done", "idle"}
+
+
+def test_sums_in_order_carry_over_hours(spark):
+    rows = [(1 if i % 3 else None, i, f"2026-01-01 {i % 24:02d}:{i * 7 % 60:02d}:00", "failed" if i * i % 5 else "ok") for i in range(200)]
+    events = spark.createDataFrame(rows, "job_id long, event_id long, ts string, status string").withColumn("ts", F.to_timestamp("ts"))
+    got = {r.event_id: (r.n, r.previous, r.total) for r in ev.in_order(events, {"n": F.lit(1)}).collect()}
+    for job in (1, None):
+        own = sorted((r for r in rows if r[0] == job), key=lambda r: (r[2], r[1]))
+        assert [got[r[1]][0] for r in own] == list(range(len(own))) and {got[r[1]][2] for r in own} == {len(own)}
+        assert [str(got[r[1]][1]) for r in own[1:]] == [r[2] for r in own[:-1]]
