@@ -72,9 +72,9 @@ def noded(edges: DataFrame, g: int = GRID) -> DataFrame:
     piece, seen from the lower end, less how often right; pieces with 0 are gone.
     """
     rows = written(lined(edges, F.lit(1)))
-    lines = rows.select(*PIECE).distinct()
+    lines = written(rows.select(*PIECE).distinct())
     ends = lines.select(F.col("x1").alias("px"), F.col("y1").alias("py")).union(lines.select("x2", "y2"))
-    hot = ends.union(crossings(lines, g)).distinct()
+    hot = written(ends.union(crossings(lines, g)).distinct())  # true sizes for the plan; it is read once for each line's cells
     hot = hot.withColumns({"kx": F.expr(f"cast(floor(px / {g}) AS bigint)"), "ky": F.expr(f"cast(floor(py / {g}) AS bigint)")})
     off, reach = "((x2 - x1) * (py - y1) - (y2 - y1) * (px - x1))", "((x2 - x1) + abs(y2 - y1))"
     through = f"2 * abs{off} < {reach} OR (2 * {off} = {reach} AND y2 <= y1) OR (2 * {off} = -{reach} AND y2 > y1)"
