@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from landgrid.session import table
 
-CHROME, OPEN, ARTICLE = 0, 1, 2  # zones of a line: of a part that is never main text, of none, of an article's body
+CHROME, OPEN, ARTICLE, MAIN = 0, 1, 2, 3  # zones of a line: of a part that is never main text, of none, of an article's body, of <main> without an article
 # HTML's element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -29,6 +29,8 @@ NEVER_NAME = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent footer masthead menu nav navbar "
     "navigation newsletter notice notices popup promo related share sharing sidebar social sponsor sponsored subscribe toolbar".split()
 )
+#: Names that are clear even as a part of a longer one, such as ``comment-list``.
+NEVER_PART = frozenset("advert advertisement breadcrumb breadcrumbs comment comments cookie cookies navbar newsletter sidebar sponsored".split())
 CLOSES_P = BLOCK - {"body", "html", "head"}
 INLINE = frozenset("p b i em strong span a u font".split())
 BODY = frozenset("html body article main".split())  # never chrome, whatever their classes
@@ -41,7 +43,7 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int]] = []
-        self.stack: list[tuple[str, bool, bool]] = [("", False, False)]  # tag, whether chrome, whether in an article
+        self.stack: list[tuple[str, bool, int]] = [("", False, OPEN)]  # tag, whether chrome, zone of what isn't
         self.opened: Counter[str] = Counter()
         self.blocks: list[int] = []  # places of block elements on the stack
         self.text: list[str] = []
@@ -50,8 +52,8 @@ class Lines(HTMLParser):
         line = " ".join("".join(self.text).split())
         self.text = []
         if line:
-            _, chrome, article = self.stack[-1]
-            self.lines.append((line, CHROME if chrome else ARTICLE if article else OPEN))
+            _, chrome, zone = self.stack[-1]
+            self.lines.append((line, CHROME if chrome else zone))
 
     def leave(self, at: int) -> None:
         """Close the element at place ``at`` of the stack and all within it."""
@@ -75,21 +77,22 @@ class Lines(HTMLParser):
             self.leave(self.blocks[-1])
         if tag == "li" and self.stack[-1][0] == "li":
             self.leave(len(self.stack) - 1)
-        _, chrome, article = self.stack[-1]
+        _, chrome, zone = self.stack[-1]
         if not chrome and tag not in BODY:
             of = dict(attrs)
             names = f"{of.get('class') or ''} {of.get('id') or ''}".lower().split()
             chrome = (
                 tag in NEVER
-                or (tag == "header" and not article)
+                or (tag == "header" and zone == OPEN)
                 or (of.get("role") or "").lower() in NEVER_ROLE
                 or "hidden" in of
                 or not NEVER_NAME.isdisjoint(names)
+                or not NEVER_PART.isdisjoint(part for name in names for part in name.replace("_", "-").split("-"))
             )
         if tag in BLOCK:
             self.blocks.append(len(self.stack))
         self.opened[tag] += 1
-        self.stack.append((tag, chrome, article or tag in ("article", "main")))
+        self.stack.append((tag, chrome, ARTICLE if tag == "article" else MAIN if tag == "main" and zone == OPEN else zone))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK or tag in NEVER:
@@ -153,18 +156,22 @@ def main_text(lines: list[tuple[str, int]], other: list[tuple[str, int]] | None)
     """The lines that are left when those shared with the nearest page are deleted.
 
     A template's line counts as shared wherever it stands outside an article's body. Lines of the body stay even if the other page has them too (passages are
-    quoted and copied); chrome goes even if it is this page's own, and so do open lines beside an article. If all of the
-    open lines are shared, the other page is a copy and says nothing.
+    quoted and copied); of ``<main>`` without an article the shared lines before its first own line and behind its last one
+    go, those between stay. Chrome goes even if it is this page's own, and so do open lines beside an article. If all of the
+    open lines, or of those in ``<main>``, are shared, the other page is a copy and says nothing of them.
     """
     gone: set[int] = set()
     if other:
-        gone = {i for i in shared([t for t, _ in lines], [t for t, _ in other]) if lines[i][1] != ARTICLE}
+        both = set(shared([t for t, _ in lines], [t for t, _ in other]))
+        own = [i for i, (_, zone) in enumerate(lines) if zone == MAIN and i not in both]
+        inside = range(own[0], own[-1] + 1) if own else range(len(lines))
+        gone = {i for i in both if lines[i][1] in (OPEN, CHROME) or (lines[i][1] == MAIN and i not in inside)}
         free = [i for i, (_, zone) in enumerate(lines) if zone == OPEN]
         if free and gone.issuperset(free):
             gone.difference_update(free)
     rest = [(t, zone) for i, (t, zone) in enumerate(lines) if i not in gone and zone != CHROME]
-    body = any(zone == ARTICLE for _, zone in rest)
-    return "\n".join(t for t, zone in rest if zone == ARTICLE or not body)
+    body = any(zone != OPEN for _, zone in rest)
+    return "\n".join(t for t, zone in rest if zone != OPEN or not body)
 
 
 def with_ranges(keyed: DataFrame, parts: int) -> DataFrame:

@@ -112,3 +112,15 @@ def test_rows_come_back_whole(spark):
     assert all(text[i, f"http://h.example/a/{i}"] in (f"Text {i}", f"Menu\nText {i}\nContact") for i in range(6))
     assert text[8, "http://h.example/b"] == "" and text[None, "http://k.example/b"] == "plain"
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_shared_ends_of_main_and_hyphenated_names():
+    page = (
+        "<body><nav>Menu</nav><main><p>Skip to text</p><h1>Title @</h1><p>First line of @</p><p>A quoted line</p><p>Last line of @</p><p class='share-price'>Price of @</p>"
+        "<section><h2>Related stories</h2><p>Another story</p></section><ol class='comment-list'><li>Reader of @ says</li></ol><div class='cookie-notice'>We use cookies, @</div></main></body>"
+    )
+    one, two = page_lines(page.replace("@", "one")), page_lines(page.replace("@", "two"))
+    assert main_text(one, two) == "Title one\nFirst line of one\nA quoted line\nLast line of one\nPrice of one"
+    assert main_text(one, one) == main_text(one, None)  # a copy says nothing
+    article = [page_lines(page.replace("main>", "article>").replace("@", x)) for x in ("one", "two")]
+    assert "Related stories" in main_text(*article) and "says" not in main_text(*article)
