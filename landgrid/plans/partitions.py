@@ -267,3 +267,12 @@ def k18_arcs(pixels: DataFrame) -> DataFrame:
     arcs = coverage.smooth_arcs(pixels, "inst_pred", rounds=0)
     lines = arcs.select("cell_id", F.col("arc").cast("long").alias("line"), F.expr("transform(line, p -> p.x)").alias("xs"), F.expr("transform(line, p -> p.y)").alias("ys"))
     return dr.regularised(lines, _field(pixels), closed=False)
+
+
+@query("K20_groups_apart", "pixels", "SELECT cell_id, count(DISTINCT inst_gt) AS faces, CAST(count(*) AS DOUBLE) AS area FROM pixels GROUP BY 1")
+def k20(pixels: DataFrame) -> DataFrame:
+    """Instances in two groups, even ones smoothed thrice and odd ones once, put together again: they still fill their grid."""
+    arcs = coverage.smooth_arcs(pixels, "inst_gt", rounds=0)
+    groups = pixels.select("cell_id", F.col("inst_gt").alias("face")).distinct().select("cell_id", "face", F.expr("cast(face % 2 AS int)").alias("part"), F.expr("IF(face % 2 = 0, 3, 1)").alias("rounds"))
+    areas = coverage.face_areas(coverage.smooth_by_group(arcs, groups, 3))
+    return areas.groupBy("cell_id").agg(F.count("*").alias("faces"), F.round(F.sum("area"), 6).alias("area"))
