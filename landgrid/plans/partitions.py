@@ -135,6 +135,33 @@ def a13(shapes: DataFrame) -> DataFrame:
     return found.select(cx.alias("cx"), cy.alias("cy"), F.col("id.pid").alias("parcel_id"), (F.col("area") / 4).alias("area"), *[(F.col("bbox")[i] / 2).alias(n) for i, n in enumerate("xywh")])
 
 
+@query("D18_split_rings", "shapes", f"""
+WITH {QUARTERS} SELECT parcel_id, count(DISTINCT (px // 400, py // 400)) AS parts FROM quarters GROUP BY parcel_id HAVING parts > 1
+""")
+def d18(shapes: DataFrame) -> DataFrame:
+    """Shapes that windows cut, and into how many of them they reach."""
+    parts = ov.pair_areas(written(_windowed(shapes)), F.expr("pid >= 0"), F.expr("pid < 0"))
+    return parts.groupBy(F.col("pid").alias("parcel_id")).agg(F.count("*").alias("parts")).where("parts > 1")
+
+
+@query("L23_tiled_against_whole", "shapes", f"""
+WITH {QUARTERS}, t AS (SELECT pred_class, px // 400 AS cx, py // 400 AS cy, count(DISTINCT (px, py)) / 4 AS area FROM quarters GROUP BY 1, 2, 3),
+w AS (SELECT pred_class, count(DISTINCT (px, py)) / 4 AS area FROM quarters GROUP BY 1)
+SELECT pred_class, count(*) AS tiles, sum(t.area) AS tiled, any_value(w.area) AS whole, sum(t.area) - any_value(w.area) AS difference FROM t JOIN w USING (pred_class) GROUP BY 1
+""")
+def l23(shapes: DataFrame) -> DataFrame:
+    """Unions by class made in each window and added up, against the unions made at once: two overlays, one with the windows."""
+    classes = shapes.select(F.col("parcel_id").alias("pid"), F.col("pred_class").alias("id"))
+    sides = written(_windowed(shapes))
+    windows = sides.where("pid < 0").select(*ov.PIECE, F.col("pid").alias("window"), F.col("in_left").alias("o_left"), F.col("in_right").alias("o_right"))
+    met = sides.join(classes, "pid").join(windows, [*ov.PIECE]).groupBy(*ov.PIECE, "id", "window")
+    both = met.agg(F.bool_or(F.expr("in_left AND o_left")).alias("l"), F.bool_or(F.expr("in_right AND o_right")).alias("r")).where("l <> r")
+    tiles = both.groupBy("id", "window").agg((F.sum(F.expr("(x1 * y2 - x2 * y1) * IF(l, 1, -1)")) / 8).alias("area")).where("area > 0")
+    tiled = tiles.groupBy("id").agg(F.count("*").alias("tiles"), F.sum("area").alias("tiled"))
+    whole = ov.face_sizes(ov.united(_sides(shapes), classes)).select("id", (F.col("area") / 4).alias("whole"))
+    return tiled.join(whole, "id").select(F.col("id").alias("pred_class"), "tiles", "tiled", "whole", (F.col("tiled") - F.col("whole")).alias("difference"))
+
+
 @query("C7_point_in_rings", "shapes", f"""
 WITH centres AS (SELECT parcel_id, 4 * x0 + 2 * w + 2 AS cx, 4 * y0 + 2 * h + 1 AS cy FROM shapes),
 quads AS (SELECT *, unnest(range(x0 // 12, (x0 + w) // 12 + 1)) AS kx FROM shapes)

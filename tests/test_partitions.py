@@ -195,6 +195,10 @@ def test_gaps_within_a_boundary(spark):
     filled, report = fc.fill_gaps(part, gap=-1)
     assert report.filled == 1 and report.area == 100 * 60 - 3600 - 1200
     assert {r.id: r.area for r in ov.face_sizes(filled).collect()} == {1: 3600.0, 2: 2400.0}  # 60 and 70 of border to the gap, 70 to the outside
+    thin = partition(spark, [(-1, [box(0, 0, 100, 60)]), (1, [box(0, 0, 60, 60)]), (3, [box(60, 0, 1, 30)]), (4, [box(100, 0, 20, 20)])])
+    cleaned, report = fc.clean(thin, gap=-1)
+    assert {r.id: r.area for r in ov.face_sizes(cleaned).collect()} == {1: 6000.0, 4: 400.0}
+    assert [(r.step, r.parcels, r.slivers, r.changed) for r in report.collect()] == [("input", 3, 1, 0), ("slivers", 2, 0, 1), ("gaps", 2, 0, 1), ("holes", 2, 0, 0)]
 
 
 def test_slivers_go_to_the_largest_neighbour_round_by_round(spark):
