@@ -76,10 +76,13 @@ def best_balanced(cells: DataFrame, k: int) -> DataFrame:
 
 
 def keep_top_fraction(rows: DataFrame, key: str, score: str, fraction: float, id_col: str) -> DataFrame:
-    """The best ``int(n * fraction)`` rows of each key by score, ties by id."""
-    w = Window.partitionBy(key)
-    ranked = rows.withColumn("rank", F.row_number().over(w.orderBy(F.desc(score), id_col))).withColumn("n", F.count("*").over(w))
-    return ranked.where(F.col("rank") <= F.floor(F.col("n") * fraction)).drop("rank", "n")
+    """The best ``int(n * fraction)`` rows of each key by score (null last), ties by id. Ranks are differences of global ids in the order of
+    keys, so no task sorts a whole key."""
+    ordered = rows.withColumns({"__none": F.col(score).isNull(), "__down": -F.col(score)})
+    ranked = global_ids(ordered, key, "__none", "__down", id_col)
+    ends = ranked.groupBy(F.col(key).alias("__key")).agg(F.min("gid").alias("__first"), F.count("*").alias("__n"))
+    kept = ranked.join(ends, F.col(key).eqNullSafe(F.col("__key"))).where(F.col("gid") - F.col("__first") < F.floor(F.col("__n") * fraction))
+    return kept.select(*rows.columns)
 
 
 def weighted_draw(rows: DataFrame, id_col: str, weight: str, draws: int, seed: int) -> DataFrame:

@@ -63,3 +63,13 @@ def test_draws_follow_the_weights(spark):
 def test_windows_are_scored(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 4.0])], "window_id long, values array<double>")
     assert nb.score_windows(rows, lambda: lambda a: a * 2, 2).first().probs == [2.0, 4.0, 6.0, 8.0]
+
+
+def test_top_fraction_of_each_key(spark):
+    rows = [(k, (i * 37) % 11 if i % 7 else None, i) for i in range(200) for k in ([0, 1, None][i % 3],)]
+    frame = spark.createDataFrame(rows, "k long, score long, id long")
+    want = []
+    for k in (0, 1, None):
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+        want += own[: int(len(own) * 0.7)]
+    assert sorted(map(str, map(tuple, survey.keep_top_fraction(frame, "k", "score", 0.7, "id").collect()))) == sorted(map(str, want))
