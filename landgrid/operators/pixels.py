@@ -134,25 +134,24 @@ def fill_nearest(pixels: DataFrame, value: str) -> DataFrame:
     Two exact passes, linear in the pixels at any distance: each row finds its nearest labelled column, ties to the lower;
     then each column of a cell takes the lower envelope over its rows.
     """
-    label = F.when(F.col(value) != 0, F.struct(F.col("c").alias("c"), F.col(value).alias("v")))
-    rows = pixels.select(*KEY, value, F.last(label, True).over(row_window()).alias("a"), F.first(label, True).over(row_window().rowsBetween(0, Window.unboundedFollowing)).alias("b"))
-    side = F.when(F.expr("b IS NULL OR c - a.c <= b.c - c"), F.col("a")).otherwise(F.col("b"))
-    rows = rows.withColumn("n", side).select(*KEY, F.col(value).cast("long").alias(value), F.coalesce(F.expr("(n.c - c) * (n.c - c)"), F.lit(-1)).cast("long").alias("cost"), F.coalesce("n.v", F.lit(0)).cast("long").alias("v"))
+    kinds = dict(pixels.dtypes)
+    pixels = pixels.select(*KEY, F.col(value).alias("own"))
+    label = F.when(F.col("own") != 0, F.struct(F.col("c").alias("c"), F.col("own").alias("v")))
+    rows = pixels.select(*KEY, "own", F.last(label, True).over(row_window()).alias("a"), F.first(label, True).over(row_window().rowsBetween(0, Window.unboundedFollowing)).alias("b"))
+    rows = rows.withColumn("n", F.when(F.expr("b IS NULL OR c - a.c <= b.c - c"), F.col("a")).otherwise(F.col("b")))
+    rows = rows.select("cell_id", F.col("r").cast("long").alias("r"), "c", F.col("own").cast("long").alias("own"), F.coalesce(F.expr("(n.c - c) * (n.c - c)"), F.lit(-1)).cast("long").alias("cost"), F.coalesce("n.v", F.lit(0)).cast("long").alias("near"))
 
     def columns(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["c", "r"], ignore_index=True)
-        r, cost, v, found = frame.r.to_numpy(), frame.cost.to_numpy(), frame.v.to_numpy(), np.zeros(len(frame), np.int64)
+        r, cost, near, found = frame.r.to_numpy(), frame.cost.to_numpy(), frame.near.to_numpy(), np.zeros(len(frame), np.int64)
         cuts = np.flatnonzero(np.diff(frame.c.to_numpy(), prepend=frame.c[0] - 1, append=frame.c.iloc[-1] + 1))
         for a, b in zip(cuts, cuts[1:], strict=False):
             at = nearest_rows(r[a:b], cost[a:b])
-            found[a:b] = np.where(at >= 0, v[a:b][at], 0)
-        frame[value] = np.where(frame[value] == 0, found, frame[value])
-        return frame[[*KEY, value]]
+            found[a:b] = np.where(at >= 0, near[a:b][at], 0)
+        return frame[KEY].assign(own=np.where(frame.own == 0, found, frame.own))
 
-    kinds = dict(pixels.dtypes)
-    bands = rows.select("cell_id", "c", F.col("r").cast("long").alias("r"), value, "cost", "v").groupBy("cell_id", F.expr("c DIV 16"))
-    out = bands.applyInPandas(columns, f"cell_id {kinds['cell_id']}, r long, c {kinds['c']}, {value} long")
-    return out.select("cell_id", F.col("r").cast(kinds["r"]), "c", F.col(value).cast(kinds[value]))
+    out = rows.groupBy("cell_id", F.expr("c DIV 16")).applyInPandas(columns, f"cell_id {kinds['cell_id']}, r long, c {kinds['c']}, own long")
+    return out.select("cell_id", F.col("r").cast(kinds["r"]), "c", F.col("own").cast(kinds[value]).alias(value))
 
 
 def square(rows: DataFrame, name: str, values: Column, k: int) -> DataFrame:
