@@ -76,9 +76,8 @@ def kappa(counts: DataFrame, a: str, b: str) -> DataFrame:
 def instance_pairs(pixels: DataFrame, pred: str, truth: str) -> DataFrame:
     """IoU of every pair of instances that share a pixel, from their joint histogram."""
     inter = pixels.groupBy("cell_id", pred, truth).agg(F.count("*").alias("n"))
-    a = inter.groupBy("cell_id", pred).agg(F.sum("n").alias("na"))
-    b = inter.groupBy("cell_id", truth).agg(F.sum("n").alias("nb"))
-    pairs = inter.join(a, ["cell_id", pred]).join(b, ["cell_id", truth])
+    total = lambda k: F.sum("n").over(Window.partitionBy("cell_id", k))
+    pairs = inter.withColumns({"na": total(pred), "nb": total(truth)}).dropna(subset=["cell_id", pred, truth])
     return pairs.withColumn("iou", F.col("n") / (F.col("na") + F.col("nb") - F.col("n")))
 
 

@@ -151,8 +151,9 @@ WITH {PAIRS}, g AS (SELECT cell_id, inst_gt, count(*) FILTER (iou > 0.1::DOUBLE)
 SELECT cell_id, round(avg(k), 6) AS over_seg, (SELECT round(avg(k), 6) FROM p WHERE p.cell_id = g.cell_id AND k > 0) AS under_seg FROM g WHERE k > 0 GROUP BY cell_id""")
 def l16(pixels: DataFrame) -> DataFrame:
     j = mt.instance_pairs(pixels, "inst_pred", "inst_gt").where("iou > 0.1D")
-    side = lambda k, n: j.groupBy("cell_id", k).agg(F.count("*").alias("k")).groupBy("cell_id").agg(F.round(F.avg("k"), 6).alias(n))
-    return side("inst_gt", "over_seg").join(side("inst_pred", "under_seg"), "cell_id")
+    # Every instance of a cell's pairs counts once: pairs over instances is the mean number of partners.
+    mean = lambda k: F.round(F.count("*") / F.countDistinct(k), 6)
+    return j.groupBy("cell_id").agg(mean("inst_gt").alias("over_seg"), mean("inst_pred").alias("under_seg"))
 
 
 @query("L17_detection_by_size", "pixels", f"""
@@ -174,13 +175,10 @@ SELECT cell_id, round(h.hit / h.n, 6) AS precision, round(k.hit / k.n, 6) AS rec
     "count(*) FILTER (EXISTS (SELECT 1 FROM dg WHERE dg.cell_id = p.cell_id AND dg.r = p.r AND dg.c = p.c)) AS hit FROM p GROUP BY 1", "count(dg.r) AS hit FROM p LEFT JOIN dg USING (cell_id, r, c) GROUP BY 1").replace(
     "count(*) FILTER (EXISTS (SELECT 1 FROM dp WHERE dp.cell_id = g.cell_id AND dp.r = g.r AND dp.c = g.c)) AS hit FROM g GROUP BY 1", "count(dp.r) AS hit FROM g LEFT JOIN dp USING (cell_id, r, c) GROUP BY 1"))
 def l18(pixels: DataFrame) -> DataFrame:
-    p, g = px.boundary(pixels, "inst_pred"), px.boundary(pixels, "inst_gt")
-
-    def share(mask: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        near = px.dilate(other, 2, 64).withColumn("near", F.lit(1))
-        return mask.join(near, px.KEY, "left").groupBy("cell_id").agg(F.round(F.count("near") / F.count("*"), 6).alias(name))
-
-    return share(p, g, "precision").join(share(g, p, "recall"), "cell_id")
+    both = pixels.select(*px.KEY, px.differs("inst_pred").alias("p"), px.differs("inst_gt").alias("g"))
+    both = px.within(both, ["p", "g"], 2)
+    share = lambda mask, near: F.round(F.count_if(F.col(mask) & F.col(near)) / F.count_if(mask), 6)
+    return both.groupBy("cell_id").agg(F.count_if("p").alias("np"), F.count_if("g").alias("ng"), share("p", "near_g").alias("precision"), share("g", "near_p").alias("recall")).where("np > 0 AND ng > 0").drop("np", "ng")
 
 
 @query("L19_veto_relabel", "pixels", """
