@@ -35,7 +35,7 @@ def with_classes(df: DataFrame) -> DataFrame:
     Letters are taken out first; what is left is short, and the other classes are counted there.
     """
     df = df.withColumn("size", F.length("body").cast("long")).withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
-    df = df.withColumn("rest", F.regexp_replace("body", r"\p{L}+", "")).withColumn("upper", F.length("body") - F.length(F.regexp_replace("body", r"\p{Lu}+", "")))
+    df = df.withColumn("rest", F.regexp_replace("body", r"\p{L}+", "")).withColumn("upper", F.length(F.regexp_replace("body", r"\P{Lu}+", "")))
     without = lambda chars: F.length("rest") - F.length(F.translate("rest", chars, ""))
     df = df.withColumns({"symbol": without(SYMBOLS), "digit": without("0123456789")})
     letters = F.length("body") - F.length("rest")
@@ -82,15 +82,14 @@ def distance(p: str, q: str) -> Column:
 def repeat_counts(df: DataFrame) -> DataFrame:
     """Add ``n_repeat_words``: words that stand in a window of three words found twice or more.
 
-    Windows are hashed and the hashes sorted; only if two are equal are they sorted again with their places.
+    Windows are hashed; only if two hashes are equal are they sorted with their places.
     """
     df = df.withColumn("hashes", F.expr("IF(size(words) < 3, cast(array() as array<bigint>), transform(sequence(0, greatest(size(words) - 3, 0)), i -> xxhash64(get(words, i), get(words, i + 1), get(words, i + 2))))"))
-    df = df.withColumn("sorted", F.sort_array("hashes"))
-    df = df.withColumn("twice", F.expr("exists(transform(sorted, (x, i) -> i > 0 AND x = get(sorted, i - 1)), x -> x)"))
+    df = df.withColumn("twice", F.expr("size(array_distinct(hashes)) < size(hashes)"))
     df = df.withColumn("placed", F.expr("IF(twice, sort_array(transform(hashes, (x, i) -> struct(x AS h, i AS i))), null)"))
     df = df.withColumn("again", F.expr("sort_array(transform(filter(placed, (p, j) -> p.h = get(placed, j - 1).h OR p.h = get(placed, j + 1).h), p -> p.i))"))
     covered = F.expr("aggregate(transform(again, (p, j) -> IF(j = 0, 3, least(3, p - get(again, j - 1)))), 0L, (s, x) -> s + x)")
-    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("hashes", "sorted", "twice", "placed", "again")
+    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("hashes", "twice", "placed", "again")
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -105,7 +104,7 @@ def counted(docs: DataFrame) -> DataFrame:
     df = with_classes(repeat_counts(df))
     df = df.withColumn("longest", F.array_max(F.transform("common", F.length)))
     df = df.withColumn("hits", F.expr("filter(transform(filter(words, w -> length(w) <= longest), w -> lower(w)), w -> array_contains(common, w))"))
-    df = df.withColumn("own_shares", F.expr("concat(transform(common, c -> size(filter(hits, w -> w = c)) / greatest(n_words, 1L)), array(1 - size(hits) / greatest(n_words, 1L)))"))
+    df = df.withColumn("own_shares", F.expr("concat(transform(common, c -> (size(hits) - size(array_remove(hits, c))) / greatest(n_words, 1L)), array(1 - size(hits) / greatest(n_words, 1L)))"))
     lines = F.expr(f"filter(split(body, '\\n'), l -> trim(BOTH {BLANKS} FROM l) <> '')")
     df = df.withColumn("lines", lines)
     return df.select(
