@@ -73,3 +73,10 @@ def test_top_fraction_of_each_key(spark):
         own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
         want += own[: int(len(own) * 0.7)]
     assert sorted(map(str, map(tuple, survey.keep_top_fraction(frame, "k", "score", 0.7, "id").collect()))) == sorted(map(str, want))
+
+
+def test_sizes_in_the_plan_of_groups_stay_those_of_the_rows(spark):
+    links = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    groups = spatial.linked_groups(links)
+    assert {r.root for r in groups.collect()} == {0}
+    assert groups._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10**6
