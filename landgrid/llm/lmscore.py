@@ -26,8 +26,8 @@ FACTORS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 @dataclass(frozen=True)
 class Plan:
-    """``alpha`` is added to every count. Words and word pairs in a share of ``common`` or more of about ``sample_docs`` documents, drawn
-    by a hash of the text, are counted and scored where the documents are; all other words in buckets of about ``bucket_words``."""
+    """``alpha`` is added to every count. Words and word pairs in a share of ``common`` or more of all documents are counted and scored
+    where the documents are; all other words in buckets of about ``bucket_words``. Tasks look for them in blocks of ``sample_docs``."""
 
     alpha: float = 0.1
     sample_docs: int = 10_000
@@ -116,14 +116,27 @@ def marked(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return rows if few else rows.sortWithinPartitions("doc_id", F.xxhash64("text"))  # a task that runs again finds the same order
 
 
-def common_units(docs: DataFrame, plan: Plan) -> Common:
-    """The words and pairs common in the sample: at most ``1 / common`` times the mean number of a document's words and pairs."""
-    number = docs.count()
-    share = min(1.0, plan.sample_docs / max(number, 1))
-    sample = docs.where(F.pmod(F.xxhash64(F.lit("lm"), "text"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
+def block_units(docs: DataFrame, share: float, size: int) -> DataFrame:
+    """``(unit, docs, begin, slack)``: words and pairs that a ``share`` or more of a block's documents hold, with how many and, for a pair,
+    the hash of its first word. A block is ``size`` documents or more of a task, or all it has. ``slack`` is the most
+    documents a unit not listed for the block can have there; a row of each block without a unit has it too."""
+
+    def merged(parts: list[tuple]) -> tuple:
+        if len(parts) == 1:
+            return parts[0]
+        units, n, begins, pair = (np.concatenate(c) for c in zip(*parts, strict=True))
+        found, at, back = np.unique(units, return_index=True, return_inverse=True)
+        return found, np.bincount(back, n, len(found)).astype(np.int64), begins[at], pair[at]
+
+    def listed(block: tuple, number: int) -> pa.RecordBatch:
+        slack = ceil(share * number) - 1
+        units, n, begins, pair = (c[block[1] > slack] for c in block)
+        columns = [pa.array(units.view(np.int64)), pa.array(n), pa.array(begins.view(np.int64), mask=~pair)]
+        last = pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([slack])], names)
+        return pa.concat_batches([pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(units), slack))], names), last])
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words, whole, open_, number, parts = Words(), None, 0, 0, []
         for b in batches:
             found, begins, pair = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
             for t in b.column(0):
@@ -134,17 +147,62 @@ def common_units(docs: DataFrame, plan: Plan) -> Common:
                 begins += [np.concatenate([[START], own[:-1]])[at] if len(own) else own, np.zeros(len(alone), np.uint64)]
                 pair += [np.ones(len(pairs), bool), np.zeros(len(alone), bool)]
             found, at, n = np.unique(np.concatenate(found), return_index=True, return_counts=True)
-            begins, pair = np.concatenate(begins)[at], np.concatenate(pair)[at]
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n), pa.array(begins.view(np.int64), mask=~pair)], ["unit", "docs", "begin"])
+            parts.append((found, n, np.concatenate(begins)[at], np.concatenate(pair)[at]))
+            open_ += b.num_rows
+            if open_ >= size:  # the block before is as long as it gets; what is left at the end joins the last one
+                if whole is not None:
+                    yield listed(whole, number)
+                whole, number, open_, parts = merged(parts), open_, 0, []
+        if whole is not None or parts:
+            yield listed(merged(parts + ([whole] if whole is not None else [])), number + open_)
+
+    names = ["unit", "docs", "begin", "slack"]
+    return docs.select("text").mapInArrow(held, "unit long, docs long, begin long, slack long")
 
-    least = max(2, ceil(plan.common * min(plan.sample_docs, number)))
-    counts = sample.mapInArrow(held, "unit long, docs long, begin long").groupBy("unit").agg(F.sum("docs").alias("docs"), F.min("begin").alias("begin"))
-    found = counts.where(F.col("docs") >= least).select("unit", "begin").toArrow()
+
+def common_units(docs: DataFrame, plan: Plan) -> Common:
+    """The words and pairs that a share of ``common`` or more of all documents hold: at most ``1 / common`` times the mean number of a
+    document's words and pairs.
+
+    Counts are exact. Each block of documents lists the units in half that share of its own documents; a unit that with the most it
+    can have in all other blocks stays under the share is none. What remains is in half the share of all documents at least,
+    so it is few, and is counted over all documents.
+    """
+    number = docs.count()
+    least = max(2, ceil(plan.common * number))
+    blocks = cut_lineage(block_units(docs, plan.common / 2, plan.sample_docs))
+    slack = blocks.where("unit IS NULL").agg(F.sum("slack")).first()[0] or 0
+    sums = blocks.where("unit IS NOT NULL").groupBy("unit").agg((F.sum("docs") - F.sum("slack")).alias("over"), F.min("begin").alias("begin"))
+    found = sums.where(F.col("over") + slack >= least).select("unit", "begin").toArrow()
     units = np.asarray(found.column("unit")).view(np.uint64)
     begins = found.column("begin").combine_chunks() if found.num_rows else pa.array([], pa.int64())
     pair, begin = ~np.asarray(begins.is_null()), np.asarray(begins.fill_null(0)).view(np.uint64)
-    order, contexts = np.argsort(units), np.unique(begin[pair])
-    return Common(units[order], np.where(pair, np.searchsorted(contexts, begin), -1)[order], contexts)
+    order = np.argsort(units)
+    units, pair, begin = units[order], pair[order], begin[order]
+    kept = documents_with(docs, units) >= least
+    units, pair, begin = units[kept], pair[kept], begin[kept]
+    contexts = np.unique(begin[pair])
+    return Common(units, np.where(pair, np.searchsorted(contexts, begin), -1), contexts)
+
+
+def documents_with(docs: DataFrame, units: np.ndarray) -> np.ndarray:
+    """For each of the sorted ``units`` the number of documents that hold it."""
+    sent = docs.sparkSession.sparkContext.broadcast(units)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, sums = Words(), np.zeros(len(sent.value), np.int64)
+        for b in batches:
+            for t in b.column(0):
+                own = word_hashes(words, t.as_py())
+                place = np.unique(place_of(np.concatenate([pair_hashes(own), own]), sent.value))
+                sums[place[place < len(sums)]] += 1
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["place", "docs"])
+
+    found = docs.select("text").mapInArrow(counted, "place long, docs long").groupBy("place").agg(F.sum("docs").alias("docs")).toArrow()
+    sums = np.zeros(len(units), np.int64)
+    sums[np.asarray(found.column("place"))] = np.asarray(found.column("docs"))
+    return sums
 
 
 def common_counts(rows: DataFrame, common: Common) -> Counts:

@@ -109,3 +109,25 @@ def test_one_word_a_million_times_in_one_document(spark):
     docs = spark.createDataFrame([(1, "rare " * 1_000_000), *[(2 + i, f"some other words here {i}") for i in range(30)]], "doc_id long, text string")
     rows = {r.doc_id: r for r in score(docs, docs.where("doc_id > 20").select("doc_id"), Plan(bucket_words=1000)).collect()}
     assert rows[1].n_tokens == 1_000_000 and len(rows) == 31 and all(r.score is not None for r in rows.values())
+
+
+@pytest.mark.parametrize("block", [7, 40, 10_000])
+def test_common_units_are_counted_over_all_documents(spark, block):
+    from random import Random
+
+    import numpy as np
+
+    from landgrid.llm.lmscore import Words, common_units, pair_hashes, word_hashes
+
+    rng = Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 200}" for _ in range(rng.randrange(30))) for _ in range(300)] + [None, ""]
+    held = Counter()
+    for text in texts:
+        own = word_hashes(Words(), text)
+        held.update({*own.tolist(), *pair_hashes(own).tolist()})
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    plan = Plan(common=0.05, sample_docs=block)
+    found = common_units(docs, plan)
+    want = sorted(u for u, n in held.items() if n >= ceil(0.05 * len(texts)))
+    assert found.units.tolist() == want and len(want) > 20
+    assert (found.begins >= 0).sum() > 5 and found.begins.max() == len(found.contexts) - 1 and np.all(np.diff(found.contexts.astype(float)) > 0)
