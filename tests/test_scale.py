@@ -60,3 +60,7 @@ def test_downsample_reads_the_rows_of_the_sql(spark):
     from tests.compare import differences
 
     assert differences(QUERIES["F8_preview_downsample"](spark, SF), connect(SF), ORACLE["F8_preview_downsample"]) == ""
+
+
+def test_full_coverage_fills_once(spark):
+    assert "FlatMapGroupsInPandas" not in plan(QUERIES["J15_full_coverage"](spark, SF))  # it is written before it is read twice
