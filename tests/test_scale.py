@@ -64,3 +64,16 @@ def test_downsample_reads_the_rows_of_the_sql(spark):
 
 def test_full_coverage_fills_once(spark):
     assert "FlatMapGroupsInPandas" not in plan(QUERIES["J15_full_coverage"](spark, SF))  # it is written before it is read twice
+
+
+def test_median_against_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "CELLS", 16)
+    text = plan(QUERIES["E12_median_filter"](spark, SF))
+    assert text.count("Exchange hashpartitioning") == 1 and "Pandas" not in text
+    from landgrid.operators.neighbourhood import median_filter
+
+    values = {(r, c): (r * 7 + c * 5) % 11 for r in range(8) for c in range(6) if (r, c) != (3, 2)}  # a pixel is missing
+    rows = spark.createDataFrame([(1, r, c, v) for (r, c), v in values.items()], "cell_id long, r long, c long, v long")
+    for row in median_filter(rows, "v").collect():
+        near = sorted(v for (r, c), v in values.items() if abs(r - row.r) <= 2 and abs(c - row.c) <= 2)
+        assert row.v == near[(len(near) - 1) // 2]
