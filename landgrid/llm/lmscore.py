@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import ceil
 
@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgrid.llm.langid import token_lists
-from landgrid.session import cut_lineage, table
+from landgrid.session import cut_lineage, table, written
 
 BROADCAST_ROWS = 500_000  # labelled ids are sent to every task only up to so many (some 20 MB); beyond, the join shuffles
 KEPT_WORDS = 1 << 18  # words whose hashes a worker remembers
 WIDTH = 6  # bytes of a unit's hash that travel; its bucket stands for more
 GROUP = 512  # documents that travel together
+TOGETHER = 1 << 18  # words of neighbouring texts whose losses are summed at once
+STEP = 2048  # documents whose losses in a bucket are summed at once
 START = np.uint64(0x243F6A8885A308D3)  # stands for the word before a text
 FACTORS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -116,6 +118,25 @@ def marked(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return rows if few else rows.sortWithinPartitions("doc_id", F.xxhash64("text"))  # a task that runs again finds the same order
 
 
+def hashed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``hashes``, the word hashes of ``text`` as bytes, in its place."""
+    kept = [c for c in rows.columns if c != "text"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in batches:
+            found = pa.array((word_hashes(words, t.as_py()).tobytes() for t in b.column("text")), pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), found], [*kept, "hashes"])
+
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept), "hashes binary"])
+    return rows.mapInArrow(cut, schema)
+
+
+def own_hashes(column: pa.Array) -> Iterator[np.ndarray]:
+    """The word hashes of each row."""
+    return (np.frombuffer(h.as_py(), np.uint64).copy() for h in column)
+
+
 def block_units(docs: DataFrame, share: float, size: int) -> DataFrame:
     """``(unit, docs, begin, slack)``: words and pairs that a ``share`` or more of a block's documents hold, with how many and, for a pair,
     the hash of its first word. A block is ``size`` documents or more of a task, or all it has. ``slack`` is the most
@@ -136,11 +157,10 @@ def block_units(docs: DataFrame, share: float, size: int) -> DataFrame:
         return pa.concat_batches([pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(units), slack))], names), last])
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, whole, open_, number, parts = Words(), None, 0, 0, []
+        whole, open_, number, parts = None, 0, 0, []
         for b in batches:
             found, begins, pair = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
-            for t in b.column(0):
-                own = word_hashes(words, t.as_py())
+            for own in own_hashes(b.column(0)):
                 pairs, at = np.unique(pair_hashes(own), return_index=True)
                 alone = np.unique(own)
                 found += [pairs, alone]
@@ -157,10 +177,15 @@ def block_units(docs: DataFrame, share: float, size: int) -> DataFrame:
             yield listed(merged(parts + ([whole] if whole is not None else [])), number + open_)
 
     names = ["unit", "docs", "begin", "slack"]
-    return docs.select("text").mapInArrow(held, "unit long, docs long, begin long, slack long")
+    return docs.select("hashes").mapInArrow(held, "unit long, docs long, begin long, slack long")
 
 
 def common_units(docs: DataFrame, plan: Plan) -> Common:
+    """The common units of ``docs(text)``, see ``common_among``."""
+    return common_among(written(hashed(docs.select("text"))), plan)
+
+
+def common_among(docs: DataFrame, plan: Plan) -> Common:
     """The words and pairs that a share of ``common`` or more of all documents hold: at most ``1 / common`` times the mean number of a
     document's words and pairs.
 
@@ -190,16 +215,15 @@ def documents_with(docs: DataFrame, units: np.ndarray) -> np.ndarray:
     sent = docs.sparkSession.sparkContext.broadcast(units)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sums = Words(), np.zeros(len(sent.value), np.int64)
+        sums = np.zeros(len(sent.value), np.int64)
         for b in batches:
-            for t in b.column(0):
-                own = word_hashes(words, t.as_py())
+            for own in own_hashes(b.column(0)):
                 place = np.unique(place_of(np.concatenate([pair_hashes(own), own]), sent.value))
                 sums[place[place < len(sums)]] += 1
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["place", "docs"])
 
-    found = docs.select("text").mapInArrow(counted, "place long, docs long").groupBy("place").agg(F.sum("docs").alias("docs")).toArrow()
+    found = docs.select("hashes").mapInArrow(counted, "place long, docs long").groupBy("place").agg(F.sum("docs").alias("docs")).toArrow()
     sums = np.zeros(len(units), np.int64)
     sums[np.asarray(found.column("place"))] = np.asarray(found.column("docs"))
     return sums
@@ -211,10 +235,9 @@ def common_counts(rows: DataFrame, common: Common) -> Counts:
     size, around = len(common.units), len(common.contexts)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sums = Words(), np.zeros((2, 2 + size + 2 * around), np.int64)
+        sums = np.zeros((2, 2 + size + 2 * around), np.int64)
         for b in batches:
-            for text, target in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                own = word_hashes(words, text.as_py())
+            for own, target in zip(own_hashes(b.column(0)), b.column(1).to_pylist(), strict=True):
                 s = split(own, sent.value)
                 at = np.concatenate([2 + s.places, 2 + size + s.behind, 2 + size + around + s.open])
                 for side in (0, 1) if target else (1,):
@@ -223,7 +246,7 @@ def common_counts(rows: DataFrame, common: Common) -> Counts:
         at = np.flatnonzero(sums[1])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], ["place", "target", "background"])
 
-    parts = rows.select("text", "target").mapInArrow(counted, "place long, target long, background long")
+    parts = rows.select("hashes", "target").mapInArrow(counted, "place long, target long, background long")
     found = parts.groupBy("place").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
     sums = np.zeros((2, 2 + size + 2 * around), np.int64)
     sums[:, np.asarray(found.column("place"))] = np.asarray(found.column("target")), np.asarray(found.column("background"))
@@ -238,6 +261,40 @@ def place_of(found: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.where(common[at] == found, at, len(common))
 
 
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """The places where any of the columns differs from the place before, the first one included."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def bucket_sums(values: np.ndarray, owner: np.ndarray, row: np.ndarray, losses: Callable) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How many ``values`` a bucket has; and each ``owner`` of each ``row``, its row, and its summed ``losses`` by the target's and by
+    all counts. The upper bit of an owner says that it is a target. Long arrays are few and narrow, as a bucket has millions of words."""
+    new = changes(row, owner, values)
+    n = np.diff(np.append(new, len(values))).astype(np.int32)
+    values, owner, row = values[new], owner[new], row[new]
+    order = np.argsort(values).astype(np.int32)
+    values = values[order]
+    starts = changes(values)
+    at = np.empty(len(values), np.int32)
+    at[order] = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(values))))
+    of_all = np.add.reduceat(n[order], starts, dtype=np.int64)
+    of_target = np.add.reduceat((n * (owner >> 15))[order], starts, dtype=np.int64)
+    del values, order, starts, new
+    first = changes(row, owner & 0x7FFF)
+    t, g = np.empty(len(first)), np.empty(len(first))
+    ends = np.append(first[1:], len(row))
+    for i in range(0, len(first), STEP):
+        low, high = first[i], ends[i : i + STEP][-1]
+        k, hit = n[low:high].astype(np.int64), at[low:high]
+        for out, loss in zip((t, g), losses(k, (owner[low:high] >> 15).astype(np.int64), of_target[hit], of_all[hit]), strict=True):
+            out[i : i + STEP] = np.add.reduceat(loss, first[i : i + STEP] - low)
+    return len(of_all), owner[first] & 0x7FFF, row[first], t, g
+
+
 def score(docs: DataFrame, targets: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """``docs(doc_id, text, ...)``, ``targets(doc_id)`` -> ``(doc_id, n_tokens, target_loss, background_loss, score)``, a row for each row.
 
@@ -249,14 +306,15 @@ def score(docs: DataFrame, targets: DataFrame, plan: Plan = Plan()) -> DataFrame
     (its own counts are taken off), with losses as means per word of the whole text; ``score`` is their difference, negative
     for texts like the target's.
 
-    Documents travel in groups of GROUP: a group sends the hashes of its words, with the documents' places, into buckets; a
+    Texts are cut into words once: their hashes, about twice the size of the compressed texts, are written to the shared folder and
+    read by the passes that follow. Documents travel in groups of GROUP: a group sends the hashes of its words, with the documents' places, into buckets; a
     bucket has all of the corpus's counts of its words and returns a partial sum for each document. Common units, whose
     number is bounded, are counted and scored beside the documents, so no bucket has a hot word; the number of buckets grows
     with the corpus. A text without words has no tokens and null losses; without any target all ends of a context, and all
     single words, are alike to the target model; repeated rows are scored each; an empty table gives no rows. Columns of ``docs`` but doc_id and text are not read.
     """
-    rows = marked(docs, targets)
-    common = common_units(docs, plan)
+    rows = written(hashed(marked(docs, targets)))
+    common = common_among(rows, plan)
     counts = common_counts(rows, common)
     least = min((t for t in counts.words.tolist() if t), default=1)
     scale = np.array([min(1.0, least / t) if t else 1.0 for t in counts.words.tolist()])
@@ -271,30 +329,37 @@ def score(docs: DataFrame, targets: DataFrame, plan: Plan = Plan()) -> DataFrame
         return -n * np.log(scale[0] * (of_target - n * target) + alpha + extra), -n * np.log(scale[1] * (of_all - n) + alpha + extra)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, groups = Words(), TaskContext.get().partitionId(), 0
+        part, groups = TaskContext.get().partitionId(), 0
         common, counts, ways = sent.value
 
-        def summed_losses(s: Split, target: bool) -> list[float]:
-            """Of the common units, and of what stands behind contexts: the target's sum and the background's."""
-            sums = np.zeros(2)
-            for at, of, more, sign in ((s.places, counts.units, 0, 1), (s.open, counts.open, 0, 1), (s.behind, counts.behind, ways - 1, -1)):
-                hit, n = np.unique(at, return_counts=True)
+        def summed_losses(splits: list[Split], target: np.ndarray) -> np.ndarray:
+            """For each text the losses of its common units and of what stands behind contexts: the target's sum and the background's."""
+            sums = np.zeros((2, len(splits)))
+            for name, of, more, sign in (("places", counts.units, 0, 1), ("open", counts.open, 0, 1), ("behind", counts.behind, ways - 1, -1)):
+                size = max(1, of.shape[1])
+                hit, n = np.unique(np.concatenate([getattr(s, name) + i * size for i, s in enumerate(splits)]), return_counts=True)
+                text, hit = np.divmod(hit, size)
                 extra = alpha * more[hit] if sign < 0 else 0
-                sums += sign * np.array([x.sum() for x in losses(n, np.int64(target), of[0, hit], of[1, hit], extra)])
-            return sums.tolist()
+                for out, loss in zip(sums, losses(n, target[text], of[0, hit], of[1, hit], extra), strict=True):
+                    out += sign * np.bincount(text, loss, len(splits))
+            return sums.T
 
         for batch in batches:
             for first in range(0, batch.num_rows, GROUP):
                 b = batch.slice(first, GROUP)
-                sizes, entries, sums = [], [], []
-                for text, target in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-                    own = word_hashes(words, text.as_py())
+                sizes, entries, sums, open_, held = [], [], [], [], 0
+                target = np.asarray(b.column(2).cast(pa.int64()))
+                for i, own in enumerate(own_hashes(b.column(1)), 1):
                     s = split(own, common)
-                    sums.append(summed_losses(s, target))
                     sizes.append((len(own), s.alone))
                     entries.append(s.others)
+                    open_.append(s)
+                    held += len(own)
+                    if i == b.num_rows or held > TOGETHER:
+                        sums.append(summed_losses(open_, target[i - len(open_) : i]))
+                        open_, held = [], 0
                 groups += 1
-                yield packed(part << 32 | groups, b, sizes, entries, np.array(sums))
+                yield packed(part << 32 | groups, b, sizes, entries, np.concatenate(sums))
 
     def packed(group: int, b: pa.RecordBatch, sizes: list[tuple[int, int]], entries: list[np.ndarray], sums: np.ndarray) -> pa.RecordBatch:
         """A row for each bucket with the group's hashes and whose they are, and one for the documents themselves."""
@@ -320,19 +385,13 @@ def score(docs: DataFrame, targets: DataFrame, plan: Plan = Plan()) -> DataFrame
             data = np.frombuffer(b"".join(r[2] for r in sent_rows), np.uint8).reshape(-1, WIDTH)
             wide = np.zeros((len(data), 8), np.uint8)
             wide[:, :WIDTH] = data
-            values, owner = wide.view("<u8").ravel(), np.frombuffer(b"".join(r[1] for r in sent_rows), "<u2")
-            row = np.repeat(np.arange(len(sent_rows)), [len(r[1]) // 2 for r in sent_rows])
-            new = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(owner.astype(np.int64), prepend=-1) != 0) | (np.diff(values, prepend=np.uint64(0)) != 0))
-            n = np.diff(np.append(new, len(values)))
-            values, owner, row = values[new], owner[new], row[new]
-            kinds, at = np.unique(values, return_inverse=True)
-            target = (owner >> 15).astype(np.int64)
-            t, g = losses(n, target, np.bincount(at, n * target, len(kinds))[at], np.bincount(at, n, len(kinds))[at])
-            first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(owner.astype(np.int64), prepend=-1) != 0))
-            t, g, owner, row = np.add.reduceat(t, first), np.add.reduceat(g, first), owner[first] & 0x7FFF, row[first]
+            owner = np.frombuffer(b"".join(r[1] for r in sent_rows), "<u2")
+            row = np.repeat(np.arange(len(sent_rows), dtype=np.int32), [len(r[1]) // 2 for r in sent_rows])
+            del data, columns
+            found, owner, row, t, g = bucket_sums(wide.view("<u8").ravel(), owner, row, losses)
             cut = np.append(np.flatnonzero(np.diff(row, prepend=-1) != 0), len(row)).tolist()
-            found = zip(sent_rows, cut[:-1], cut[1:], strict=True)
-            out += [(r[0], owner[i:j].tobytes(), t[i:j].tobytes(), g[i:j].tobytes(), len(kinds) if i == 0 else 0, None) for r, i, j in found]
+            each = zip(sent_rows, cut[:-1], cut[1:], strict=True)
+            out += [(r[0], owner[i:j].tobytes(), t[i:j].tobytes(), g[i:j].tobytes(), found if i == 0 else 0, None) for r, i, j in each]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), RETURNED, strict=True)], ["grp", "owners", "t", "g", "kinds", "members"])
 
     def assembled(table: pa.Table) -> pa.Table:
@@ -350,8 +409,7 @@ def score(docs: DataFrame, targets: DataFrame, plan: Plan = Plan()) -> DataFrame
         return pa.table([*columns, pa.array(t), pa.array(g), pa.array(kinds)], ["doc_id", "n_tokens", "alone", "target", "t", "g", "kinds"])
 
     member = "members array<struct<doc_id: bigint, n: bigint, alone: bigint, target: boolean, t: double, g: double>>"
-    ordered = rows.select("doc_id", "text", "target")
-    parts = ordered.mapInArrow(dealt, f"bucket long, grp long, owners binary, hashes binary, {member}")
+    parts = rows.select("doc_id", "hashes", "target").mapInArrow(dealt, f"bucket long, grp long, owners binary, hashes binary, {member}")
     parts = parts.groupBy("bucket").applyInArrow(summed, f"grp long, owners binary, t binary, g binary, kinds long, {member}")
     whole = parts.groupBy("grp").applyInArrow(assembled, "doc_id long, n_tokens long, alone long, target boolean, t double, g double, kinds long")
     whole = cut_lineage(whole)

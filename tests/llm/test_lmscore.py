@@ -131,3 +131,14 @@ def test_common_units_are_counted_over_all_documents(spark, block):
     want = sorted(u for u, n in held.items() if n >= ceil(0.05 * len(texts)))
     assert found.units.tolist() == want and len(want) > 20
     assert (found.begins >= 0).sum() > 5 and found.begins.max() == len(found.contexts) - 1 and np.all(np.diff(found.contexts.astype(float)) > 0)
+
+
+def test_texts_are_cut_into_words_once(spark, monkeypatch):
+    """All passes read the hashes that one call writes; their rows have no text."""
+    from landgrid.llm import lmscore
+
+    calls, whole = [], lmscore.hashed
+    monkeypatch.setattr(lmscore, "hashed", lambda rows: calls.append(whole(rows)) or calls[-1])
+    docs = spark.createDataFrame([(i, f"some words {i % 7} and {i % 3}") for i in range(58)] + [(58, None), (59, "")], "doc_id long, text string")
+    assert score(docs, docs.where("doc_id < 20").select("doc_id")).count() == 60
+    assert [sorted(c.columns) for c in calls] == [["doc_id", "hashes", "target"]]
