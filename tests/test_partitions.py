@@ -270,6 +270,39 @@ def test_annotations_of_clipped_rings(spark):
         assert len(shares) >= 6 and all(0 <= v <= 1 for v in shares) and all(len(v.split(".")[1]) == 5 for v in r.line.split())
 
 
+def test_windows_cut_every_polygon_by_itself(spark):
+    """Quarters of each polygon in each window, edges along window lines included; every part is closed and meets no other polygon."""
+    polygons = [*octilinear(60, 3), (100, [box(-20, -20, 40, 40)]), (101, [box(-40, 0, 20, 20), box(-36, 4, 4, 12)])]
+    edges = ov.ring_edges(frame(spark, polygons, 2))
+    got, ends = defaultdict(int), defaultdict(int)
+    for r in ov.windowed(edges, ["pid"], 40).collect():
+        assert all(40 * r.cx <= x <= 40 * r.cx + 40 and 40 * r.cy <= y <= 40 * r.cy + 40 for x, y in ((r.ax, r.ay), (r.bx, r.by)))
+        got[r.pid, r.cx, r.cy] += r.ax * r.by - r.bx * r.ay
+        ends[r.pid, r.cx, r.cy, r.ax, r.ay] += 1
+        ends[r.pid, r.cx, r.cy, r.bx, r.by] -= 1
+    want = defaultdict(int)
+    for i, rings in polygons:
+        xs, ys = [x for x, _ in rings[0]], [y for _, y in rings[0]]
+        for x in range(min(xs), max(xs)):
+            for y in range(min(ys), max(ys)):
+                for a, b in QUARTERS:
+                    if inside(rings, x + Fraction(a, 4), y + Fraction(b, 4)):
+                        want[i, x // 20, y // 20] += 2
+    assert not any(ends.values()) and dict(got) == dict(want) and len(want) > 150
+
+
+def test_windows_of_slanted_edges_add_up(spark):
+    """Cuts off the grid are rounded alike on both sides of a line, so parts add up to the polygon within what rounding moves."""
+    rng = random.Random(8)
+    polygons = [(i, [[(p := (rng.randint(-300, 300), rng.randint(-300, 300))), (p[0] + rng.randint(50, 300), p[1] + rng.randint(-40, 40)), (p[0] + rng.randint(0, 50), p[1] + rng.randint(60, 300)), p]]) for i in range(40)]
+    edges = ov.ring_edges(frame(spark, polygons))
+    whole = {r.pid: r.a for r in edges.groupBy("pid").agg(F.sum(F.expr(ov.DOUBLED)).alias("a")).collect()}
+    parts = ov.windowed(edges, ["pid"], 70).groupBy("pid", "cx", "cy").agg(F.sum(F.expr(ov.DOUBLED)).alias("a")).collect()
+    for pid, area in whole.items():
+        own = [r.a for r in parts if r.pid == pid]
+        assert min(own) >= -70 and abs(sum(own) - area) <= 2 * 600 and len(own) > 3
+
+
 def test_extents_of_all_kinds_of_geometry(spark):
     texts = [
         ('{"type":"Point","coordinates":[1.5,-2e1]}', (1.5, -20.0, 1.5, -20.0)), ('{"type": "MultiPoint", "coordinates": [[1, 2], [ -3.25 , 4 ]]}', (-3.25, 2.0, 1.0, 4.0)),
