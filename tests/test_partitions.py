@@ -122,6 +122,21 @@ def test_owners_unions_and_overlaps_against_brute_force(spark, g):
     assert pairs == {(i, j): len(a & b) / 4 for i, a in one.items() for j, b in one.items() if i != j and a & b}
 
 
+@pytest.mark.parametrize("g", [8, 64])
+def test_overlaps_without_an_overlay(spark, g):
+    polygons = octilinear(45, 1) + [(100, [box(-70, -70, 160, 160), box(-20, -20, 30, 30)[::-1]])]
+    one = {i: set(owners([(i, rings)])) for i, rings in polygons}
+    found = {(r.pid, r.other): r.area / 4 for r in ov.overlaps(ov.ring_edges(frame(spark, polygons, 2)), g).collect()}
+    assert found == {(i, j): len(a & b) / 4 for i, a in one.items() for j, b in one.items() if i < j and a & b}
+
+
+def test_overlaps_are_exact_and_neighbours_have_none(spark):
+    slant = [(0, [[(0, 0), (300, 0), (300, 100), (0, 0)]]), (1, [[(0, 0), (30, 10), (300, 100), (0, 100), (0, 0)]]), (2, [[(10, 0), (20, 0), (20, 7), (10, 0)]])]
+    found = {(r.pid, r.other): r.area for r in ov.overlaps(ov.ring_edges(frame(spark, slant)), 8).collect()}
+    # 0 and 1 share a border on which 1 has a corner more; 2 leaves 0 where 7 * (x - 10) / 10 is above x / 3, at x = 210 / 11
+    assert found == {(0, 2): pytest.approx(35 - (20 - 210 / 11) * (7 - 20 / 3) / 2), (1, 2): pytest.approx((20 - 210 / 11) * (7 - 20 / 3) / 2)}
+
+
 def stars(count, seed):
     rng, out = random.Random(seed), []
     for i in range(count):
