@@ -176,6 +176,32 @@ def test_rings_in_any_direction(spark):
     assert owner > 20
 
 
+def test_cycles_go_out_when_they_are_done(spark, monkeypatch):
+    rows, want, rng = [], {}, random.Random(3)
+    names, sizes = iter(rng.sample(range(1000), 156)), []
+    for n in (1, 2, 2, 3, 5, 8, 35, 100):
+        walk = [next(names) for _ in range(n)]
+        least = walk.index(min(walk))
+        rows += zip(walk, walk[1:] + walk[:1], strict=True)
+        want |= {h: (walk[least], (least - i) % n) for i, h in enumerate(walk)}
+    monkeypatch.setattr(fc, "written", lambda df: sizes.append((out := written(df)).count()) or out)
+    assert {r.h: (r.loop, r.dist) for r in fc.cycles(spark.createDataFrame(rows, "h long, ptr long")).collect()} == want
+    assert sizes[0] == 156 and sizes[-1] < 156  # the last round does without the short cycles
+
+
+def test_clean_looks_for_gaps_once(spark, monkeypatch):
+    polygons = octilinear(30, 7, 30) + [(100, [box(200, 200, 40, 40), box(210, 210, 5, 5)])]
+    part, seen, find = partition(spark, polygons, 2), [], fc.gap_halves
+    filled, first = fc.fill_gaps(part)
+    again, second = fc.fill_gaps(filled, least=0.0, below=120.0, alone=True)
+    monkeypatch.setattr(fc, "merge_slivers", lambda partition, *a, **k: (partition, fc.Report()))
+    monkeypatch.setattr(fc, "gap_halves", lambda *a: seen.append(a) or find(*a))
+    out, report = fc.clean(part, hole_area=120.0)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, again.collect()), key=str)
+    assert [(r.changed, r.changed_area) for r in report.orderBy("stage").collect()[2:]] == [(first.filled, first.area), (second.filled, second.area)]
+    assert len(seen) == 1
+
+
 def test_gaps_are_filled_by_the_longest_border(spark):
     polygons = octilinear(60, 7, 30) + [(100, [box(200, 200, 40, 8)]), (101, [box(200, 232, 40, 8)]), (102, [box(200, 208, 8, 24)]), (103, [box(232, 208, 8, 24)]), (104, [box(216, 216, 5, 5)])]
     own = owners(polygons)
