@@ -80,3 +80,13 @@ def test_sizes_in_the_plan_of_groups_stay_those_of_the_rows(spark):
     groups = spatial.linked_groups(links)
     assert {r.root for r in groups.collect()} == {0}
     assert groups._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10**6
+
+
+def test_slivers_take_the_largest_neighbour_without_sorting_pairs(spark):
+    rows = [(1, 0, 0, 1, 9), (2, 1, 0, 50, 40), (3, -49, 0, 0, 40), (4, 0, 9, 20, 40), (5, 500, 0, 501, 9), (6, 501, 0, 3_000_000_000, 1_000_000_000), (7, 400, 0, 500, 9), (8, 900_000, -7, 900_001, -4)]
+    parcels = spark.createDataFrame(rows[:4] + rows[7:], "parcel_id long, x0 long, y0 long, x1 long, y1 long")
+    found = spatial.merge_slivers(parcels)
+    assert {r.parcel_id: r.target for r in found.collect()} == {1: 2, 8: None}
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    far = spark.createDataFrame(rows[4:7], "parcel_id long, x0 long, y0 long, x1 long, y1 long")
+    assert {r.parcel_id: r.target for r in spatial.merge_slivers(far, g=1 << 31).collect()} == {5: 6}  # 3e18 square units
