@@ -355,3 +355,14 @@ def test_extents_of_all_kinds_of_geometry(spark):
 
     got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i long, t string").select("i", geometry_extent(F.col("t")).alias("box")).collect()
     assert {r.i: r.box and tuple(r.box) for r in got} == {i: w for i, (_, w) in enumerate(texts)}
+
+
+def test_sides_and_owners_move_by_cell_only(spark):
+    pieces = written(ov.noded(ov.ring_edges(frame(spark, octilinear(20, 3), 2))))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = ov.foremost(ov.sided(pieces))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "HashAggregate" in text.split("SortMergeJoin")[0] and "Exchange" not in text.split("SortMergeJoin")[0]
