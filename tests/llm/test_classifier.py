@@ -94,3 +94,13 @@ def test_hot_ids_and_disagreeing_labels(spark):
     away = np.array([statistics(good), statistics(bad)])
     high, low = model(away)
     assert high > 0.9 and low < 0.1
+
+
+def test_labels_are_never_broadcast(spark, monkeypatch):
+    from landgrid.llm import classifier
+
+    plans, cut = [], classifier.cut_lineage
+    monkeypatch.setattr(classifier, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    fit(with_statistics(docs), labels)
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
