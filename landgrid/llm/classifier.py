@@ -21,6 +21,7 @@ STATISTICS = (
     "distinct words", "distinct pairs", "commonest word", "word after itself", "log line length", "repeated lines", "unended lines", "shouted words",
 )
 THRESHOLD = 0.3
+SUMMED = 50_000  # rows that a partition sums, so that the sums of all partitions are small beside the rows
 
 
 @dataclass(frozen=True)
@@ -208,7 +209,8 @@ def fit(stats: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         return Model(None, None, none, none, 0.5)
     mean, deviation = (np.array([shape[f"{x}{i}"] for i in columns]) for x in "md")
     features = [Features(mean, deviation, w, settings) for w in settings.widths]
-    sums = summed(rows, features, settings.folds)
+    parallel = rows.sparkSession.sparkContext.defaultParallelism
+    sums = summed(rows.coalesce(max(parallel, ceil(shape["n"] / SUMMED))), features, settings.folds)
     folds = range(settings.folds)
     whole = [sum(sums[kind, f] for f in folds) for kind in range(len(features))]
     errors = {(kind, r): sum(squared_error(sums[kind, f], solved(whole[kind] - sums[kind, f], r)) for f in folds) for kind in range(len(features)) for r in settings.ridges}

@@ -104,3 +104,20 @@ def test_labels_are_never_broadcast(spark, monkeypatch):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
     fit(with_statistics(docs), labels)
     assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
+def test_few_partitions_sum(spark, monkeypatch):
+    from landgrid.llm import classifier
+
+    parts, of = [], classifier.summed
+    monkeypatch.setattr(classifier, "summed", lambda rows, *a: parts.append(rows.rdd.getNumPartitions()) or of(rows, *a))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+        fit(with_statistics(docs), labels)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert parts == [spark.sparkContext.defaultParallelism]
